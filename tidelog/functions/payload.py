@@ -26,29 +26,31 @@ def is_text_map(fields: Column) -> Column:
 
 def _text_size(text: Column) -> Column:
     size = F.octet_length(text)
-    # Header bytes of a string in the recording format by length.
+    # Header bytes of a string in the recording format by length;
+    # a missing value is one byte.
     header = (
-        F.when(size < 32, 1).when(size < 256, 2).when(size < 65536, 3).otherwise(5)
+        F.when(size < 32, 1)
+        .when(size < 256, 2)
+        .when(size < 65536, 3)
+        .otherwise(F.when(size.isNull(), 1).otherwise(5))
     )
-    return F.coalesce((header + size).cast("bigint"), F.lit(1).cast("bigint"))
+    return (header + F.coalesce(size, F.lit(0))).cast("bigint")
 
 
 def recorded_bytes(stream_name: Column, message_id: Column, fields: Column) -> Column:
     """Bytes one message takes in a recording file."""
     entries = F.coalesce(F.size(fields), F.lit(0))
-    # Header bytes of a map in the recording format by entries.
-    map_header = F.when(entries < 16, 1).when(entries < 65536, 3).otherwise(5)
-    zero = F.lit(0).cast("bigint")
-
-    def total(texts: Column) -> Column:
-        summed = F.aggregate(texts, zero, lambda acc, text: acc + _text_size(text))
-        return F.coalesce(summed, zero)
-
+    # Header bytes of a map in the recording format by entries
+    # (a missing map is one byte).
+    header = F.when(entries < 16, 2).when(entries < 65536, 4).otherwise(6)
+    payload = F.aggregate(
+        F.map_entries(fields),
+        F.lit(0).cast("bigint"),
+        lambda total, entry: total + _text_size(entry.key) + _text_size(entry.value),
+    )
     return (
-        F.lit(1).cast("bigint")
+        header
         + _text_size(stream_name)
         + _text_size(message_id)
-        + map_header
-        + total(F.map_keys(fields))
-        + total(F.map_values(fields))
+        + F.coalesce(payload, F.lit(0))
     )

@@ -56,16 +56,11 @@ def bounded_capture(
 def _until(log: DataFrame, position: DataFrame, inclusive: bool) -> DataFrame:
     """Rows up to a one-row arrival position; all rows when it is NULL.
 
-    The position enters as two scalar subqueries, so nothing is shuffled.
+    The position enters as a scalar subquery, so nothing is shuffled.
     """
-    recording = position.select("recording").scalar()
-    pos = position.select("pos").scalar()
-    near = F.col("pos") <= pos if inclusive else F.col("pos") < pos
-    return log.where(
-        recording.isNull()
-        | (F.col("recording") < recording)
-        | ((F.col("recording") == recording) & near)
-    )
+    row, last = F.struct("recording", "pos"), position.scalar()
+    before = row <= last if inclusive else row < last
+    return log.where(F.coalesce(before, F.lit(True)))
 
 
 def _first_late(log: DataFrame, duration_ms: int) -> DataFrame:
@@ -74,11 +69,7 @@ def _first_late(log: DataFrame, duration_ms: int) -> DataFrame:
     first_ms = per_recording.agg(F.min_by("ms", "recording")).scalar()
     late = log.where(F.col("ms") - first_ms >= duration_ms)
     per_recording = late.groupBy("recording").agg(F.min("pos").alias("pos"))
-    return _unpack(per_recording.agg(F.min(F.struct("recording", "pos")).alias("at")))
-
-
-def _unpack(one_row: DataFrame) -> DataFrame:
-    return one_row.select("at.recording", "at.pos")
+    return per_recording.agg(F.min(F.struct("recording", "pos")))
 
 
 def _last_within_size(
@@ -98,39 +89,46 @@ def _last_within_size(
     per_bucket = sized.groupBy("recording", "_bucket").agg(
         F.sum("_bytes").alias("_bytes"), F.count("*").alias("_rows")
     )
-    totals = carried(
-        per_bucket, "_bucket", within=["recording"], sums=["_bytes", "_rows"]
+    totals = carried(per_bucket, ["recording", "_bucket"], sums=["_bytes", "_rows"])
+    totals = totals.select(
+        "recording",
+        "_bucket",
+        "_rows",
+        "_rows_before",
+        "_bytes_before",
+        (F.col("_bytes_before") + F.col("_bytes")).alias("_bytes_after"),
     )
     by_pos = Window.partitionBy("recording", "_bucket").orderBy("pos")
     earlier = by_pos.rowsBetween(Window.unboundedPreceding, -1)
 
     at_limit = totals.where(
-        (F.col("_bytes_before") < limit)
-        & (F.col("_bytes_before") + F.col("_bytes") >= limit)
-    ).select("recording", "_bucket", "_bytes_before", "_rows_before")
+        (F.col("_bytes_before") < limit) & (F.col("_bytes_after") >= limit)
+    )
+    total = F.col("_bytes_before") + F.coalesce(
+        F.sum("_bytes").over(earlier), F.lit(0)
+    )
     kept = (
         sized.join(at_limit, ["recording", "_bucket"])
-        .withColumn(
-            "_total",
-            F.col("_bytes_before")
-            + F.coalesce(F.sum("_bytes").over(earlier), F.lit(0)),
-        )
+        .withColumn("_total", total)
         .where(F.col("_total") < limit)
     )
+    position = F.struct("recording", "pos")
     if fetch_rows == 1:
-        return _unpack(kept.agg(F.max(F.struct("recording", "pos")).alias("at")))
+        return kept.agg(F.max(position))
 
     # Let the fetch under way run to its end: find the row with that number.
-    count = kept.agg(F.max("_rows_before") + F.count("*")).scalar()
-    number = F.ceil(count / fetch_rows) * fetch_rows - 1
-    at_end = totals.where(
-        (F.col("_rows_before") <= number)
-        & (F.col("_rows_before") + F.col("_rows") > number)
-    ).select("recording", "_bucket", "_rows_before")
-    row = F.col("_rows_before") + F.row_number().over(by_pos) - 1
-    last = (
+    count = F.max("_rows_before") + F.count("*")
+    number = kept.select("_rows_before").agg(
+        (F.ceil(count / fetch_rows) * fetch_rows).cast("bigint")
+    )
+    at_end = totals.withColumn("_number", number.scalar()).where(
+        (F.col("_rows_before") < F.col("_number"))
+        & (F.col("_rows_before") + F.col("_rows") >= F.col("_number"))
+    )
+    row = F.col("_rows_before") + F.row_number().over(by_pos)
+    return (
         sized.join(at_end, ["recording", "_bucket"])
         .withColumn("_row", row)
-        .where(F.col("_row") == number)
+        .where(F.col("_row") == F.col("_number"))
+        .agg(F.max(position))
     )
-    return _unpack(last.agg(F.max(F.struct("recording", "pos")).alias("at")))

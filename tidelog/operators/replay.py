@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidelog.functions.clock import format_utc_day_first
 from tidelog.operators.arrival import batches
 from tidelog.operators.select import exclude_streams, rename_streams
-from tidelog.plans.scan import BUCKET_ROWS, carried, div
+from tidelog.plans.scan import BUCKET_ROWS, carried, carried_in_blocks, div
 from tidelog.schema import require_positive
 
 
@@ -137,18 +137,21 @@ def _scheduled(delayed: DataFrame) -> DataFrame:
     per_chunk = delayed.groupBy("_chunk").agg(
         F.sum("delay_us").alias("delay"), F.sum("_flush").alias("flush")
     )
-    starts = carried(per_chunk, "_chunk", sums=["delay", "flush"])
+    starts = carried(per_chunk, ["_chunk"], sums=["delay", "flush"])
     so_far = (
         Window.partitionBy("_chunk")
         .orderBy("replay_no")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return (
-        delayed.withColumn("_due", F.sum("delay_us").over(so_far))
-        .withColumn("_group", F.sum("_flush").over(so_far))
-        .join(starts, "_chunk")
-        .withColumn("due_us", F.col("delay_before") + F.col("_due"))
-        .withColumn("flush_group", F.col("flush_before") + F.col("_group") - 1)
+    running = delayed.select(
+        "*",
+        F.sum("delay_us").over(so_far).alias("_due"),
+        F.sum("_flush").over(so_far).alias("_group"),
+    )
+    return running.join(starts, "_chunk").select(
+        *delayed.columns,
+        (F.col("delay_before") + F.col("_due")).alias("due_us"),
+        (F.col("flush_before") + F.col("_group") - 1).alias("flush_group"),
     )
 
 
@@ -250,7 +253,7 @@ def replay_batches(
         )
     )
     first = per_batch.where(F.col("batch") == 0).select("_lo").scalar()
-    seen = carried(per_batch, "batch", sums=["messages"], maxes=["top"])
+    seen = carried_in_blocks(per_batch, "batch", sums=["messages"], maxes=["top"])
     last = F.greatest(F.col("top"), F.col("top_before"), F.lit(0).cast("bigint"))
     return (
         seen.withColumn("first_ms", first)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.clock import clamp
@@ -48,20 +48,45 @@ def truncate(
     return log.where(in_range(low, high))
 
 
+def truncate_observed(
+    log: DataFrame,
+    from_id: MessageID | str | bytes | None = None,
+    to_id: MessageID | str | bytes | None = None,
+) -> tuple[DataFrame, Observation]:
+    """:func:`truncate`, with ``written`` and ``skipped`` counted by the same pass.
+
+    The counts are there once an action has run on the returned rows.
+    """
+    inside = in_range(*check_bounds(from_id, to_id))
+    counts = Observation()
+    seen = log.observe(
+        counts,
+        F.count_if(inside).alias("written"),
+        F.count_if(~inside).alias("skipped"),
+    )
+    return seen.where(inside), counts
+
+
 def _truncate_from_computed_start(log: DataFrame, high: MessageID | None) -> DataFrame:
     start = auto_start_id(log)
-    ms = start.select("ms").scalar()
-    seq = start.select("seq").scalar()
-    late_enough = (F.col("ms") >= ms) & ((F.col("ms") > ms) | (F.col("seq") >= seq))
+    start_id = start.select(F.struct("ms", "seq")).scalar()
+    # The first condition follows from the second; it can reach the scan.
+    late = log.where(F.col("ms") >= start.select("ms").scalar())
+    late = late.where(F.struct("ms", "seq") >= start_id)
     if high is None:
-        return log.where(late_enough)
+        return late
     # The start is only known when the job runs, so the check runs with it.
-    crossed = (ms > high.ms) | ((ms == high.ms) & (seq > high.seq))
     text = F.concat(
-        F.lit("from_id ("), format_id(ms, seq), F.lit(f") > to_id ({high})")
+        F.lit("from_id ("),
+        format_id(F.col("ms"), F.col("seq")),
+        F.lit(f") > to_id ({high})"),
     )
-    in_order = F.when(crossed, F.raise_error(text).cast("boolean")).otherwise(True)
-    return log.where(in_order).where(late_enough & at_or_before(high))
+    checked = start.select(
+        F.when(
+            at_or_before(high) | F.col("ms").isNull(), F.lit(True)
+        ).otherwise(F.raise_error(text).cast("boolean"))
+    )
+    return late.where(checked.scalar()).where(at_or_before(high))
 
 
 def truncate_by_time(
@@ -74,15 +99,16 @@ def truncate_by_time(
     """
     if end not in ("parity", "whole_ms"):
         raise ValueError(f"end must be 'parity' or 'whole_ms', got {end!r}")
-    span = timeline_global(timeline_streams(log))
-    first = span.select("first_ms").scalar()
-    last = span.select("last_ms").scalar()
-    left = clamp(F.lit(left_ms).cast("bigint"), first, last)
-    right = clamp(F.lit(right_ms).cast("bigint"), first, last)
-    inside = (F.col("ms") >= left) & (F.col("ms") <= right)
-    if end == "parity":
-        inside = inside & ((F.col("ms") < right) | (F.col("seq") <= 0))
-    return log.where(inside)
+    first, last = F.col("first_ms"), F.col("last_ms")
+    window = timeline_global(timeline_streams(log)).select(
+        clamp(F.lit(left_ms).cast("bigint"), first, last).alias("left"),
+        clamp(F.lit(right_ms).cast("bigint"), first, last).alias("right"),
+    )
+    left, right = window.select("left").scalar(), window.select("right").scalar()
+    inside = log.where((F.col("ms") >= left) & (F.col("ms") <= right))
+    if end == "whole_ms":
+        return inside
+    return inside.where(F.col("ms") + F.when(F.col("seq") > 0, 1).otherwise(0) <= right)
 
 
 # ---- by stream --------------------------------------------------------------

@@ -177,6 +177,9 @@ ORACLES: dict[str, str] = {
     "stringify_fields": """
       SELECT event_id AS pos, CAST(user_id AS VARCHAR) AS user_id,
              CAST(event_id AS VARCHAR) AS event_id FROM events""",
+    "drop_undecodable": f"""WITH {E}
+      SELECT stream_name, ms || '-' || seq AS id, pos, user_id FROM e
+      WHERE pos % 83 <> 0 AND pos % 89 <> 0 AND pos % 97 <> 0""",
     "include_streams": f"WITH {E} SELECT stream_name, ms, pos FROM e WHERE stream_name IN ({LISTED})",
     "exclude_streams": f"WITH {E} SELECT stream_name, ms, pos FROM e WHERE stream_name NOT IN ({LISTED})",
     "dropped_streams": f"""WITH {E}
@@ -204,6 +207,7 @@ ORACLES: dict[str, str] = {
       SELECT stream_name, ms || '-' || seq AS message_id,
              CAST(ms AS VARCHAR) AS timestamp_ms, CAST(k AS VARCHAR) AS k,
              CAST(user_id AS VARCHAR) AS user_id, value FROM e""",
+    "recording_roundtrip": f"WITH {E} SELECT stream_name, ms, seq, user_id, value, k FROM e",
     "append_union": f"""WITH {E}, {O}
       SELECT stream_name, ms, seq, recording, pos FROM e
       UNION ALL SELECT stream_name, ms, seq, recording, pos FROM o""",
@@ -288,6 +292,9 @@ ORACLES: dict[str, str] = {
              ELSE day + t END AS found_ms
       FROM s""",
     "stream_capture": f"WITH {E} SELECT {EVENT_ROW} FROM e WHERE stream_name IN ({LISTED})",
+    "stream_resume": f"""WITH {E}, seen AS (
+        SELECT stream_name AS s, max(ms) AS m FROM e WHERE ms < {WEEK_START.ms} GROUP BY 1)
+      SELECT stream_name, ms, pos FROM e JOIN seen ON stream_name = s WHERE ms > m""",
     "stream_stats_live": f"""WITH {E}, f AS (
         SELECT stream_name, count(*) AS messages, arg_min(ms, pos) AS a,
                arg_max(ms, pos) AS b FROM e GROUP BY stream_name)

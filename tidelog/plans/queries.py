@@ -15,6 +15,7 @@ from tidelog.functions import clock, ids
 from tidelog.operators import arrival, flatten, replay, select, stats
 from tidelog.plans.storage import new_table
 from tidelog.sources import adapters, sinks
+from tidelog.sources.recordings import read_recordings, write_recordings
 from tidelog.streaming import capture
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,6 +194,29 @@ def stringify_fields(spark: SparkSession, folder: str) -> DataFrame:
     return text.select("pos", _field("user_id", "string"), _field("event_id", "string"))
 
 
+def drop_undecodable(spark: SparkSession, folder: str) -> DataFrame:
+    """E as raw bytes, with the name, the ID or a value spoilt in some rows."""
+    log = adapters.events_log(spark, folder)
+    spoilt = F.lit(b"\xff\xfe")
+    raw_id = ids.format_id(F.col("ms"), F.col("seq")).cast("binary")
+    raw_fields = F.transform_values(
+        "fields",
+        lambda key, value: F.when(
+            (key == "k") & (F.col("pos") % 83 == 0), spoilt
+        ).otherwise(value.cast("binary")),
+    )
+    raw = log.select(
+        F.when(F.col("pos") % 89 == 0, spoilt)
+        .otherwise(F.col("stream_name").cast("binary"))
+        .alias("stream_name"),
+        F.when(F.col("pos") % 97 == 0, spoilt).otherwise(raw_id).alias("id"),
+        raw_fields.alias("fields"),
+        "pos",
+    )
+    kept = select.drop_undecodable(raw)
+    return kept.select("stream_name", "id", "pos", _field("user_id", "bigint"))
+
+
 # ---- streams ----------------------------------------------------------------
 
 
@@ -247,6 +271,12 @@ def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return back.withColumn("value", F.col("value").cast("double"))
 
 
+def recording_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_table(spark, "recordings")
+    write_recordings(adapters.events_log(spark, folder), path)
+    return _with_event_fields(read_recordings(spark, path)).drop("pos")
+
+
 def append_union(spark: SparkSession, folder: str) -> DataFrame:
     path = new_table(spark, "log")
     sinks.write_log(adapters.events_log(spark, folder), path)
@@ -397,6 +427,16 @@ def stream_capture(spark: SparkSession, folder: str) -> DataFrame:
     return _with_event_fields(captured)
 
 
+def stream_resume(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_table(spark, "resumed")
+    zero = F.lit(0).cast("bigint")
+    early = _events(spark, folder).where(F.col("ms") < WEEK_START.ms)
+    seen = stats.last_ids(early.withColumn("seq", zero))
+    new = capture.start_after(_events_stream(spark, folder).withColumn("seq", zero), seen)
+    capture.start_capture(new, path, f"{path}-offsets").awaitTermination()
+    return spark.read.parquet(path).select("stream_name", "ms", "pos")
+
+
 def stream_stats_live(spark: SparkSession, folder: str) -> DataFrame:
     path = new_table(spark, "live-stats")
     messages = _events_stream(spark, folder)
@@ -429,6 +469,7 @@ QUERIES: dict[str, Query] = {
         drop_malformed,
         format_message_id,
         stringify_fields,
+        drop_undecodable,
         include_streams,
         exclude_streams,
         dropped_streams,
@@ -436,6 +477,7 @@ QUERIES: dict[str, Query] = {
         read_after,
         flatten_fields,
         csv_roundtrip,
+        recording_roundtrip,
         append_union,
         rotate_by_time,
         replay_order,
@@ -452,6 +494,7 @@ QUERIES: dict[str, Query] = {
         parse_utc,
         parse_utc_inferred,
         stream_capture,
+        stream_resume,
         stream_stats_live,
     ]
 }

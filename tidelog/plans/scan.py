@@ -1,4 +1,4 @@
-"""Order-dependent results over a whole log without a single sorted partition.
+"""Order-dependent results over a whole log without sorting it in one partition.
 
 Rows are cut into buckets whose number follows the wanted order.  Inside a
 bucket an ordinary window does the work; between buckets only one small row
@@ -14,9 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows one window group may hold, and bucket rows one carry group may hold.
-BUCKET_ROWS = 131_072
-CARRY_ROWS = 4_096
+# Rows of a log one window group may hold.  10^12 messages make 4 million
+# buckets, whose carry rows (a few numbers each) one task sorts in seconds.
+BUCKET_ROWS = 262_144
+# Rows per block when the bucket table is itself too long for one task.
+BLOCK_ROWS = 65_536
 
 
 def div(value: Column, by: int) -> Column:
@@ -26,56 +28,64 @@ def div(value: Column, by: int) -> Column:
 
 def carried(
     table: DataFrame,
-    key: str,
-    *,
-    within: Sequence[str] = (),
+    order: Sequence[str],
     sums: Sequence[str] = (),
     maxes: Sequence[str] = (),
-    carry_rows: int = CARRY_ROWS,
 ) -> DataFrame:
-    """Add what lies before each row of a bucket table, in ``(within, key)`` order.
+    """Add what lies before each row of a bucket table, in ``order``.
 
     ``<c>_before`` is the sum (0 at the start) or the maximum (NULL at the
-    start) of column ``c`` over all earlier rows.  The bucket table itself is
-    scanned in blocks of ``carry_rows``; only one row per block meets in one
-    partition.
+    start) of column ``c`` over all earlier rows.  The table has one row per
+    bucket, so it is ordered in one partition.
     """
-    within = list(within)
-    blocked = table.withColumn("_block", div(F.col(key), carry_rows))
-    totals = blocked.groupBy(*within, "_block").agg(
-        *[F.sum(c).alias(f"_b_{c}") for c in sums],
-        *[F.max(c).alias(f"_b_{c}") for c in maxes],
-    )
-    earlier_blocks = Window.orderBy(*within, "_block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    totals = totals.select(
-        *within,
-        "_block",
+    earlier = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return table.select(
+        "*",
         *[
-            F.coalesce(F.sum(f"_b_{c}").over(earlier_blocks), F.lit(0)).alias(f"_p_{c}")
+            F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before")
             for c in sums
         ],
-        *[F.max(f"_b_{c}").over(earlier_blocks).alias(f"_p_{c}") for c in maxes],
+        *[F.max(c).over(earlier).alias(f"{c}_before") for c in maxes],
     )
-    earlier_rows = (
-        Window.partitionBy(*within, "_block")
+
+
+def carried_in_blocks(
+    table: DataFrame,
+    key: str,
+    sums: Sequence[str] = (),
+    maxes: Sequence[str] = (),
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """:func:`carried` for a table that grows with the log, such as its batches.
+
+    Blocks of consecutive keys are scanned side by side; only one row per
+    block is carried in one partition.
+    """
+    blocked = table.withColumn("_block", div(F.col(key), block_rows))
+    blocks = blocked.groupBy("_block").agg(
+        *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in maxes]
+    )
+    before = [f"{c}_before" for c in (*sums, *maxes)]
+    blocks = carried(blocks, ["_block"], sums, maxes).select(
+        "_block", *[F.col(c).alias(f"_{c}") for c in before]
+    )
+    earlier = (
+        Window.partitionBy("_block")
         .orderBy(key)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    scanned = blocked.select(
-        *blocked.columns,
+    return blocked.join(blocks, "_block").select(
+        *table.columns,
         *[
-            F.coalesce(F.sum(c).over(earlier_rows), F.lit(0)).alias(f"_r_{c}")
+            (
+                F.col(f"_{c}_before") + F.coalesce(F.sum(c).over(earlier), F.lit(0))
+            ).alias(f"{c}_before")
             for c in sums
         ],
-        *[F.max(c).over(earlier_rows).alias(f"_r_{c}") for c in maxes],
-    )
-    return scanned.join(totals, [*within, "_block"]).select(
-        *table.columns,
-        *[(F.col(f"_p_{c}") + F.col(f"_r_{c}")).alias(f"{c}_before") for c in sums],
         *[
-            F.greatest(F.col(f"_p_{c}"), F.col(f"_r_{c}")).alias(f"{c}_before")
+            F.greatest(F.col(f"_{c}_before"), F.max(c).over(earlier)).alias(
+                f"{c}_before"
+            )
             for c in maxes
         ],
     )
@@ -91,13 +101,12 @@ def number_by_arrival(
     """
     bucketed = log.withColumn("_bucket", div(F.col("pos"), bucket_rows))
     counts = bucketed.groupBy("recording", "_bucket").agg(F.count("*").alias("_rows"))
-    starts = carried(counts, "_bucket", within=["recording"], sums=["_rows"])
+    starts = carried(counts, ["recording", "_bucket"], sums=["_rows"]).drop("_rows")
     inside = Window.partitionBy("recording", "_bucket").orderBy("pos")
-    return (
-        bucketed.withColumn("_local", F.row_number().over(inside).cast("bigint") - 1)
-        .join(starts.drop("_rows"), ["recording", "_bucket"])
-        .withColumn(column, F.col("_rows_before") + F.col("_local"))
-        .select(*log.columns, column)
+    numbered = bucketed.withColumn("_local", F.row_number().over(inside))
+    number = F.col("_rows_before") + F.col("_local") - 1
+    return numbered.join(starts, ["recording", "_bucket"]).select(
+        *log.columns, number.alias(column)
     )
 
 
@@ -121,13 +130,12 @@ def number_within(
         .orderBy("_bucket")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    starts = counts.withColumn("_start", F.sum("_rows").over(earlier)).where(
-        F.col("_start") > 0
-    )
+    starts = counts.select(
+        *group, "_bucket", F.sum("_rows").over(earlier).alias("_start")
+    ).where(F.col("_start") > 0)
     inside = Window.partitionBy(*group, "_bucket").orderBy("pos")
-    return (
-        bucketed.withColumn("_local", F.row_number().over(inside).cast("bigint") - 1)
-        .join(starts.drop("_rows"), [*group, "_bucket"], "left")
-        .withColumn(column, F.coalesce(F.col("_start"), F.lit(0)) + F.col("_local"))
-        .select(*log.columns, column)
+    numbered = bucketed.withColumn("_local", F.row_number().over(inside))
+    number = F.coalesce(F.col("_start"), F.lit(0)) + F.col("_local") - 1
+    return numbered.join(starts, [*group, "_bucket"], "left").select(
+        *log.columns, number.alias(column)
     )

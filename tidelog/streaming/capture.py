@@ -38,20 +38,24 @@ def table_stream(
 
 
 def start_after(
-    messages: DataFrame, last_ids: Mapping[str, MessageID | str] | str = "earliest"
+    messages: DataFrame, last_ids: DataFrame | Mapping[str, MessageID | str] | str
 ) -> DataFrame:
     """Messages after each stream's last ID; ``'earliest'`` takes all history.
 
     Streams without a last ID are not captured.  For "only what is new", pass
-    the IDs that :func:`tidelog.operators.stats.last_ids` gives at the start.
+    what :func:`tidelog.operators.stats.last_ids` gives at the start.
     """
-    if last_ids == "earliest":
+    if isinstance(last_ids, str):
+        if last_ids != "earliest":
+            raise ValueError(f"last_ids must be IDs or 'earliest', got {last_ids!r}")
         return messages
-    if not isinstance(last_ids, Mapping):
-        raise ValueError(f"last_ids must be a mapping or 'earliest', got {last_ids!r}")
-    bounds = [(name, *bound(value)) for name, value in last_ids.items()]
-    seen = messages.sparkSession.createDataFrame(
-        bounds, "stream_name string, _ms bigint, _seq bigint"
+    if not isinstance(last_ids, DataFrame):
+        bounds = [(name, *bound(value)) for name, value in last_ids.items()]
+        last_ids = messages.sparkSession.createDataFrame(
+            bounds, "stream_name string, ms bigint, seq bigint"
+        )
+    seen = last_ids.select(
+        "stream_name", F.col("ms").alias("_ms"), F.col("seq").alias("_seq")
     )
     return (
         messages.join(seen, "stream_name")
