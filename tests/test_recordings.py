@@ -53,7 +53,8 @@ def test_writing_again_appends(spark, tmp_path):
     write_recordings(log, path)
     found = read_recordings(spark, path)
     assert found.count() == 2 * len(SAMPLE)
-    assert not [name for name in os.listdir(path) if name.endswith(".tmp")]
+    assert all(name.startswith("part-") for name in os.listdir(path) if name[0] != ".")
+    assert not [name for name in os.listdir(path) if name.startswith(".part")]
     with pytest.raises(Exception, match="append-only"):
         log.write.format("recording").mode("overwrite").save(path)
 

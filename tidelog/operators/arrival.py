@@ -101,8 +101,9 @@ def _last_within_size(
     by_pos = Window.partitionBy("recording", "_bucket").orderBy("pos")
     earlier = by_pos.rowsBetween(Window.unboundedPreceding, -1)
 
-    at_limit = totals.where(
-        (F.col("_bytes_before") < limit) & (F.col("_bytes_after") >= limit)
+    # Totals rise along the buckets, so at most one bucket meets the condition.
+    at_limit = F.broadcast(
+        totals.where((F.col("_bytes_before") < limit) & (F.col("_bytes_after") >= limit))
     )
     total = F.col("_bytes_before") + F.coalesce(
         F.sum("_bytes").over(earlier), F.lit(0)
@@ -121,9 +122,11 @@ def _last_within_size(
     number = kept.select("_rows_before").agg(
         (F.ceil(count / fetch_rows) * fetch_rows).cast("bigint")
     )
-    at_end = totals.withColumn("_number", number.scalar()).where(
-        (F.col("_rows_before") < F.col("_number"))
-        & (F.col("_rows_before") + F.col("_rows") >= F.col("_number"))
+    at_end = F.broadcast(
+        totals.withColumn("_number", number.scalar()).where(
+            (F.col("_rows_before") < F.col("_number"))
+            & (F.col("_rows_before") + F.col("_rows") >= F.col("_number"))
+        )
     )
     row = F.col("_rows_before") + F.row_number().over(by_pos)
     return (

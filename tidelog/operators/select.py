@@ -22,6 +22,7 @@ from tidelog.functions.ids import (
 )
 from tidelog.functions.payload import is_text, is_text_map, stringify
 from tidelog.operators.stats import auto_start_id, timeline_global, timeline_streams
+from tidelog.plans.scan import broadcast_if_small
 from tidelog.schema import require_positive, stream_keys
 
 # Name lists up to this length become literals in the plan; longer ones a join.
@@ -179,8 +180,10 @@ def read_after(
         last_ids = log.sparkSession.createDataFrame(
             parsed, "stream_name string, ms bigint, seq bigint"
         )
-    seen = last_ids.select(
-        "stream_name", F.col("ms").alias("_ms"), F.col("seq").alias("_seq")
+    seen = broadcast_if_small(
+        last_ids.select(
+            "stream_name", F.col("ms").alias("_ms"), F.col("seq").alias("_seq")
+        )
     )
     new = log.join(seen, "stream_name").where(
         strictly_after(F.col("_ms"), F.col("_seq"))

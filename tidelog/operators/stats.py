@@ -106,12 +106,8 @@ def auto_start_id(log: DataFrame) -> DataFrame:
 
 def last_ids(log: DataFrame) -> DataFrame:
     """The largest ID of every stream, the point from which to resume."""
-    newest = log.groupBy("stream_name").agg(F.max("ms").alias("ms"))
-    return (
-        log.join(newest, ["stream_name", "ms"])
-        .groupBy("stream_name", "ms")
-        .agg(F.max("seq").alias("seq"))
-    )
+    newest = log.groupBy("stream_name").agg(F.max(F.struct("ms", "seq")).alias("_id"))
+    return newest.select("stream_name", "_id.ms", "_id.seq")
 
 
 def field_keys(log: DataFrame) -> DataFrame:

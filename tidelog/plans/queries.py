@@ -498,3 +498,6 @@ QUERIES: dict[str, Query] = {
         stream_stats_live,
     ]
 }
+
+# Queries whose tasks run Python code of this package.
+PYTHON_WORKERS = {"recording_roundtrip"}

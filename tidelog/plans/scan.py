@@ -26,6 +26,18 @@ def div(value: Column, by: int) -> Column:
     return F.call_function("div", value, F.lit(by).cast("bigint"))
 
 
+def broadcast_if_small(table: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """A join side that is broadcast after its size has been checked.
+
+    Runs a job that fetches at most ``max_rows + 1`` rows.  A larger table is
+    returned as it is, for an ordinary shuffled join.
+    """
+    rows = table.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return table
+    return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema))
+
+
 def carried(
     table: DataFrame,
     order: Sequence[str],

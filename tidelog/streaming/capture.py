@@ -16,6 +16,7 @@ from tidelog.functions.ids import MessageID, bound, strictly_after
 from tidelog.operators.arrival import message_bytes
 from tidelog.operators.select import dropped_streams, include_streams
 from tidelog.operators.stats import across_recordings, describe, recording_stats
+from tidelog.plans.scan import broadcast_if_small
 from tidelog.schema import require_positive
 
 
@@ -54,8 +55,10 @@ def start_after(
         last_ids = messages.sparkSession.createDataFrame(
             bounds, "stream_name string, ms bigint, seq bigint"
         )
-    seen = last_ids.select(
-        "stream_name", F.col("ms").alias("_ms"), F.col("seq").alias("_seq")
+    seen = broadcast_if_small(
+        last_ids.select(
+            "stream_name", F.col("ms").alias("_ms"), F.col("seq").alias("_seq")
+        )
     )
     return (
         messages.join(seen, "stream_name")
