@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
 
@@ -64,8 +65,12 @@ def test_a_wait_too_short_to_show_still_flushes(make_log):
 # ---- against a plain loop ----
 
 
+def wait(gap_ms, speed, max_delay):
+    return math.floor(min(gap_ms * 1000 / speed, max_delay * 1e6) + 0.5)
+
+
 def model(rows, batch_size, speed, max_delay, exclude, rename, base_ms):
-    """Replay one message at a time, the way a player would."""
+    """Replay one message at a time, with delays in whole µs (halves go up)."""
     left = [row for row in rows if row[0] not in exclude]
     sent, previous, due, group = [], None, 0, -1
     numbers = Counter()
@@ -73,7 +78,7 @@ def model(rows, batch_size, speed, max_delay, exclude, rename, base_ms):
         batch = sorted(left[first : first + batch_size], key=lambda row: (row[1], row[2]))
         for place, (stream, ms, _seq, pos) in enumerate(batch):
             later = previous is not None and ms > previous
-            delay = round(min((ms - previous) * 1000 / speed, max_delay * 1e6)) if later else 0
+            delay = wait(ms - previous, speed, max_delay) if later else 0
             due += delay
             group += later or place == 0
             stream = rename.get(stream, stream)

@@ -28,6 +28,7 @@ def _surviving(
     log: DataFrame, batch_size: int, exclude: Iterable[str], bucket_rows: int
 ) -> DataFrame:
     """Batches of what is left after exclusion, with the chunk of each batch."""
+    require_positive(batch_size=batch_size)
     batched = batches(exclude_streams(log, exclude), batch_size, bucket_rows)
     per_chunk = _batches_per_chunk(batch_size, bucket_rows)
     return batched.withColumn("_chunk", div(F.col("batch"), per_chunk))
@@ -74,7 +75,7 @@ def _delays(
     The last batch of a chunk is also given, without its payload, to the next
     chunk, where it supplies the message before the first.
     """
-    require_positive(speed=speed, max_delay=max_delay)
+    require_positive(speed=speed, max_delay=max_delay, batch_size=batch_size)
     per_chunk = _batches_per_chunk(batch_size, bucket_rows)
     rows = _surviving(log, batch_size, exclude, bucket_rows)
     is_last_batch = F.pmod(F.col("batch"), F.lit(per_chunk)) == per_chunk - 1

@@ -12,13 +12,15 @@ from tidelog.operators.flatten import flatten_fields
 from tidelog.plans.scan import div
 from tidelog.schema import require_format, require_positive
 
-# How CSV text must be quoted to come back unchanged.
+# How CSV text must be quoted to come back unchanged, and a
+# stand-in for NULL on reading that keeps an empty text apart from it.
 CSV_OPTIONS = {
     "header": True,
     "escape": '"',
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
 }
+NO_VALUE = "\0"
 
 
 def write_log(log: DataFrame, path: str, by_time: bool = False) -> None:
@@ -68,7 +70,8 @@ def export(
 def read_csv_export(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """A CSV export as text columns, with empty text and NULL kept apart."""
     schema = T.StructType([T.StructField(name, T.StringType()) for name in columns])
-    return spark.read.options(multiLine=True, **CSV_OPTIONS).schema(schema).csv(path)
+    reader = spark.read.options(multiLine=True, nullValue=NO_VALUE, **CSV_OPTIONS)
+    return reader.schema(schema).csv(path)
 
 
 def rotation(log: DataFrame, interval_ms: int) -> DataFrame:
