@@ -166,6 +166,16 @@ def test_rotation(spark, make_log, tmp_path):
     assert {tuple(r) for r in found} == {(0, 2), (1, 1), (2, 2)}
 
 
+def test_rotation_while_capturing(spark, inbox, tmp_path):
+    inbox([("s", 10), ("s", 1500)])
+    inbox([("s", 20), ("s", 2500)])
+    out, offsets = str(tmp_path / "out"), str(tmp_path / "offsets")
+    messages = stream(spark, inbox)
+    capture.start_capture(messages, out, offsets, rotate_ms=1000).awaitTermination()
+    found = spark.read.parquet(out).groupBy("rotation").count().collect()
+    assert {tuple(r) for r in found} == {(0, 2), (1, 1), (2, 1)}
+
+
 def test_export_of_nothing_writes_nothing(empty_log, tmp_path):
     assert sinks.export(empty_log, str(tmp_path / "none")) is False
     assert not (tmp_path / "none").exists()

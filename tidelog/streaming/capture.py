@@ -18,6 +18,7 @@ from tidelog.operators.select import dropped_streams, include_streams
 from tidelog.operators.stats import across_recordings, describe, recording_stats
 from tidelog.plans.scan import broadcast_if_small
 from tidelog.schema import require_positive
+from tidelog.sources.sinks import rotation
 
 
 def table_stream(
@@ -73,16 +74,22 @@ def start_capture(
     checkpoint: str,
     streams: Iterable[str | dict] | None = None,
     once: bool = True,
+    rotate_ms: int | None = None,
 ) -> StreamingQuery:
     """Append messages of the listed streams to a Parquet table, exactly once.
 
     ``once`` captures what is there and ends; otherwise the job keeps running.
-    Offsets live in ``checkpoint``, so a restarted capture goes on where the
-    last one stopped.
+    ``rotate_ms`` starts a new ``rotation`` folder for every such interval of
+    message time.  Offsets live in ``checkpoint``, so a restarted capture goes
+    on where the last one stopped.
     """
     if streams is not None:
         messages = include_streams(messages, streams)
+    if rotate_ms is not None:
+        messages = rotation(messages, rotate_ms)
     writer = messages.writeStream.format("parquet").outputMode("append")
+    if rotate_ms is not None:
+        writer = writer.partitionBy("rotation")
     if once:
         writer = writer.trigger(availableNow=True)
     return writer.option("checkpointLocation", checkpoint).start(path)
