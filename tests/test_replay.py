@@ -104,7 +104,7 @@ def random_rows(seed, count):
 CASES = [
     (seed, count, batch_size, bucket_rows)
     for seed, (count, batch_size, bucket_rows) in enumerate(
-        [(1, 3, 8), (60, 1, 4), (200, 7, 16), (333, 10, 40), (500, 64, 64), (120, 1000, 16)]
+        [(1, 3, 16), (60, 1, 4), (200, 7, 32), (333, 10, 40), (500, 64, 64), (120, 1000, 16)]
     )
 ]
 

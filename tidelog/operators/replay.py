@@ -1,9 +1,13 @@
 """Replay order, delays and due times of a log, as data.
 
 A replay cuts the surviving messages into arrival batches and sorts each
-batch by ID; batches stay in arrival order.  Whole batches are grouped into
-chunks that fill one window group, so one shuffle by chunk serves the sort,
-the gap to the previous message and the running sums.
+batch by ID; batches stay in arrival order.  Rows are grouped into chunks that
+follow this order and fill one window group each, so one shuffle by chunk
+serves the sort, the gap to the previous message and the running sums.
+
+Usually a chunk is a number of whole batches.  Batches too large for that are
+range-partitioned by their unique sort key into chunks of a table, written
+once to the shared folder.
 """
 
 from __future__ import annotations
@@ -17,32 +21,26 @@ from tidelog.functions.clock import format_utc_day_first
 from tidelog.operators.arrival import batches
 from tidelog.operators.select import exclude_streams, rename_streams
 from tidelog.plans.scan import BUCKET_ROWS, carried, carried_in_blocks, div
+from tidelog.plans.storage import new_table
 from tidelog.schema import require_positive
 
 
-def _batches_per_chunk(batch_size: int, bucket_rows: int) -> int:
-    return max(4, bucket_rows // batch_size)
-
-
-def _surviving(
-    log: DataFrame, batch_size: int, exclude: Iterable[str], bucket_rows: int
-) -> DataFrame:
-    """Batches of what is left after exclusion, with the chunk of each batch."""
-    require_positive(batch_size=batch_size)
-    batched = batches(exclude_streams(log, exclude), batch_size, bucket_rows)
-    per_chunk = _batches_per_chunk(batch_size, bucket_rows)
-    return batched.withColumn("_chunk", div(F.col("batch"), per_chunk))
+# Batches a chunk must hold for the copies of its last one to stay cheap.
+MIN_BATCHES = 4
 
 
 def _in_replay_order() -> Window:
     return Window.partitionBy("_chunk").orderBy("batch", "ms", "seq", "arrival")
 
 
-def _replay_no(batch_size: int, bucket_rows: int) -> Column:
-    """All batches but the last are full, so a chunk's first number is known."""
-    chunk_rows = _batches_per_chunk(batch_size, bucket_rows) * batch_size
-    row = F.row_number().over(_in_replay_order()).cast("bigint")
-    return F.col("_chunk") * chunk_rows + row - 1
+def _row_in_chunk() -> Column:
+    return F.row_number().over(_in_replay_order()).cast("bigint")
+
+
+def _surviving(
+    log: DataFrame, batch_size: int, exclude: Iterable[str], bucket_rows: int
+) -> DataFrame:
+    return batches(exclude_streams(log, exclude), batch_size, bucket_rows)
 
 
 def replay_order(
@@ -56,12 +54,88 @@ def replay_order(
 
     Excluded streams leave before batching; renaming comes after.
     """
-    ordered = _surviving(log, batch_size, exclude, bucket_rows).withColumn(
-        "replay_no", _replay_no(batch_size, bucket_rows)
-    )
+    rows = _surviving(log, batch_size, exclude, bucket_rows)
+    per_chunk = bucket_rows // batch_size
+    if per_chunk < MIN_BATCHES:
+        ordered = _placed_by_range(rows, bucket_rows).drop("prev_ms")
+    else:
+        # All batches but the last are full, so a chunk's first number is known.
+        number = F.col("_chunk") * (per_chunk * batch_size) + _row_in_chunk() - 1
+        chunked = rows.withColumn("_chunk", div(F.col("batch"), per_chunk))
+        ordered = chunked.withColumn("replay_no", number)
     return rename_streams(ordered.drop("_chunk"), rename or {})
 
 
+def _placed(rows: DataFrame, batch_size: int, bucket_rows: int) -> DataFrame:
+    """Add ``replay_no``, ``prev_ms`` and the chunk the row stays grouped by."""
+    per_chunk = bucket_rows // batch_size
+    if per_chunk < MIN_BATCHES:
+        return _placed_by_range(rows, bucket_rows)
+    return _placed_by_batch(rows, batch_size, per_chunk)
+
+
+def _placed_by_batch(rows: DataFrame, batch_size: int, per_chunk: int) -> DataFrame:
+    """Chunks of whole batches.
+
+    The last batch of a chunk is also given, without its payload, to the next
+    chunk, where it supplies the message before the first.
+    """
+    is_last = F.pmod(F.col("batch"), F.lit(per_chunk)) == per_chunk - 1
+    here, ahead = F.lit(0), F.lit(1)
+    copies = F.when(is_last, F.array(here, ahead)).otherwise(F.array(here))
+    spread = rows.withColumn("_ahead", F.explode(copies))
+    is_copy = F.col("_ahead") == 1
+    chunk = (div(F.col("batch"), per_chunk) + F.col("_ahead")).alias("_chunk")
+    payload = [
+        F.when(~is_copy, F.col(c)).alias(c) if c == "fields" else F.col(c)
+        for c in rows.columns
+    ]
+    # Copies sort before the chunk's own rows, because their batch is earlier.
+    copied = F.when(F.col("_chunk") > 0, F.lit(batch_size)).otherwise(F.lit(0))
+    number = F.col("_chunk") * (per_chunk * batch_size) + _row_in_chunk() - 1 - copied
+    placed = spread.select(*payload, "_ahead", chunk).select(
+        "*",
+        number.alias("replay_no"),
+        F.lag("ms").over(_in_replay_order()).alias("prev_ms"),
+    )
+    return placed.where(~is_copy).drop("_ahead")
+
+
+def _placed_by_range(rows: DataFrame, bucket_rows: int) -> DataFrame:
+    """Chunks of about ``bucket_rows`` consecutive rows of batches of any size.
+
+    The chunks are stored, because a range partitioning may come out
+    differently when it is computed again.
+    """
+    spark = rows.sparkSession
+    chunks = max(1, -(-rows.count() // bucket_rows))
+    path = new_table(spark, "replay-chunks")
+    (
+        rows.repartitionByRange(chunks, "batch", "ms", "seq", "arrival")
+        .withColumn("_chunk", F.spark_partition_id().cast("bigint"))
+        .write.parquet(path)
+    )
+    numbered = spark.read.parquet(path).select(
+        "*",
+        _row_in_chunk().alias("_row"),
+        F.lag("ms").over(_in_replay_order()).alias("_prev"),
+    )
+    edges = numbered.groupBy("_chunk").agg(
+        F.count("*").alias("_rows"), F.max_by("ms", "_row").alias("_last")
+    )
+    edges = carried(edges, ["_chunk"], sums=["_rows"]).select(
+        "_chunk",
+        "_rows_before",
+        F.lag("_last").over(Window.orderBy("_chunk")).alias("_last_before"),
+    )
+    return numbered.join(edges, "_chunk").select(
+        *rows.columns,
+        "_chunk",
+        (F.col("_rows_before") + F.col("_row") - 1).alias("replay_no"),
+        F.coalesce(F.col("_prev"), F.col("_last_before")).alias("prev_ms"),
+    )
+
+
 def _delays(
     log: DataFrame,
     speed: float,
@@ -70,48 +144,18 @@ def _delays(
     exclude: Iterable[str],
     bucket_rows: int,
 ) -> DataFrame:
-    """Replay order with ``prev_ms`` and ``delay_us``, still grouped by chunk.
-
-    The last batch of a chunk is also given, without its payload, to the next
-    chunk, where it supplies the message before the first.
-    """
+    """Rows in their place, with ``delay_us`` and whether a flush group starts."""
     require_positive(speed=speed, max_delay=max_delay, batch_size=batch_size)
-    per_chunk = _batches_per_chunk(batch_size, bucket_rows)
     rows = _surviving(log, batch_size, exclude, bucket_rows)
-    is_last_batch = F.pmod(F.col("batch"), F.lit(per_chunk)) == per_chunk - 1
-    copies = F.when(is_last_batch, F.array(F.lit(0), F.lit(1))).otherwise(
-        F.array(F.lit(0))
-    )
-    spread = rows.withColumn("_ahead", F.explode(copies))
-    is_copy = F.col("_ahead") == 1
-    spread = spread.withColumn("_chunk", F.col("_chunk") + F.col("_ahead"))
-    if "fields" in log.columns:
-        spread = spread.withColumn("fields", F.when(~is_copy, F.col("fields")))
-
-    # Copies sort before the chunk's own rows, because their batch is earlier.
-    copied_rows = F.when(F.col("_chunk") > 0, F.lit(batch_size)).otherwise(F.lit(0))
-    number = _replay_no(batch_size, bucket_rows) - copied_rows
     gap = F.col("ms") - F.col("prev_ms")
     capped = F.least(gap * 1000.0 / F.lit(float(speed)), F.lit(max_delay * 1e6))
-    return (
-        spread.withColumn("replay_no", number)
-        .withColumn("prev_ms", F.lag("ms").over(_in_replay_order()))
-        .where(~is_copy)
-        .withColumn(
-            "delay_us",
-            F.when(gap > 0, F.round(capped).cast("bigint")).otherwise(
-                F.lit(0).cast("bigint")
-            ),
-        )
-        .withColumn(
-            "_flush",
-            F.when(
-                (gap > 0) | (F.pmod(F.col("replay_no"), F.lit(batch_size)) == 0), 1
-            )
-            .otherwise(0)
-            .cast("bigint"),
-        )
-        .drop("_ahead")
+    delay = F.when(gap > 0, F.round(capped).cast("bigint")).otherwise(F.lit(0))
+    first_of_batch = F.pmod(F.col("replay_no"), F.lit(batch_size)) == 0
+    starts = F.when((gap > 0) | first_of_batch, F.lit(1)).otherwise(F.lit(0))
+    return _placed(rows, batch_size, bucket_rows).select(
+        "*",
+        delay.cast("bigint").alias("delay_us"),
+        starts.cast("bigint").alias("_flush"),
     )
 
 
