@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidelog.functions.binding import let
+
 # The text forms accepted and produced here.
 DAY_MS = 86_400_000
 CLOCK_PATTERN = r"^[0-9]+(:[0-9]+){0,2}\z"
@@ -76,22 +78,36 @@ def format_utc_day_first(ms: Column) -> Column:
 
 def parse_duration(text: Column) -> Column:
     """``HH:MM:SS[.f]``, ``MM:SS[.f]`` or ``SS[.f]`` to milliseconds, else NULL."""
-    text = F.btrim(text, F.lit(BLANKS))
-    dot = F.length(text) - F.length(F.substring_index(text, ".", -1))
-    whole = F.when(dot > 0, F.substring(text, F.lit(1), dot - 1)).otherwise(text)
-    tail = F.when(dot > 0, F.substring_index(text, ".", -1)).otherwise(F.lit(""))
-    fraction = F.rpad(tail, 3, "0")
-    seconds = F.aggregate(
-        F.split(whole, ":"),
-        F.lit(0).cast("bigint"),
-        lambda total, part: F.try_add(
-            F.try_multiply(total, F.lit(60).cast("bigint")), part.try_cast("bigint")
-        ),
-    )
-    value = F.try_add(
-        F.try_multiply(seconds, F.lit(1000).cast("bigint")), fraction.try_cast("bigint")
+
+    def split_fraction(text: Column) -> Column:
+        # Without a dot, the part after the last dot is the whole text.
+        tail = F.substring_index(text, ".", -1)
+        dot = F.length(text) - F.length(tail)
+        whole = F.when(dot > 0, F.substring(text, F.lit(1), dot - 1)).otherwise(text)
+        fraction = F.when(dot > 0, tail).otherwise(F.lit(""))
+        return F.struct(
+            whole.alias("whole"), F.rpad(fraction, 3, "0").alias("fraction")
+        )
+
+    def total(clock: Column) -> Column:
+        whole, fraction = clock["whole"], clock["fraction"]
+        value = let(F.split(whole, ":"), lambda parts: _clock_ms(parts, fraction))
+        valid = whole.rlike(CLOCK_PATTERN) & fraction.rlike(FRACTION_PATTERN)
+        return F.when(valid, value)
+
+    return let(F.btrim(text, F.lit(BLANKS)), lambda t: let(split_fraction(t), total))
+
+
+def _clock_ms(parts: Column, fraction: Column) -> Column:
+    def part(back: int, unit_ms: int) -> Column:
+        number = F.try_element_at(parts, F.lit(-back)).try_cast("bigint")
+        value = F.try_multiply(number, F.lit(unit_ms).cast("bigint"))
+        return F.when(F.size(parts) >= back, value).otherwise(F.lit(0))
+
+    return F.try_add(
+        F.try_add(part(3, 3_600_000), part(2, 60_000)),
+        F.try_add(part(1, 1000), fraction.try_cast("bigint")),
     )
-    return F.when(whole.rlike(CLOCK_PATTERN) & fraction.rlike(FRACTION_PATTERN), value)
 
 
 def parse_utc(text: Column, first_ms: Column, last_ms: Column) -> Column:
@@ -101,15 +117,21 @@ def parse_utc(text: Column, first_ms: Column, last_ms: Column) -> Column:
     ``[first_ms, last_ms]``, the day after or the day before, whichever first
     puts the time inside that range; failing all three, the first day.
     """
-    text = F.btrim(text, F.lit(BLANKS))
-    dated = (
-        (F.length(text) >= 10)
-        & (F.substring(text, 5, 1) == "-")
-        & (F.substring(text, 8, 1) == "-")
-    )
-    return F.when(dated, _parse_dated(text)).otherwise(
-        _parse_undated(text, first_ms, last_ms)
-    )
+
+    def parse(text: Column) -> Column:
+        dated = (
+            (F.length(text) >= 10)
+            & (F.substring(text, 5, 1) == "-")
+            & (F.substring(text, 8, 1) == "-")
+        )
+        midnight = first_ms - F.pmod(first_ms, F.lit(DAY_MS))
+        undated = let(
+            F.try_add(midnight, parse_duration(text)),
+            lambda same_day: _nearest_day(same_day, first_ms, last_ms),
+        )
+        return F.when(dated, _parse_dated(text)).otherwise(undated)
+
+    return let(F.btrim(text, F.lit(BLANKS)), parse)
 
 
 def _parse_dated(text: Column) -> Column:
@@ -125,14 +147,12 @@ def _parse_dated(text: Column) -> Column:
     return F.try_add(days * DAY_MS, parse_duration(clock))
 
 
-def _parse_undated(text: Column, first_ms: Column, last_ms: Column) -> Column:
-    midnight = first_ms - F.pmod(first_ms, F.lit(DAY_MS))
-    same_day = F.try_add(midnight, parse_duration(text))
+def _nearest_day(same_day: Column, first_ms: Column, last_ms: Column) -> Column:
+    day = F.lit(DAY_MS).cast("bigint")
 
     def inside(candidate: Column) -> Column:
         return F.when((candidate >= first_ms) & (candidate <= last_ms), candidate)
 
-    day = F.lit(DAY_MS).cast("bigint")
     return F.coalesce(
         inside(same_day),
         inside(F.try_add(same_day, day)),

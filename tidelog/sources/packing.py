@@ -51,11 +51,32 @@ class Foreign:
     """A value of a type that recordings do not use."""
 
 
-def _count(buf: bytes, at: int, width: int) -> tuple[int, int]:
-    end = at + 1 + width
-    if end > len(buf):
-        raise Short
-    return int.from_bytes(buf[at + 1 : end], "big"), end
+def _heads() -> list[tuple[str, int, int] | None]:
+    """For every type byte: kind, size when fixed, width of a size that follows."""
+    table: list[tuple[str, int, int] | None] = [None] * 256
+    for code in range(256):
+        if code <= 0x7F or code >= 0xE0 or code in CONSTANTS:
+            table[code] = ("constant", 0, 0)
+        elif code <= 0x8F:
+            table[code] = ("map", code & 0x0F, 0)
+        elif code <= 0x9F:
+            table[code] = ("array", code & 0x0F, 0)
+        elif code <= 0xBF:
+            table[code] = ("text", code & 0x1F, 0)
+        elif code in NUMBERS:
+            table[code] = ("number", struct.calcsize(NUMBERS[code]), 0)
+        elif code in FIXED_EXTENSION:
+            table[code] = ("foreign", FIXED_EXTENSION[code] + 1, 0)
+    sized = {"text": TEXT, "map": MAP, "array": ARRAY, "binary": BINARY}
+    for kind, widths in sized.items():
+        for code, width in widths.items():
+            table[code] = (kind, 0, width)
+    for code, width in EXTENSION.items():
+        table[code] = ("foreign", 1, width)
+    return table
+
+
+_HEADS = _heads()
 
 
 def head(buf: bytes, at: int) -> tuple[str, int, int]:
@@ -66,31 +87,17 @@ def head(buf: bytes, at: int) -> tuple[str, int, int]:
     """
     if at >= len(buf):
         raise Short
-    code = buf[at]
-    if code <= 0x7F or code >= 0xE0 or code in CONSTANTS:
-        return "constant", 0, at + 1
-    if code <= 0x8F:
-        return "map", code & 0x0F, at + 1
-    if code <= 0x9F:
-        return "array", code & 0x0F, at + 1
-    if code <= 0xBF:
-        return "text", code & 0x1F, at + 1
-    if code in NUMBERS:
-        return "number", struct.calcsize(NUMBERS[code]), at + 1
-    for kind, widths in (
-        ("text", TEXT),
-        ("map", MAP),
-        ("array", ARRAY),
-        ("binary", BINARY),
-    ):
-        if code in widths:
-            return kind, *_count(buf, at, widths[code])
-    if code in EXTENSION:
-        size, start = _count(buf, at, EXTENSION[code])
-        return "foreign", size + 1, start
-    if code in FIXED_EXTENSION:
-        return "foreign", FIXED_EXTENSION[code] + 1, at + 1
-    raise Corrupt(f"type byte {code:#x}")
+    found = _HEADS[buf[at]]
+    if found is None:
+        raise Corrupt(f"type byte {buf[at]:#x}")
+    kind, size, width = found
+    at += 1
+    if not width:
+        return kind, size, at
+    end = at + width
+    if end > len(buf):
+        raise Short
+    return kind, size + int.from_bytes(buf[at:end], "big"), end
 
 
 def skip(buf: bytes, at: int) -> tuple[None, int]:
@@ -116,12 +123,15 @@ def unpack(buf: bytes, at: int) -> tuple[Any, int]:
     Text that is not UTF-8 stays bytes; a repeated map key keeps the last value.
     """
     kind, size, start = head(buf, at)
-    if kind == "array":
-        items = []
-        for _ in range(size):
-            item, start = unpack(buf, start)
-            items.append(item)
-        return items, start
+    if kind == "text":
+        end = start + size
+        if end > len(buf):
+            raise Short
+        raw = buf[start:end]
+        try:
+            return raw.decode(), end
+        except UnicodeDecodeError:
+            return raw, end
     if kind == "map":
         pairs = {}
         for _ in range(size):
@@ -129,15 +139,15 @@ def unpack(buf: bytes, at: int) -> tuple[Any, int]:
             value, start = unpack(buf, start)
             pairs[key if isinstance(key, (str, bytes)) else str(key)] = value
         return pairs, start
+    if kind == "array":
+        items = []
+        for _ in range(size):
+            item, start = unpack(buf, start)
+            items.append(item)
+        return items, start
     end = start + size
     if end > len(buf):
         raise Short
-    if kind == "text":
-        raw = buf[start:end]
-        try:
-            return raw.decode(), end
-        except UnicodeDecodeError:
-            return raw, end
     if kind == "number":
         return struct.unpack_from(NUMBERS[buf[at]], buf, start)[0], end
     if kind == "binary":
@@ -226,10 +236,10 @@ def record(value: Any) -> tuple[str, int, int, dict[str, str | None]]:
 def _sized(size: int, short: int, limit: int, wide: dict[int, int]) -> bytes:
     """Header of a sized value: the short form, or the narrowest that fits."""
     if size < limit:
-        return bytes([short | size])
+        return bytes((short | size,))
     for code, width in wide.items():
         if size < 1 << (8 * width):
-            return bytes([code]) + size.to_bytes(width, "big")
+            return bytes((code,)) + size.to_bytes(width, "big")
     raise ValueError(f"{size} is too large to record")
 
 

@@ -20,12 +20,14 @@ from posixpath import basename
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import (
     DataSource,
+    DataSourceArrowWriter,
     DataSourceWriter,
     WriterCommitMessage,
 )
@@ -335,26 +337,27 @@ class _Written(WriterCommitMessage):
     final: str
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """One file per task, under a hidden name until the job commits."""
 
     def __init__(self, path: str) -> None:
         self.path = path
         self.job = uuid.uuid4().hex
 
-    def write(self, iterator: Iterator) -> _Written:
-        from pyspark import TaskContext
-
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         context = TaskContext.get()
         system, inner = filesystem(self.path)
         system.create_dir(inner, recursive=True)
         part = f"part-{context.partitionId():05d}-{self.job}.msgpack"
         temporary = f"{inner}/.{part}.{context.taskAttemptId()}"
         with system.open_output_stream(temporary) as file:
-            for row in iterator:
-                message_id = f"{row.ms}-{row.seq}"
-                fields = row.fields or {}
-                file.write(packing.pack_record(row.stream_name, message_id, fields))
+            for batch in iterator:
+                columns = (column.to_pylist() for column in batch.columns)
+                records = [
+                    packing.pack_record(name, f"{ms}-{seq}", dict(fields or ()))
+                    for name, ms, seq, fields in zip(*columns, strict=True)
+                ]
+                file.write(b"".join(records))
         return _Written(temporary, f"{inner}/{part}")
 
     def commit(self, messages: list[_Written | None]) -> None:
