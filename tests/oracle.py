@@ -9,6 +9,9 @@ from pathlib import Path
 import duckdb
 
 
+TYPES = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE"}
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     db = duckdb.connect()
     for path in glob(f"{sf_dir}/*.parquet"):
@@ -32,6 +35,15 @@ def spark_rows(df):
     return rows_of(df.columns, [tuple(row) for row in df.collect()])
 
 
+def spark_types(df):
+    return sorted((name, TYPES[kind]) for name, kind in df.dtypes)
+
+
 def sql_rows(db, sql):
     result = db.sql(sql)
     return rows_of(result.columns, result.fetchall())
+
+
+def sql_types(db, sql):
+    result = db.sql(sql)
+    return sorted(zip(result.columns, map(str, result.types), strict=True))

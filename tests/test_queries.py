@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from oracle import connect, spark_rows, sql_rows
+from oracle import connect, spark_rows, spark_types, sql_rows, sql_types
 
 from __spark_entry__ import entry, oracle_sql, queries
 
@@ -15,9 +15,11 @@ def db(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_matches_sql(spark, db, sf_dir, name):
-    columns, rows = spark_rows(queries()[name](spark, sf_dir))
+    df = queries()[name](spark, sf_dir)
+    columns, rows = spark_rows(df)
     sql_columns, expected = sql_rows(db, oracle_sql()[name])
     assert columns == sql_columns
+    assert spark_types(df) == sql_types(db, oracle_sql()[name])
     assert len(rows) == len(expected)
     assert rows == expected
 

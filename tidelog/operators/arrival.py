@@ -80,14 +80,9 @@ def _last_within_size(
     Bucket totals find the one bucket in which the limit falls; only that
     bucket is ordered.
     """
-    sized = log.select(
-        "recording",
-        "pos",
-        message_bytes().alias("_bytes"),
-        div(F.col("pos"), bucket_rows).alias("_bucket"),
-    )
-    per_bucket = sized.groupBy("recording", "_bucket").agg(
-        F.sum("_bytes").alias("_bytes"), F.count("*").alias("_rows")
+    placed = log.withColumn("_bucket", div(F.col("pos"), bucket_rows))
+    per_bucket = placed.groupBy("recording", "_bucket").agg(
+        F.sum(message_bytes()).alias("_bytes"), F.count("*").alias("_rows")
     )
     totals = carried(per_bucket, ["recording", "_bucket"], sums=["_bytes", "_rows"])
     totals = totals.select(
@@ -109,7 +104,8 @@ def _last_within_size(
         F.sum("_bytes").over(earlier), F.lit(0)
     )
     kept = (
-        sized.join(at_limit, ["recording", "_bucket"])
+        placed.join(at_limit, ["recording", "_bucket"])
+        .withColumn("_bytes", message_bytes())
         .withColumn("_total", total)
         .where(F.col("_total") < limit)
     )
@@ -130,7 +126,7 @@ def _last_within_size(
     )
     row = F.col("_rows_before") + F.row_number().over(by_pos)
     return (
-        sized.join(at_end, ["recording", "_bucket"])
+        placed.join(at_end, ["recording", "_bucket"])
         .withColumn("_row", row)
         .where(F.col("_row") == F.col("_number"))
         .agg(F.max(position))
