@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,8 +61,25 @@ def test_only_listed_streams(spark, inbox, tmp_path):
     query = capture.start_capture(stream(spark, inbox), out, offsets, ["a"])
     query.awaitTermination()
     assert [r[1] for r in rows(spark, out)] == [1, 3]
-    seen = capture.status(query)
-    assert (seen["messages"], seen["active"]) == (3, False)
+
+
+def test_status_counts_all_triggers(spark, inbox, tmp_path):
+    inbox([("a", 1), ("b", 2)])
+    inbox([("a", 3)])
+    out, offsets = str(tmp_path / "out"), str(tmp_path / "offsets")
+    status = capture.CaptureStatus()
+    spark.streams.addListener(status)
+    try:
+        query = capture.start_capture(stream(spark, inbox), out, offsets)
+        query.awaitTermination()
+        deadline = time.monotonic() + 30
+        while str(query.id) not in status.finished and time.monotonic() < deadline:
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(status)
+    assert re.fullmatch(
+        r"3 messages, started [\d:]{8}, now [\d:]{8}, elapsed \d+m\d\ds", status.line(query)
+    )
 
 
 @pytest.mark.parametrize("as_table", [False, True])

@@ -263,6 +263,25 @@ def _numbered(index: DataFrame) -> DataFrame:
     )
 
 
+def _cuts(files: DataFrame, split_bytes: int) -> DataFrame:
+    """Byte ranges to decode, with the number of the first record in each.
+
+    A file of one cut needs no index.
+    """
+    zero = F.lit(0).cast("bigint")
+    whole = files.where(F.col("size") <= split_bytes).select(
+        "path",
+        F.lit(0).alias("cut"),
+        zero.alias("start"),
+        F.col("size").alias("end"),
+        zero.alias("pos"),
+    )
+    large = files.where(F.col("size") > split_bytes)
+    if large.isEmpty():
+        return whole
+    return whole.unionByName(_numbered(_index(large, split_bytes)))
+
+
 def read_recordings(
     spark: SparkSession,
     path: str,
@@ -285,7 +304,7 @@ def read_recordings(
         log.warning("no recording at %s", path)
         return _by_mode(spark.createDataFrame([], _SCHEMA_NULLABLE), mode)
     files = listed.select("path", F.col("length").alias("size")).where("size > 0")
-    cuts = _numbered(_index(files, split_bytes))
+    cuts = _cuts(files, split_bytes)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,12 +5,19 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.listener import (
+    QueryIdleEvent,
+    QueryProgressEvent,
+    QueryStartedEvent,
+    QueryTerminatedEvent,
+)
 
 from tidelog.functions.ids import MessageID, bound, strictly_after
 from tidelog.operators.arrival import message_bytes
@@ -213,12 +220,36 @@ def live_stats(spark: SparkSession, path: str) -> DataFrame:
     return describe(across_recordings(current, ["ms", "seq"]))
 
 
-def status(query: StreamingQuery) -> dict[str, object]:
-    """Messages so far, first and latest trigger time of a running capture."""
-    progress = [p for p in query.recentProgress if p.numInputRows is not None]
-    return {
-        "messages": sum(p.numInputRows for p in progress),
-        "started": progress[0].timestamp if progress else None,
-        "now": progress[-1].timestamp if progress else None,
-        "active": query.isActive,
-    }
+class CaptureStatus(StreamingQueryListener):
+    """Counts what running captures take in.
+
+    Register it with ``spark.streams.addListener`` before a capture starts;
+    :meth:`line` then tells how a query is getting on.
+    """
+
+    def __init__(self) -> None:
+        self.messages: dict[str, int] = {}
+        self.started: dict[str, datetime] = {}
+        self.finished: dict[str, datetime] = {}
+
+    def onQueryStarted(self, event: QueryStartedEvent) -> None:
+        self.messages[str(event.id)] = 0
+        self.started[str(event.id)] = datetime.now(UTC)
+
+    def onQueryProgress(self, event: QueryProgressEvent) -> None:
+        self.messages[str(event.progress.id)] += event.progress.numInputRows
+
+    def onQueryIdle(self, event: QueryIdleEvent) -> None:
+        pass
+
+    def onQueryTerminated(self, event: QueryTerminatedEvent) -> None:
+        self.finished[str(event.id)] = datetime.now(UTC)
+
+    def line(self, query: StreamingQuery) -> str:
+        key = str(query.id)
+        now = self.finished.get(key) or datetime.now(UTC)
+        minutes, seconds = divmod(int((now - self.started[key]).total_seconds()), 60)
+        return (
+            f"{self.messages[key]} messages, started {self.started[key]:%H:%M:%S},"
+            f" now {now:%H:%M:%S}, elapsed {minutes}m{seconds:02d}s"
+        )
