@@ -311,9 +311,9 @@ def sizes(count):
     return [len(packing.pack_record("s", f"{i}-0", {"n": str(i)})) for i in range(count)]
 
 
-@pytest.mark.parametrize("bucket_rows", [4, 16, 1000])
-@pytest.mark.parametrize("fetch_rows", [1, 3, 7, 50])
-@pytest.mark.parametrize("limit", [1, 13, 14, 100, 400, 10_000])
+@pytest.mark.parametrize("bucket_rows", [16, 1000])
+@pytest.mark.parametrize("fetch_rows", [1, 7, 50])
+@pytest.mark.parametrize("limit", [1, 14, 100, 400, 10_000])
 def test_size_limit_like_a_loop(make_log, bucket_rows, fetch_rows, limit):
     count, step = 40, 3
     written = taken = 0

@@ -37,10 +37,10 @@ from tidelog.schema import MESSAGE_LOG, require_columns
 from tidelog.sources import packing
 
 CORRUPT = "_corrupt_record"
-SPLIT_BYTES = 128 << 20
+SPLIT_BYTES = 64 << 20
 BATCH_ROWS = 4_096
 SYNC_RECORDS = 3
-MAX_TASKS = 20_000
+MAX_TASKS = 100_000
 
 _SCHEMA = T.StructType([*MESSAGE_LOG.fields, T.StructField(CORRUPT, T.StringType())])
 _SCHEMA_NULLABLE = T.StructType([T.StructField(f.name, f.dataType) for f in _SCHEMA])
@@ -180,8 +180,8 @@ _WALKED_ARROW = pa.schema(
 
 
 def _spread(cuts: DataFrame, count: int) -> DataFrame:
-    """One task per cut, as far as that is sensible."""
-    return cuts.repartition(max(1, min(count, MAX_TASKS)), "path", "cut")
+    """One task per cut, up to ``MAX_TASKS``; by range, which spreads them evenly."""
+    return cuts.repartitionByRange(max(1, min(count, MAX_TASKS)), "path", "cut")
 
 
 def _walk_cuts(cuts: DataFrame, count: int, split_bytes: int) -> DataFrame:
