@@ -8,6 +8,7 @@ import pytest
 
 from __spark_entry__ import queries
 from tidelog.operators import replay, select, stats
+from tidelog.operators.arrival import bounded_capture
 from tidelog.plans import scan
 from tidelog.sources import adapters, sinks
 
@@ -44,6 +45,17 @@ def test_id_range_reaches_the_scan(stored):
     assert "ReadSchema: struct<ms:bigint,seq:bigint>" in text
 
 
+def test_computed_bounds_reach_the_scan(stored):
+    for kept in (
+        select.truncate(stored, auto_start=True),
+        select.truncate_by_time(stored, 900000000000, 950000000000),
+        bounded_capture(stored, max_duration=30 * 86400),
+        bounded_capture(stored, max_size_mb=0.1),
+    ):
+        pushed = re.search(r"PushedFilters: (.*)", details(kept)).group(1)
+        assert re.search(r"(ms|pos),\d+\)", pushed)
+
+
 def test_stream_list_reaches_the_scan(stored):
     text = plan(select.include_streams(stored, ["orders:5-LOW", "orders:2-HIGH"]))
     assert "In(stream_name" in text.split("PushedFilters")[1]

@@ -161,5 +161,5 @@ def _nearest_day(same_day: Column, first_ms: Column, last_ms: Column) -> Column:
     )
 
 
-def clamp(value: Column, low: Column, high: Column) -> Column:
-    return F.greatest(low, F.least(value, high))
+def clamp(ms: int, low: int, high: int) -> int:
+    return max(low, min(ms, high))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.ids import format_id
@@ -38,7 +38,7 @@ def bounded_capture(
     The size limit is looked at before every fetch of ``fetch_rows`` messages,
     so the result overshoots by up to one fetch.  The duration counts from the
     first arrival in message time (seconds); the first message at or past it,
-    and all after it, are left out.
+    and all after it, are left out.  Finding where a limit falls runs a job.
     """
     require_positive(
         max_size_mb=max_size_mb, max_duration=max_duration, fetch_rows=fetch_rows
@@ -53,28 +53,35 @@ def bounded_capture(
     return kept
 
 
-def _until(log: DataFrame, position: DataFrame, inclusive: bool) -> DataFrame:
-    """Rows up to a one-row arrival position; all rows when it is NULL.
+def _until(log: DataFrame, position: Row | None, inclusive: bool) -> DataFrame:
+    """Rows up to an arrival position; all rows when there is none.
 
-    The position enters as a scalar subquery, so nothing is shuffled.
+    The position enters as literals, so nothing is shuffled and later parts of
+    the log need not be read.
     """
-    row, last = F.struct("recording", "pos"), position.scalar()
-    before = row <= last if inclusive else row < last
-    return log.where(F.coalesce(before, F.lit(True)))
+    if position is None:
+        return log
+    recording, pos = F.col("recording"), F.col("pos")
+    near = pos <= position.pos if inclusive else pos < position.pos
+    return log.where(
+        (recording < position.recording) | ((recording == position.recording) & near)
+    )
 
 
-def _first_late(log: DataFrame, duration_ms: int) -> DataFrame:
+def _first_late(log: DataFrame, duration_ms: int) -> Row | None:
     """Position of the first arrival ``duration_ms`` or more after the first one."""
     per_recording = log.groupBy("recording").agg(F.min_by("ms", "pos").alias("ms"))
-    first_ms = per_recording.agg(F.min_by("ms", "recording")).scalar()
-    late = log.where(F.col("ms") - first_ms >= duration_ms)
+    first_ms = per_recording.agg(F.min_by("ms", "recording")).first()[0]
+    if first_ms is None:
+        return None
+    late = log.where(F.col("ms") >= first_ms + duration_ms)
     per_recording = late.groupBy("recording").agg(F.min("pos").alias("pos"))
-    return per_recording.agg(F.min(F.struct("recording", "pos")))
+    return per_recording.agg(F.min(F.struct("recording", "pos"))).first()[0]
 
 
 def _last_within_size(
     log: DataFrame, limit: int, fetch_rows: int, bucket_rows: int
-) -> DataFrame:
+) -> Row | None:
     """Position of the last message captured before the size limit stops it.
 
     Bucket totals find the one bucket in which the limit falls; only that
@@ -109,25 +116,26 @@ def _last_within_size(
         .withColumn("_total", total)
         .where(F.col("_total") < limit)
     )
-    position = F.struct("recording", "pos")
-    if fetch_rows == 1:
-        return kept.agg(F.max(position))
+    last = F.max(F.struct("recording", "pos")).alias("last")
+    count = F.max("_rows_before") + F.count("*")
+    end = kept.agg(last, count.alias("count")).first()
+    if end.last is None or end["count"] % fetch_rows == 0:
+        return end.last
 
     # Let the fetch under way run to its end: find the row with that number.
-    count = F.max("_rows_before") + F.count("*")
-    number = kept.select("_rows_before").agg(
-        (F.ceil(count / fetch_rows) * fetch_rows).cast("bigint")
-    )
+    number = end["count"] + fetch_rows - end["count"] % fetch_rows
     at_end = F.broadcast(
-        totals.withColumn("_number", number.scalar()).where(
-            (F.col("_rows_before") < F.col("_number"))
-            & (F.col("_rows_before") + F.col("_rows") >= F.col("_number"))
+        totals.where(
+            (F.col("_rows_before") < number)
+            & (F.col("_rows_before") + F.col("_rows") >= number)
         )
     )
     row = F.col("_rows_before") + F.row_number().over(by_pos)
     return (
         placed.join(at_end, ["recording", "_bucket"])
         .withColumn("_row", row)
-        .where(F.col("_row") == F.col("_number"))
-        .agg(F.max(position))
+        .where(F.col("_row") == number)
+        .agg(last)
+        .first()
+        .last
     )

@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.clock import clamp
 from tidelog.functions.ids import (
+    MAX_PART,
     MessageID,
-    at_or_before,
     bound,
     check_bounds,
-    format_id,
     id_ms,
     id_seq,
     in_range,
@@ -42,11 +41,18 @@ def truncate(
 
     ``auto_start`` takes as lower bound the latest of the streams' first IDs,
     so that every stream has started; an explicit ``from_id`` overrides it.
+    Finding that one ID runs a job.
     """
-    low, high = check_bounds(from_id, to_id)
+    low = bound(from_id)
     if auto_start and low is None:
-        return _truncate_from_computed_start(log, high)
-    return log.where(in_range(low, high))
+        low = _computed_start(log)
+    return log.where(in_range(*check_bounds(low, to_id)))
+
+
+def _computed_start(log: DataFrame) -> MessageID | None:
+    """The auto-start ID, fetched so that it can reach the scan as a literal."""
+    start = auto_start_id(log).first()
+    return None if start.ms is None else MessageID(start.ms, start.seq)
 
 
 def truncate_observed(
@@ -68,48 +74,22 @@ def truncate_observed(
     return seen.where(inside), counts
 
 
-def _truncate_from_computed_start(log: DataFrame, high: MessageID | None) -> DataFrame:
-    start = auto_start_id(log)
-    start_id = start.select(F.struct("ms", "seq")).scalar()
-    # The first condition follows from the second; it can reach the scan.
-    late = log.where(F.col("ms") >= start.select("ms").scalar())
-    late = late.where(F.struct("ms", "seq") >= start_id)
-    if high is None:
-        return late
-    # The start is only known when the job runs, so the check runs with it.
-    text = F.concat(
-        F.lit("from_id ("),
-        format_id(F.col("ms"), F.col("seq")),
-        F.lit(f") > to_id ({high})"),
-    )
-    checked = start.select(
-        F.when(
-            at_or_before(high) | F.col("ms").isNull(), F.lit(True)
-        ).otherwise(F.raise_error(text).cast("boolean"))
-    )
-    return late.where(checked.scalar()).where(at_or_before(high))
-
-
 def truncate_by_time(
     log: DataFrame, left_ms: int, right_ms: int, end: str = "parity"
 ) -> DataFrame:
     """Messages between two times, each first clamped to the log's timeline.
 
     ``end='parity'`` closes the range at ``right_ms-0``, which cuts later
-    messages of that millisecond; ``end='whole_ms'`` keeps them.
+    messages of that millisecond; ``end='whole_ms'`` keeps them.  Finding the
+    timeline runs a job.
     """
     if end not in ("parity", "whole_ms"):
         raise ValueError(f"end must be 'parity' or 'whole_ms', got {end!r}")
-    first, last = F.col("first_ms"), F.col("last_ms")
-    window = timeline_global(timeline_streams(log)).select(
-        clamp(F.lit(left_ms).cast("bigint"), first, last).alias("left"),
-        clamp(F.lit(right_ms).cast("bigint"), first, last).alias("right"),
-    )
-    left, right = window.select("left").scalar(), window.select("right").scalar()
-    inside = log.where((F.col("ms") >= left) & (F.col("ms") <= right))
-    if end == "whole_ms":
-        return inside
-    return inside.where(F.col("ms") + F.when(F.col("seq") > 0, 1).otherwise(0) <= right)
+    span = timeline_global(timeline_streams(log)).first()
+    left = clamp(left_ms, span.first_ms, span.last_ms)
+    right = clamp(right_ms, span.first_ms, span.last_ms)
+    last_seq = 0 if end == "parity" else MAX_PART
+    return log.where(in_range(MessageID(left), MessageID(right, last_seq)))
 
 
 # ---- by stream --------------------------------------------------------------
