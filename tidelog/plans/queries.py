@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import clock, ids
-from tidelog.operators import arrival, flatten, replay, select, stats
+from tidelog.operators import arrival, replay, select, stats
 from tidelog.plans.storage import new_table
 from tidelog.sources import adapters, sinks
 from tidelog.sources.recordings import read_recordings, write_recordings

@@ -24,8 +24,10 @@ NO_VALUE = "\0"
 
 
 def write_log(log: DataFrame, path: str, by_time: bool = False) -> None:
-    """Append a log to a Parquet table; existing rows stay.
+    """Append a log to a Parquet table; existing rows stay, nothing is merged.
 
+    Rows keep their recording and position, so recordings appended to one table
+    need names of their own for arrival order to be defined across them.
     ``by_time`` lays the new rows out in ID order, so that ID and time ranges
     later skip most row groups.  The sort key ends in the unique row position:
     even one single hot millisecond is spread over many tasks.
