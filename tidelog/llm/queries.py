@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import jaccard, licenses, packing, quality, sharding, tokens
+from tidelog.llm import jaccard, language, licenses, packing, quality, sharding, tokens
 from tidelog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similarity_join(table(spark, folder, "documents"))
 
 
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(
         table(spark, folder, "documents"),
@@ -47,6 +51,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_language_id": op2_language_id,
     "op5_token_counts": op5_token_counts,
     "op6_license_scan": op6_license_scan,
     "op7_best_fit_packing": op7_best_fit_packing,
