@@ -34,7 +34,7 @@ BUCKET_ROWS = 128
 PART_ROWS = 20_000
 # Bucket width as a multiple of the distance of a usual last neighbour.
 WIDTH = 1.75
-# Buckets a query visits in a table, at most; beyond that, all within one step.
+# Buckets a query visits in a table, at most; if too few, buckets get coarser.
 MOST_PROBES = 3000
 # Scores held before only the best of each query are kept.
 HELD = 1 << 21
@@ -232,8 +232,8 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _measured_probes(tables: Tables, queries, neighbours, target: float) -> int:
-    """The fewest probes that find ``target`` of the true neighbours."""
+def _measured_probes(tables: Tables, queries, neighbours, target: float) -> int | None:
+    """The fewest probes that find ``target`` of the true neighbours, None if all don't."""
     ranks = []
     ids, vectors = queries
     at_query = tables.places(vectors, True)
@@ -253,7 +253,7 @@ def _measured_probes(tables: Tables, queries, neighbours, target: float) -> int:
         return 1
     ranks = np.sort(np.concatenate(ranks))
     wanted = ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))) - 1)]
-    return int(min(wanted + 1, len(tables.template)))
+    return int(wanted) + 1 if wanted < len(tables.template) else None
 
 
 def search(
@@ -331,14 +331,20 @@ def search(
     bits = max(0.5, np.log2(4.13 / width))  # of one projection of unit vectors
     functions = int(np.clip(np.ceil(np.log2(max(2, size["rows"] / bucket_rows)) / bits), 2, 24))
     draw = np.random.default_rng(seed)
-    hashed = Tables(
-        scale,
-        draw.standard_normal((tables, dimensions + 1, functions)),
-        draw.random((tables, functions)),
-        width,
-        probing_template(functions, MOST_PROBES),
-    )
-    probes = _measured_probes(hashed, some, neighbours, target)
+    probes = None
+    while probes is None:
+        hashed = Tables(
+            scale,
+            draw.standard_normal((tables, dimensions + 1, functions)),
+            draw.random((tables, functions)),
+            width,
+            probing_template(functions, MOST_PROBES),
+        )
+        probes = _measured_probes(hashed, some, neighbours, target)
+        # Too few found with all probes: coarser buckets, at last one for all.
+        functions -= 1
+        width = width if functions else float("inf")
+        functions = max(functions, 1)
     hashed = Tables(
         hashed.scale, hashed.vectors, hashed.offsets, hashed.width, hashed.template[:probes]
     )

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidelog.llm import jaccard, language, licenses, neighbours, packing, quality, sharding, tokens
+from tidelog.llm import jaccard, language, licenses, neighbours, packing, quality, sharding, tokens, warc
 from tidelog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# The pages have no time of capture; it follows their ids.
+FIRST_CAPTURE_MS = 1_600_000_000_000
+
 
 def op1_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similarity_join(table(spark, folder, "documents"))
@@ -21,6 +25,13 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
 
 
+def op4_warc_index(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return warc.archive(pages, FIRST_CAPTURE_MS + 1000 * F.col("page_id")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(
         table(spark, folder, "documents"),
@@ -56,6 +67,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_language_id": op2_language_id,
+    "op4_warc_index": op4_warc_index,
     "op5_token_counts": op5_token_counts,
     "op6_license_scan": op6_license_scan,
     "op7_best_fit_packing": op7_best_fit_packing,
@@ -64,4 +76,18 @@ QUERIES: dict[str, Query] = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc_index": """
+        WITH page AS (
+            SELECT page_id, coalesce(html, '') AS payload,
+                   strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), numbered AS (
+            SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM page
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+        FROM numbered
+    """,
+}
