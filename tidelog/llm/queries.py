@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import jaccard, language, licenses, neighbours, packing, quality, sharding, tokens, warc
+from tidelog.llm import jaccard, language, licenses, neighbours, packing, quality, sharding, tokens, transducer, warc
 from tidelog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,12 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return transducer.round_trip(
+        table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
 def op4_warc_index(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     return warc.archive(pages, FIRST_CAPTURE_MS + 1000 * F.col("page_id")).select(
@@ -67,6 +73,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_language_id": op2_language_id,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_warc_index": op4_warc_index,
     "op5_token_counts": op5_token_counts,
     "op6_license_scan": op6_license_scan,
