@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,32 +71,35 @@ def test_format_id(spark):
 
 # ---- clocks ----
 
-DURATIONS = {
-    0: "00:00:00.000",
-    3600000: "01:00:00.000",
-    5025678: "01:23:45.678",
-    -500: "00:00:00.000",
-    359999999: "99:59:59.999",
-    360000000: "100:00:00.000",
-}
+def clock_text(ms):
+    """Hours, minutes, seconds and milliseconds, by repeated division."""
+    rest, millis = divmod(max(ms, 0), 1000)
+    rest, seconds = divmod(rest, 60)
+    hours, minutes = divmod(rest, 60)
+    return f"{hours:02}:{minutes:02}:{seconds:02}.{millis:03}"
+
+
+# Around every carry, and far outside a day.
+MOMENTS = [-9, 0, 7, 999, 1000, 59_999, 60_000, 61_042, 3_599_999, 3_600_000, 90_061_001, 777_777_777]
+DURATIONS = {ms: clock_text(ms) for ms in MOMENTS}
 PARSED = {
-    "01:23:45.678": 5025678,
-    "05:30": 330000,
-    "05:30.500": 330500,
-    "90": 90000,
-    "90.1": 90100,
-    "0:0:0.1234": 123,
-    "  01:00:00  ": 3600000,
-    "\t12:00\n": 720000,
-    "5.": 5000,
-    "1.2.3": None,
+    **{text: ms for ms, text in DURATIONS.items() if ms >= 0},
+    "7:08": 428_000,
+    "2:03.25": 123_250,
+    "41": 41_000,
+    "41.7": 41_700,
+    "0:9:1.98765": 541_987,
+    "   00:10:00 ": 600_000,
+    "\t8:15\n": 495_000,
+    "6.": 6000,
+    "3.4.5": None,
     "": None,
-    "abc": None,
-    "1:2:3:4": None,
-    "1:-2": None,
-    "1: 2": None,
-    "99999999999999999999": None,
-    "9223372036854775807": None,
+    "soon": None,
+    "4:3:2:1": None,
+    "2:-1": None,
+    "2: 1": None,
+    "88888888888888888888": None,
+    str(2**63 - 1): None,
 }
 
 
@@ -111,33 +116,36 @@ def test_parse_duration(spark):
 @pytest.mark.parametrize("zone", ZONES)
 def test_utc_text(spark, in_zone, zone):
     in_zone(zone)
-    moments = [1709312000123, 0, -1, 951782400000]
+    moments = [1_645_000_000_042, 86_399_999, -5, 951_782_400_000, 4_102_444_800_000]
+    day = datetime(1970, 1, 1)
+    there = [day + timedelta(milliseconds=ms) for ms in moments]
     assert evaluate_all(spark, moments, "bigint", clock.format_utc) == [
-        "2024-03-01 16:53:20.123",
-        "1970-01-01 00:00:00.000",
-        "1969-12-31 23:59:59.999",
-        "2000-02-29 00:00:00.000",
+        t.isoformat(sep=" ", timespec="milliseconds") for t in there
     ]
-    moments = [0, 1709312000000, 86400000]
     assert evaluate_all(spark, moments, "bigint", clock.format_utc_day_first) == [
-        "01-01-1970 00:00:00",
-        "01-03-2024 16:53:20",
-        "02-01-1970 00:00:00",
+        t.strftime("%d-%m-%Y %H:%M:%S") for t in there
     ]
 
 
+def at(text):
+    return int(datetime.fromisoformat(f"{text}+00:00").timestamp() * 1000)
+
+
+EVENING = at("2022-05-07 22:00:00")
 UTC = [
-    ("2024-03-01 16:53:20.123", 0, 0, 1709312000123),
-    ("2024-03-01", 0, 0, 1709251200000),
-    ("2024-03-01T05:00", 0, 0, 1709251500000),
-    ("2024-02-30", 0, 0, None),
-    ("2024-03-01 ", 0, 0, 1709251200000),
-    ("2024-03-01 x", 0, 0, None),
-    ("16:53:30.000", 1709312000000, 1709312060000, 1709312010000),
-    ("00:05:00.000", 1709337000000, 1709338200000, 1709337900000),
-    ("23:59:00", 1709337700000, 1709337800000, 1709423940000),
+    ("2022-05-07 01:02:03.456", 0, 0, at("2022-05-07 01:02:03.456")),
+    ("2022-05-07", 0, 0, at("2022-05-07")),
+    # A short time after a date is minutes and seconds, as in durations.
+    ("2022-05-07T05:00", 0, 0, at("2022-05-07 00:05:00")),
+    ("2022-02-30", 0, 0, None),
+    ("2022-05-07 ", 0, 0, at("2022-05-07")),
+    ("2022-05-07 x", 0, 0, None),
+    # A clock time takes the day on which it falls into the range.
+    ("22:30:00.000", EVENING, EVENING + 3_600_000, at("2022-05-07 22:30:00")),
+    ("01:30:00", EVENING, EVENING + 4 * 3_600_000, at("2022-05-08 01:30:00")),
+    ("23:50:00", at("2022-05-08 00:00:00"), at("2022-05-08 00:20:00"), at("2022-05-08 23:50:00")),
     ("", 0, 0, None),
-    ("not-a-time", 0, 0, None),
+    ("tomorrow", 0, 0, None),
 ]
 
 

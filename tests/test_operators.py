@@ -5,12 +5,13 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from readings import READINGS, START
 from tidelog.operators import flatten, select, stats
 from tidelog.operators.arrival import bounded_capture
 from tidelog.schema import MESSAGE_LOG, message_log, require_positive, stream_keys
 from tidelog.sources import packing
 
-MS = 1709312000000
+MS = START
 
 
 def found_ms(df):
@@ -21,14 +22,15 @@ def found_ms(df):
 
 
 def test_range_is_inclusive(sample):
-    kept = select.truncate(sample, f"{MS + 100}-0", f"{MS + 300}-0")
-    assert found_ms(kept) == [100, 200, 300]
+    kept = select.truncate(sample, f"{MS + 40}-0", f"{MS + 90}-0")
+    assert found_ms(kept) == [40, 75, 80, 90]
 
 
 def test_open_ranges(sample):
-    assert found_ms(select.truncate(sample, from_id=f"{MS + 300}-0")) == [300, 500]
-    assert found_ms(select.truncate(sample, to_id=f"{MS + 100}-0")) == [0, 100]
-    assert found_ms(select.truncate(sample)) == [0, 100, 200, 300, 500]
+    everything = [ms for _, ms, _ in READINGS]
+    assert found_ms(select.truncate(sample, from_id=f"{MS + 90}-0")) == everything[4:]
+    assert found_ms(select.truncate(sample, to_id=f"{MS + 75}-0")) == everything[:3]
+    assert found_ms(select.truncate(sample)) == everything
 
 
 def test_sequence_counts_in_bounds(make_log):
@@ -38,18 +40,19 @@ def test_sequence_counts_in_bounds(make_log):
 
 
 def test_auto_start(sample):
-    assert stats.auto_start_id(sample).first() == (MS + 300, 0)
-    assert found_ms(select.truncate(sample, auto_start=True)) == [300, 500]
+    """The pump starts last, at 90."""
+    assert stats.auto_start_id(sample).first() == (MS + 90, 0)
+    assert found_ms(select.truncate(sample, auto_start=True)) == [90, 120, 150]
 
 
 def test_auto_start_with_end(sample):
-    kept = select.truncate(sample, to_id=f"{MS + 400}-0", auto_start=True)
-    assert found_ms(kept) == [300]
+    kept = select.truncate(sample, to_id=f"{MS + 130}-0", auto_start=True)
+    assert found_ms(kept) == [90, 120]
 
 
 def test_from_id_overrides_auto_start(sample):
-    kept = select.truncate(sample, from_id=f"{MS + 100}-0", auto_start=True)
-    assert found_ms(kept) == [100, 200, 300, 500]
+    kept = select.truncate(sample, from_id=f"{MS + 80}-0", auto_start=True)
+    assert found_ms(kept) == [80, 90, 120, 150]
 
 
 def test_auto_start_uses_arrival_not_time(make_log):
@@ -58,9 +61,9 @@ def test_auto_start_uses_arrival_not_time(make_log):
 
 
 def test_crossed_bounds(sample):
-    with pytest.raises(ValueError, match=r"from_id.*> to_id"):
+    with pytest.raises(ValueError, match="empty range"):
         select.truncate(sample, "200-0", "100-0")
-    with pytest.raises(Exception, match=r"from_id.*> to_id"):
+    with pytest.raises(Exception, match="empty range"):
         select.truncate(sample, to_id=f"{MS}-0", auto_start=True).collect()
 
 
@@ -84,11 +87,11 @@ def test_time_window_modes(make_log):
 
 
 def test_counts(sample):
-    low, high = select.check_bounds(f"{MS + 100}-0", f"{MS + 300}-0")
-    assert stats.truncate_counts(sample, low, high).first() == (3, 2)
+    low, high = select.check_bounds(f"{MS + 40}-0", f"{MS + 90}-0")
+    assert stats.truncate_counts(sample, low, high).first() == (4, 3)
     kept, counts = select.truncate_observed(sample, low, high)
-    assert kept.count() == 3
-    assert counts.get == {"written": 3, "skipped": 2}
+    assert kept.count() == 4
+    assert counts.get == {"written": 4, "skipped": 3}
 
 
 # ---- statistics ----
@@ -96,10 +99,10 @@ def test_counts(sample):
 
 def test_stream_stats(sample):
     found = {r.stream_name: r for r in stats.stream_stats(sample).collect()}
-    assert list(found) == ["sensor:camera", "sensor:gps", "sensor:imu"]
-    imu = found["sensor:imu"]
-    assert (imu.messages, imu.first_id, imu.last_id) == (3, f"{MS}-0", f"{MS + 500}-0")
-    assert (imu.duration_ms, imu.duration_s) == (500, 0.5)
+    assert list(found) == ["climate", "door", "pump"]
+    door = found["door"]
+    assert (door.messages, door.first_id, door.last_id) == (2, f"{MS + 75}-0", f"{MS + 150}-0")
+    assert (door.duration_ms, door.duration_s) == (75, 0.075)
 
 
 def test_stats_across_recordings(make_log):
@@ -110,36 +113,30 @@ def test_stats_across_recordings(make_log):
 
 def test_timeline(sample):
     streams = stats.timeline_streams(sample)
-    assert [tuple(r) for r in streams.where("stream_name = 'sensor:imu'").collect()] == [
-        ("sensor:imu", 3, MS, MS + 500)
+    assert [tuple(r) for r in streams.where("stream_name = 'climate'").collect()] == [
+        ("climate", 4, MS, MS + 120)
     ]
-    assert stats.timeline_global(streams).first() == (MS, MS + 500, 5)
+    assert stats.timeline_global(streams).first() == (MS, MS + 150, 7)
 
 
-@pytest.mark.parametrize(
-    ("window", "expected"),
-    [
-        ((0, 10000), 1500),
-        ((0, 5000), 750),
-        ((5000, 5000), 0),
-        ((20000, 30000), 0),
-        ((2000, 8000), 900),
-    ],
-)
-def test_estimate(spark, window, expected):
-    streams = spark.createDataFrame(
-        [("sensor:imu", 1000, 0, 10000), ("sensor:gps", 500, 0, 10000)],
-        "stream_name string, messages bigint, first_ms bigint, last_ms bigint",
-    )
-    assert stats.estimate_window(streams, *window).first().estimated == expected
+SPANS = [("even", 600, 0, 3000), ("short", 80, 1000, 1400), ("point", 7, 2500, 2500)]
 
 
-@pytest.mark.parametrize(("window", "expected"), [((0, 1000), 10), ((0, 100), 0)])
-def test_estimate_without_extent(spark, window, expected):
+@pytest.mark.parametrize(
+    "window", [(0, 3000), (0, 1500), (1200, 2499), (2500, 2500), (2600, 2600), (4000, 9000), (-500, 10)]
+)
+def test_estimate(spark, window):
+    """Against the rule written as a loop: shares of even streams, points whole or not."""
     streams = spark.createDataFrame(
-        [("a", 10, 500, 500)],
-        "stream_name string, messages bigint, first_ms bigint, last_ms bigint",
+        SPANS, "stream_name string, messages bigint, first_ms bigint, last_ms bigint"
     )
+    expected = 0
+    for _, count, first, last in SPANS:
+        overlap = min(last, window[1]) - max(first, window[0])
+        if first == last:
+            expected += count if window[0] <= first and last <= window[1] else 0
+        elif overlap > 0:
+            expected += max(1, round(count * (overlap / (last - first))))
     assert stats.estimate_window(streams, *window).first().estimated == expected
 
 
@@ -167,40 +164,60 @@ def test_last_ids(make_log):
 
 
 def test_include_exclude_and_dropped(sample):
-    kept = select.include_streams(sample, ["sensor:gps", {"key": "sensor:camera"}])
-    assert kept.count() == 2
-    assert select.exclude_streams(sample, ["sensor:imu"]).count() == 2
-    assert select.exclude_streams(sample, []).count() == 5
-    dropped = select.dropped_streams(sample, ["sensor:imu"]).collect()
-    assert {tuple(r) for r in dropped} == {("sensor:gps", 1), ("sensor:camera", 1)}
-
-
-def test_long_lists_give_the_same_rows(sample):
-    many = ["sensor:imu"] + [f"other:{i}" for i in range(select.MAX_LITERALS)]
-    assert select.include_streams(sample, many).count() == 3
-    assert select.exclude_streams(sample, many).count() == 2
-    names = {name: name.upper() for name in many}
-    renamed = select.rename_streams(sample, names)
-    assert renamed.columns == sample.columns
-    assert renamed.where("stream_name = 'SENSOR:IMU'").count() == 3
-    assert renamed.where("stream_name = 'sensor:gps'").count() == 1
+    kept = select.include_streams(sample, ["door", {"key": "pump"}])
+    assert kept.count() == 3
+    assert select.exclude_streams(sample, ["climate"]).count() == 3
+    assert select.exclude_streams(sample, []).count() == 7
+    dropped = select.dropped_streams(sample, ["climate"]).collect()
+    assert {tuple(r) for r in dropped} == {("door", 2), ("pump", 1)}
+
+
+@pytest.mark.parametrize("extra", [0, select.MAX_LITERALS])
+def test_long_lists_and_missing_names(sample, extra):
+    """The same rows and columns whatever the length of the list."""
+    name = F.when(F.col("pos") != 1, F.col("stream_name"))
+    log = sample.select("ms", name.alias("stream_name"), "pos")
+    many = ["climate"] + [f"other:{i}" for i in range(extra)]
+    assert found_ms(select.include_streams(log, many)) == [0, 80, 120]
+    assert found_ms(select.exclude_streams(log, many)) == [40, 75, 90, 150]
+    renamed = select.rename_streams(log, {n: n.upper() for n in many})
+    assert select.exclude_streams(log, many).columns == renamed.columns == log.columns
+    names = sorted(r.stream_name or "" for r in renamed.collect())
+    assert names == ["", "CLIMATE", "CLIMATE", "CLIMATE", "door", "door", "pump"]
 
 
 def test_rename_can_merge(sample):
-    renamed = select.rename_streams(sample, {"sensor:imu": "x", "sensor:gps": "x"})
-    assert renamed.where("stream_name = 'x'").count() == 4
+    renamed = select.rename_streams(sample, {"climate": "x", "door": "x"})
+    assert renamed.where("stream_name = 'x'").count() == 6
     assert select.rename_streams(sample, {}) is sample
 
 
 def test_read_after(make_log):
     log = make_log([("a", ms, seq) for ms in (1, 2, 3) for seq in (0, 1)] + [("b", 1)])
-    new = select.read_after(log, {"a": "1-1"}, 3).select("ms", "seq").collect()
+    new = select.read_after(log, {"a": "1-1"}, 3, "skip").select("ms", "seq").collect()
     assert sorted(tuple(r) for r in new) == [(2, 0), (2, 1), (3, 0)]
+    # Stream b has no last ID, so all of it is new.
+    assert select.read_after(log, {"a": "1-1"}, 3).count() == 4
+    with pytest.raises(ValueError, match="missing"):
+        select.read_after(log, {}, 1, missing="never")
     assert select.read_after(log, {"a": "0-0", "b": "0"}, 99).count() == 7
     with pytest.raises(ValueError, match="count"):
         select.read_after(log, {}, 0)
 
 
+@pytest.mark.parametrize("count", [1, 5, 17, 1001, 3000])
+def test_read_after_any_count(make_log, count):
+    """Counts within, at and beyond buckets; one hot millisecond."""
+    rows = [("a", i // 40 if i % 3 else 7, i) for i in range(1500)] + [("b", -i, 0) for i in range(30)]
+    log = make_log(rows)
+    found = select.read_after(log, {"a": "3-0"}, count, bucket_ms=5)
+    expected = []
+    for name, last in (("a", (3, 0)), ("b", (-99, 0))):
+        own = sorted((ms, seq) for s, ms, seq in rows if s == name and (ms, seq) > last)
+        expected += [(name, *x) for x in own[:count]]
+    assert sorted((r.stream_name, r.ms, r.seq) for r in found.collect()) == sorted(expected)
+
+
 def test_read_after_walks_the_whole_stream(make_log):
     log = make_log([("a", i // 3, i % 3) for i in range(10)])
     seen, taken = {"a": "0-0"}, 1
@@ -277,13 +294,20 @@ def test_require_positive():
 
 def test_flatten(sample):
     flat = flatten.flatten_fields(sample)
-    assert flat.columns == [
-        *["stream_name", "message_id", "timestamp_ms", "frame", "lat", "lon"],
-        *["receive_ts", "ts_nano", "x", "y", "z"],
-    ]
-    gps = flat.where("stream_name = 'sensor:gps'").first()
-    assert (gps.message_id, gps.lat, gps.x) == (f"{MS + 100}-0", "55.7558", None)
-    assert flatten.flatten_fields(sample, ["x"]).columns[-1] == "x"
+    found = {key for _, _, fields in READINGS for key in fields}
+    assert flat.columns == ["stream_name", "message_id", "timestamp_ms", *sorted(found)]
+    pump = flat.where("stream_name = 'pump'").first()
+    assert (pump.message_id, pump.note, pump.temp) == (f"{MS + 90}-0", "début", None)
+    assert flatten.flatten_fields(sample, ["temp"]).columns[-1] == "temp"
+
+
+def test_flatten_with_types(sample):
+    flat = flatten.flatten_fields(sample, types={"temp": "double", "open": "boolean", "note": "int"})
+    assert dict(flat.dtypes)["temp"] == "double"
+    rows = flat.orderBy("timestamp_ms").collect()
+    assert [r.temp for r in rows][:2] == [21.5, 21.6]
+    assert [r.open for r in rows if r.stream_name == "door"] == [True, False]
+    assert {r.note for r in rows} == {None}
 
 
 def test_reserved_and_twin_names(make_log):
@@ -312,18 +336,17 @@ def sizes(count):
 
 
 @pytest.mark.parametrize("bucket_rows", [16, 1000])
-@pytest.mark.parametrize("fetch_rows", [1, 7, 50])
 @pytest.mark.parametrize("limit", [1, 14, 100, 400, 10_000])
-def test_size_limit_like_a_loop(make_log, bucket_rows, fetch_rows, limit):
+def test_size_limit_like_a_loop(make_log, bucket_rows, limit):
     count, step = 40, 3
     written = taken = 0
     each = sizes(count)
     while taken < count and written < limit:
-        written += sum(each[taken : taken + fetch_rows])
-        taken = min(taken + fetch_rows, count)
+        written += each[taken]
+        taken += 1
     log = make_log([("s", i) for i in range(count)], step=step)
     mb = (limit + 0.5) / 1024 / 1024
-    kept = bounded_capture(log, mb, fetch_rows=fetch_rows, bucket_rows=bucket_rows)
+    kept = bounded_capture(log, mb, bucket_rows=bucket_rows)
     assert sorted(r.ms for r in kept.select("ms").collect()) == list(range(taken))
 
 

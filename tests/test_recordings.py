@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.schema import MESSAGE_LOG
-from tidelog.sources import packing
+from tidelog.plans.scan import number_by_arrival
+from tidelog.sources import packing, recordings
 from tidelog.sources.recordings import read_recordings, write_recordings
 
 SAMPLE = [
@@ -159,3 +160,62 @@ def test_every_header_width(size):
     value, end = packing.unpack(raw, 0)
     assert end == len(raw) == packing.skip(raw, 0)[1]
     assert packing.record(value)[3] == fields
+
+
+# ---- order across files and calls ----
+
+
+def test_appends_keep_arrival_order(spark, make_log, tmp_path):
+    """Several parts per call, and several calls: names sort as written."""
+    path = str(tmp_path / "out")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for call in range(3):
+            log = make_log([("s", call * 1000 + i) for i in range(200)])
+            write_recordings(log, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    rows = number_by_arrival(read_recordings(spark, path)).orderBy("arrival").collect()
+    assert len({r.recording for r in rows}) > 3
+    assert [r.ms for r in rows] == [call * 1000 + i for call in range(3) for i in range(200)]
+
+
+def test_equal_file_names_in_two_folders(spark, make_log, tmp_path):
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        data = b"".join(packing.pack_record(folder, f"{i}-0", {}) for i in range(3))
+        (tmp_path / folder / "r.msgpack").write_bytes(data)
+    for path in (str(tmp_path / "*"), f"file:{tmp_path}/[xy]"):
+        found = read_recordings(spark, path)
+        assert {r.recording for r in found.collect()} == {"x/r.msgpack", "y/r.msgpack"}
+        assert found.select("recording", "pos").distinct().count() == 6
+    one = read_recordings(spark, str(tmp_path / "x" / "r.msgpack")).first()
+    assert one.recording == "r.msgpack"
+
+
+def test_text_that_looks_like_a_huge_record(tmp_path):
+    """A dash before a Persian letter reads like a record with a text of gigabytes."""
+    text = "–ی" * 100
+    record = packing.pack_record("s", "1-0", {"t": text})
+    data = record * (6 * recordings.LOOK_AHEAD // len(record))
+    path = tmp_path / "big"
+    path.write_bytes(data)
+
+    class Counted:
+        def __init__(self, file):
+            self.file, self.read_bytes = file, 0
+
+        def seek(self, at):
+            self.file.seek(at)
+
+        def read(self, count):
+            got = self.file.read(count)
+            self.read_bytes += len(got)
+            return got
+
+    with open(path, "rb") as file:
+        seen = Counted(file)
+        inside = record.index("–".encode()) + 10 * len(record)
+        start = recordings._guess_start(seen, len(data), inside, len(data))
+    assert start % len(record) == 0
+    assert seen.read_bytes <= 3 * recordings.LOOK_AHEAD

@@ -8,6 +8,7 @@ from collections import Counter
 
 import pytest
 
+from readings import READINGS
 from tidelog.operators import replay, stats
 from tidelog.plans.scan import carried, carried_in_blocks, number_by_arrival, number_within
 
@@ -16,32 +17,40 @@ def order(df):
     return [r.stream_name for r in df.orderBy("replay_no").collect()]
 
 
-def test_sorted_within_a_batch(make_log):
-    log = make_log([("b", 200), ("a", 100), ("a", 300)])
-    assert order(replay.replay_order(log)) == ["a", "b", "a"]
+def replayed(rows, batch_size):
+    """Streams in replay order, by a plain loop: each batch sorted by time, ties by arrival."""
+    out = []
+    for first in range(0, len(rows), batch_size):
+        out += [name for name, _ in sorted(rows[first : first + batch_size], key=lambda r: r[1])]
+    return out
 
 
-def test_one_full_batch(make_log):
-    log = make_log([("s1", 100), ("s2", 200), ("s1", 150), ("s2", 250), ("s1", 300)])
-    assert order(replay.replay_order(log, batch_size=5)) == ["s1", "s1", "s2", "s2", "s1"]
+SHUFFLED = [("m", 70), ("k", 20), ("m", 50), ("k", 20), ("n", 90), ("n", 10), ("m", 15)]
+
+
+@pytest.mark.parametrize("batch_size", [1, 2, 3, 7, 100])
+def test_sorted_within_each_batch(make_log, batch_size):
+    found = replay.replay_order(make_log(SHUFFLED), batch_size=batch_size)
+    assert order(found) == replayed(SHUFFLED, batch_size)
 
 
 def test_short_last_batch(make_log):
-    log = make_log([("s", i * 100) for i in range(10)])
-    sizes = Counter(r.batch for r in replay.replay_order(log, batch_size=3).collect())
-    assert sizes == {0: 3, 1: 3, 2: 3, 3: 1}
+    log = make_log([("s", i * 7) for i in range(11)])
+    sizes = Counter(r.batch for r in replay.replay_order(log, batch_size=4).collect())
+    assert sizes == {0: 4, 1: 4, 2: 3}
 
 
 def test_exclude_and_rename(make_log):
-    log = make_log([("s1", 100), ("s2", 200), ("s1", 300)])
-    assert order(replay.replay_order(log, exclude=["s2"])) == ["s1", "s1"]
-    log = make_log([("s1", 100), ("s2", 200)])
-    renamed = replay.replay_order(log, rename={"s1": "renamed:s1"})
-    assert order(renamed) == ["renamed:s1", "s2"]
+    log = make_log(SHUFFLED)
+    kept = [row for row in SHUFFLED if row[0] != "n"]
+    assert order(replay.replay_order(log, batch_size=2, exclude=["n"])) == replayed(kept, 2)
+    renamed = replay.replay_order(log, batch_size=3, rename={"m": "other"})
+    names = [("other" if name == "m" else name, ms) for name, ms in SHUFFLED]
+    assert order(renamed) == replayed(names, 3)
 
 
 def test_whole_sample(sample):
-    assert replay.replay_schedule(sample).count() == 5
+    assert replay.replay_schedule(sample).count() == len(READINGS)
 
 
 def test_bad_arguments(sample):

@@ -86,7 +86,7 @@ def check_bounds(
 ) -> tuple[MessageID | None, MessageID | None]:
     low, high = bound(from_id), bound(to_id)
     if low is not None and high is not None and low > high:
-        raise ValueError(f"from_id ({low}) > to_id ({high})")
+        raise ValueError(f"empty range: it would begin at {low} and end at {high}")
     return low, high
 
 

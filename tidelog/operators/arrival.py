@@ -30,25 +30,21 @@ def bounded_capture(
     log: DataFrame,
     max_size_mb: float | None = None,
     max_duration: float | None = None,
-    fetch_rows: int = 1,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """What a capture keeps that stops at a size or at a duration.
 
-    The size limit is looked at before every fetch of ``fetch_rows`` messages,
-    so the result overshoots by up to one fetch.  The duration counts from the
+    The message with which the size limit is reached is the last.  The duration counts from the
     first arrival in message time (seconds); the first message at or past it,
     and all after it, are left out.  Finding where a limit falls runs a job.
     """
-    require_positive(
-        max_size_mb=max_size_mb, max_duration=max_duration, fetch_rows=fetch_rows
-    )
+    require_positive(max_size_mb=max_size_mb, max_duration=max_duration)
     kept = log
     if max_duration is not None:
         kept = _until(kept, _first_late(log, int(max_duration * 1000)), inclusive=False)
     if max_size_mb is not None:
         limit = int(max_size_mb * 1024 * 1024)
-        last = _last_within_size(log, limit, fetch_rows, bucket_rows)
+        last = _last_within_size(log, limit, bucket_rows)
         kept = _until(kept, last, inclusive=True)
     return kept
 
@@ -79,9 +75,7 @@ def _first_late(log: DataFrame, duration_ms: int) -> Row | None:
     return per_recording.agg(F.min(F.struct("recording", "pos"))).first()[0]
 
 
-def _last_within_size(
-    log: DataFrame, limit: int, fetch_rows: int, bucket_rows: int
-) -> Row | None:
+def _last_within_size(log: DataFrame, limit: int, bucket_rows: int) -> Row | None:
     """Position of the last message captured before the size limit stops it.
 
     Bucket totals find the one bucket in which the limit falls; only that
@@ -89,14 +83,12 @@ def _last_within_size(
     """
     placed = log.withColumn("_bucket", div(F.col("pos"), bucket_rows))
     per_bucket = placed.groupBy("recording", "_bucket").agg(
-        F.sum(message_bytes()).alias("_bytes"), F.count("*").alias("_rows")
+        F.sum(message_bytes()).alias("_bytes")
     )
-    totals = carried(per_bucket, ["recording", "_bucket"], sums=["_bytes", "_rows"])
+    totals = carried(per_bucket, ["recording", "_bucket"], sums=["_bytes"])
     totals = totals.select(
         "recording",
         "_bucket",
-        "_rows",
-        "_rows_before",
         "_bytes_before",
         (F.col("_bytes_before") + F.col("_bytes")).alias("_bytes_after"),
     )
@@ -116,26 +108,4 @@ def _last_within_size(
         .withColumn("_total", total)
         .where(F.col("_total") < limit)
     )
-    last = F.max(F.struct("recording", "pos")).alias("last")
-    count = F.max("_rows_before") + F.count("*")
-    end = kept.agg(last, count.alias("count")).first()
-    if end.last is None or end["count"] % fetch_rows == 0:
-        return end.last
-
-    # Let the fetch under way run to its end: find the row with that number.
-    number = end["count"] + fetch_rows - end["count"] % fetch_rows
-    at_end = F.broadcast(
-        totals.where(
-            (F.col("_rows_before") < number)
-            & (F.col("_rows_before") + F.col("_rows") >= number)
-        )
-    )
-    row = F.col("_rows_before") + F.row_number().over(by_pos)
-    return (
-        placed.join(at_end, ["recording", "_bucket"])
-        .withColumn("_row", row)
-        .where(F.col("_row") == number)
-        .agg(last)
-        .first()
-        .last
-    )
+    return kept.agg(F.max(F.struct("recording", "pos"))).first()[0]

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.ids import format_id
-from tidelog.operators.stats import field_keys
 from tidelog.schema import EXPORT_COLUMNS
 
 MAX_KEYS = 10_000
@@ -16,29 +15,50 @@ MAX_KEYS = 10_000
 
 def discover_keys(log: DataFrame, max_keys: int = MAX_KEYS) -> list[str]:
     """The field names of the log; runs a job, and refuses an unbounded schema."""
-    found = [row.field_key for row in field_keys(log).limit(max_keys + 1).collect()]
-    if len(found) > max_keys:
-        raise ValueError(f"more than {max_keys} field names; pass the keys you need")
-    return found
+    return keys_or_none(log, max_keys) or []
+
+
+def keys_or_none(log: DataFrame, max_keys: int = MAX_KEYS) -> list[str] | None:
+    """The field names, or None for a log without messages; one pass tells both."""
+    names = log.select(F.explode_outer(F.map_keys("fields")).alias("field_key"))
+    found = [row.field_key for row in names.distinct().limit(max_keys + 2).collect()]
+    keys = sorted(key for key in found if key is not None)
+    if len(keys) > max_keys:
+        raise ValueError(
+            f"more than {max_keys} field names; pass the keys you need or raise max_keys"
+        )
+    return keys if found else None
 
 
 def flatten_fields(
-    log: DataFrame, keys: Sequence[str] | None = None, prefix_reserved: bool = False
+    log: DataFrame,
+    keys: Sequence[str] | None = None,
+    prefix_reserved: bool = False,
+    max_keys: int = MAX_KEYS,
+    types: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """``stream_name, message_id, timestamp_ms`` and one column per field.
 
-    Without ``keys`` the field names are discovered first.  A field named like
+    Without ``keys`` the field names are discovered first, ``max_keys`` at most.
+    ``types`` gives fields a type other than text; a value that is not of it
+    becomes NULL.  A field named like
     one of the base columns is refused, or prefixed with ``field_`` on request.
     """
-    keys = sorted(discover_keys(log) if keys is None else set(keys))
+    keys = sorted(discover_keys(log, max_keys) if keys is None else set(keys))
     names = [_column_name(key, prefix_reserved) for key in keys]
     _refuse_case_twins([*EXPORT_COLUMNS, *names])
+    types = types or {}
+
+    def value(key: str) -> Column:
+        text = F.try_element_at("fields", F.lit(key))
+        return text.try_cast(types[key]) if key in types else text
+
     return log.select(
         "stream_name",
         format_id(F.col("ms"), F.col("seq")).alias("message_id"),
         F.col("ms").alias("timestamp_ms"),
         *[
-            F.try_element_at("fields", F.lit(key)).alias(name)
+            value(key).alias(name)
             for key, name in zip(keys, names, strict=True)
         ],
     )

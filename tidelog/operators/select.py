@@ -21,11 +21,14 @@ from tidelog.functions.ids import (
 )
 from tidelog.functions.payload import is_text, is_text_map, stringify
 from tidelog.operators.stats import auto_start_id, timeline_global, timeline_streams
-from tidelog.plans.scan import broadcast_if_small
+from tidelog.plans.scan import broadcast_if_small, div
 from tidelog.schema import require_positive, stream_keys
 
-# Name lists up to this length become literals in the plan; longer ones a join.
+# Name lists up to this length become literals, which reach the scan; longer
+# ones are sent to all tasks as a table.  The rows are the same.
 MAX_LITERALS = 200
+# Width of the time buckets whose counts tell how far a stream is read.
+READ_BUCKET_MS = 60_000
 
 
 # ---- by ID and time ---------------------------------------------------------
@@ -96,11 +99,13 @@ def truncate_by_time(
 
 
 def _listed(log: DataFrame, names: list[str], how: str) -> DataFrame:
+    """Join with a list the caller holds in memory, so it can be sent to all tasks."""
     listed = log.sparkSession.createDataFrame([(n,) for n in names], "stream_name string")
-    return log.join(listed, "stream_name", how)
+    return log.join(F.broadcast(listed), "stream_name", how).select(*log.columns)
 
 
 def include_streams(log: DataFrame, streams: Iterable[str | dict]) -> DataFrame:
+    """Messages of the listed streams; a message without a stream name is in no list."""
     names = stream_keys(streams)
     if len(names) > MAX_LITERALS:
         return _listed(log, names, "left_semi")
@@ -108,12 +113,13 @@ def include_streams(log: DataFrame, streams: Iterable[str | dict]) -> DataFrame:
 
 
 def exclude_streams(log: DataFrame, streams: Iterable[str | dict]) -> DataFrame:
+    """Messages of all other streams, and those without a stream name."""
     names = stream_keys(streams)
     if not names:
         return log
     if len(names) > MAX_LITERALS:
         return _listed(log, names, "left_anti")
-    return log.where(~F.col("stream_name").isin(names))
+    return log.where(~F.coalesce(F.col("stream_name").isin(names), F.lit(False)))
 
 
 def dropped_streams(log: DataFrame, streams: Iterable[str | dict]) -> DataFrame:
@@ -133,7 +139,7 @@ def rename_streams(log: DataFrame, names: Mapping[str, str]) -> DataFrame:
         mapping = log.sparkSession.createDataFrame(
             list(names.items()), "stream_name string, _renamed string"
         )
-        joined = log.join(mapping, "stream_name", "left")
+        joined = log.join(F.broadcast(mapping), "stream_name", "left")
         renamed = joined.withColumn(
             "stream_name", F.coalesce(F.col("_renamed"), F.col("stream_name"))
         )
@@ -146,18 +152,22 @@ def rename_streams(log: DataFrame, names: Mapping[str, str]) -> DataFrame:
 # ---- by position in a stream ------------------------------------------------
 
 
-def read_after(
-    log: DataFrame, last_ids: DataFrame | Mapping[str, MessageID | str], count: int
+def newer_than(
+    messages: DataFrame,
+    last_ids: DataFrame | Mapping[str, MessageID | str],
+    missing: str = "earliest",
 ) -> DataFrame:
-    """Per stream, the first ``count`` messages after that stream's last ID.
+    """Messages after their stream's last ID.
 
-    Streams without a last ID are not read.  ``last_ids`` is a mapping or a
-    DataFrame ``(stream_name, ms, seq)`` with one row per stream.
+    A stream without a last ID has no history that was read, so all of it is
+    new; ``missing='skip'`` leaves such streams out.  ``last_ids`` is a mapping
+    or a DataFrame ``(stream_name, ms, seq)`` with one row per stream.
     """
-    require_positive(count=count)
+    if missing not in ("earliest", "skip"):
+        raise ValueError(f"missing must be 'earliest' or 'skip', got {missing!r}")
     if not isinstance(last_ids, DataFrame):
         parsed = [(name, *bound(value)) for name, value in last_ids.items()]
-        last_ids = log.sparkSession.createDataFrame(
+        last_ids = messages.sparkSession.createDataFrame(
             parsed, "stream_name string, ms bigint, seq bigint"
         )
     seen = broadcast_if_small(
@@ -165,13 +175,53 @@ def read_after(
             "stream_name", F.col("ms").alias("_ms"), F.col("seq").alias("_seq")
         )
     )
-    new = log.join(seen, "stream_name").where(
-        strictly_after(F.col("_ms"), F.col("_seq"))
+    new = strictly_after(F.col("_ms"), F.col("_seq"))
+    if missing == "earliest":
+        new = F.col("_ms").isNull() | new
+    how = "left" if missing == "earliest" else "inner"
+    return messages.join(seen, "stream_name", how).where(new).select(*messages.columns)
+
+
+def read_after(
+    log: DataFrame,
+    last_ids: DataFrame | Mapping[str, MessageID | str],
+    count: int,
+    missing: str = "earliest",
+    bucket_ms: int = READ_BUCKET_MS,
+) -> DataFrame:
+    """Per stream, the first ``count`` messages after that stream's last ID.
+
+    ``last_ids`` and ``missing`` are those of :func:`newer_than`.  Counts per
+    stream and ``bucket_ms`` of message time tell in which bucket a stream
+    reaches ``count``; only rows up to it are shuffled and ordered, bucket by
+    bucket, so neither a hot stream nor a large ``count`` meets in one task.
+    """
+    require_positive(count=count, bucket_ms=bucket_ms)
+    new = newer_than(log, last_ids, missing).withColumn(
+        "_bucket", div(F.col("ms"), bucket_ms)
+    )
+    earlier = (
+        Window.partitionBy("stream_name")
+        .orderBy("_bucket")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    starts = (
+        new.groupBy("stream_name", "_bucket")
+        .agg(F.count("*").alias("_rows"))
+        .select(
+            "stream_name",
+            "_bucket",
+            F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+        )
+        .where(F.col("_before") < count)
+    )
+    by_id = Window.partitionBy("stream_name", "_bucket").orderBy(
+        "ms", "seq", "recording", "pos"
     )
-    by_id = Window.partitionBy("stream_name").orderBy("ms", "seq", "recording", "pos")
     return (
-        new.withColumn("_rank", F.row_number().over(by_id))
-        .where(F.col("_rank") <= count)
+        new.join(broadcast_if_small(starts), ["stream_name", "_bucket"])
+        .withColumn("_rank", F.row_number().over(by_id))
+        .where(F.col("_before") + F.col("_rank") <= count)
         .select(*log.columns)
     )
 

@@ -9,10 +9,13 @@ from __future__ import annotations
 from tidelog.plans.queries import (
     BATCH_SIZE,
     CAPTURE_MB,
+    CAPTURE_SECONDS,
     DAY_MS,
     EVENT_STREAMS,
     FETCH_ROWS,
+    MANY_ROWS,
     MAX_DELAY,
+    NEW_STREAM,
     REISSUE_BASE_MS,
     RENAMED,
     RENAMED_ORDERS,
@@ -157,8 +160,9 @@ ORACLES: dict[str, str] = {
         END) AS BIGINT) AS estimated
       FROM t""",
     "field_keys": """
-      SELECT unnest(['custkey', 'k', 'status', 'totalprice', 'user_id', 'value'])
-        AS field_key""",
+      SELECT unnest(json_keys(props::JSON)) AS field_key FROM events
+      UNION SELECT unnest(['user_id', 'value']) FROM events
+      UNION SELECT unnest(['custkey', 'status', 'totalprice']) FROM orders""",
     "last_ids": f"""WITH {O}, ranked AS (
         SELECT *, row_number() OVER (
           PARTITION BY stream_name ORDER BY ms DESC, seq DESC) AS r FROM o)
@@ -244,17 +248,18 @@ ORACLES: dict[str, str] = {
              strftime(make_timestamp(last_ms * 1000), '%d-%m-%Y %H:%M:%S') AS last_utc
       FROM r""",
     "bounded_capture": f"""WITH {E}, sized AS (
-        SELECT stream_name, ms, seq, pos, row_number() OVER (ORDER BY pos) - 1 AS n,
+        SELECT stream_name, ms, seq, pos,
           2 + {_entry("stream_name")} + {_entry("(ms || '-' || seq)")}
           + {_entry("'user_id'")} + {_entry("CAST(user_id AS VARCHAR)")}
+          + {_entry("'value'")} + {_entry("CAST(value AS VARCHAR)")}
           + {_entry("'k'")} + {_entry("CAST(k AS VARCHAR)")} AS bytes
-        FROM e), fetches AS (
-        SELECT n // {FETCH_ROWS} AS f, sum(bytes) AS bytes FROM sized GROUP BY 1),
-      totals AS (
-        SELECT f, sum(bytes) OVER (ORDER BY f) - bytes AS before FROM fetches)
-      SELECT stream_name, ms, seq, pos FROM sized
-      WHERE n // {FETCH_ROWS} IN (
-        SELECT f FROM totals WHERE before < {int(CAPTURE_MB * 1024 * 1024)})""",
+        FROM e), totals AS (
+        SELECT *, sum(bytes) OVER (ORDER BY pos) - bytes AS before FROM sized)
+      SELECT stream_name, ms, seq, pos FROM totals
+      WHERE before < {int(CAPTURE_MB * 1024 * 1024)}""",
+    "bounded_duration": f"""WITH {E}, start AS (SELECT arg_min(ms, pos) AS first FROM e),
+      late AS (SELECT min(pos) AS stop FROM e, start WHERE ms >= first + {CAPTURE_SECONDS * 1000})
+      SELECT stream_name, ms, seq, pos FROM e, late WHERE stop IS NULL OR pos < stop""",
     "fmt_hms": f"""WITH {E}, d AS (
         SELECT pos, greatest(ms - {WEEK_START.ms}, 0) AS t FROM e)
       SELECT pos, printf('%02d:%02d:%02d.%03d', t // 3600000, t // 60000 % 60,
@@ -292,12 +297,62 @@ ORACLES: dict[str, str] = {
              ELSE day + t END AS found_ms
       FROM s""",
     "stream_capture": f"WITH {E} SELECT {EVENT_ROW} FROM e WHERE stream_name IN ({LISTED})",
-    "stream_resume": f"""WITH {E}, seen AS (
-        SELECT stream_name AS s, max(ms) AS m FROM e WHERE ms < {WEEK_START.ms} GROUP BY 1)
-      SELECT stream_name, ms, pos FROM e JOIN seen ON stream_name = s WHERE ms > m""",
+    "stream_resume": f"""WITH {E}, early AS (
+        SELECT * FROM e WHERE ms < {WEEK_START.ms} AND stream_name <> '{NEW_STREAM}'),
+      ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY stream_name ORDER BY ms DESC, seq DESC) AS r
+        FROM early),
+      seen AS (SELECT stream_name AS s, ms AS m, seq AS q FROM ranked WHERE r = 1)
+      SELECT stream_name, ms, seq, pos FROM e LEFT JOIN seen ON stream_name = s
+      WHERE s IS NULL OR ms > m OR (ms = m AND seq > q)""",
     "stream_stats_live": f"""WITH {E}, f AS (
-        SELECT stream_name, count(*) AS messages, arg_min(ms, pos) AS a,
-               arg_max(ms, pos) AS b FROM e GROUP BY stream_name)
-      SELECT stream_name, messages, a || '-0' AS first_id, b || '-0' AS last_id,
+        SELECT stream_name, count(*) AS messages, arg_min(ms, pos) AS a, arg_min(seq, pos) AS p,
+               arg_max(ms, pos) AS b, arg_max(seq, pos) AS q FROM e GROUP BY stream_name)
+      SELECT stream_name, messages, a || '-' || p AS first_id, b || '-' || q AS last_id,
              b - a AS duration_ms, (b - a)::DOUBLE / 1000 AS duration_s FROM f""",
+    "capture_restart": f"WITH {E} SELECT {EVENT_ROW} FROM e",
+    "capture_status": f"""WITH {E}
+      SELECT count(*) FILTER (WHERE stream_name IN ({LISTED})) AS kept,
+             count(*) FILTER (WHERE stream_name NOT IN ({LISTED})) AS dropped FROM e""",
+    "read_after_many": f"""WITH {O}, ranked AS (
+        SELECT stream_name, ms, seq, pos, row_number() OVER (
+          PARTITION BY stream_name ORDER BY ms, seq, pos) AS r
+        FROM o WHERE ms > 800000000000)
+      SELECT stream_name, ms, seq, pos FROM ranked WHERE r <= {MANY_ROWS}""",
+    "include_streams_many": f"""WITH {E}
+      SELECT stream_name, ms, pos FROM e WHERE pos % 101 <> 0 AND stream_name IN ({LISTED})""",
+    "exclude_streams_many": f"""WITH {E}
+      SELECT CASE WHEN pos % 101 <> 0 THEN stream_name END AS stream_name, ms, pos FROM e
+      WHERE pos % 101 = 0 OR stream_name NOT IN ({LISTED})""",
+    "rename_streams_many": f"""WITH {E}
+      SELECT CASE WHEN pos % 101 <> 0 THEN {_renaming(RENAMED)} END AS stream_name, ms, pos
+      FROM e""",
+    "recording_order": f"""WITH {E}, {O}, both_logs AS (
+        SELECT 0 AS part, stream_name, ms, seq, pos FROM e
+        UNION ALL SELECT 1, stream_name, ms, seq, pos FROM o)
+      SELECT row_number() OVER (ORDER BY part, pos) - 1 AS arrival, stream_name, ms, seq
+      FROM both_logs""",
+    "recording_cuts": """
+      SELECT 'documents:' || source AS stream_name, doc_id, lang, md5(text) AS text_md5
+      FROM documents""",
+    "replay_order_big_batch": f"""WITH {O}, b AS (
+        SELECT *, (row_number() OVER (ORDER BY pos) - 1) // {MANY_ROWS} AS batch FROM o)
+      SELECT row_number() OVER (ORDER BY batch, ms, seq, pos) - 1 AS replay_no, batch,
+             stream_name, ms, seq, pos FROM b""",
+}
+# The same rows whatever the buckets, and in one pass or two.
+ORACLES |= {
+    f"{name}_many": ORACLES[name]
+    for name in (
+        "replay_order",
+        "replay_delay",
+        "replay_due",
+        "flush_groups",
+        "batch_summary",
+        "format_message_id",
+    )
+}
+ORACLES |= {
+    "truncate_observed": ORACLES["truncate_counts"],
+    "capture_rotated": ORACLES["rotate_by_time"],
 }

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import clock, ids
 from tidelog.operators import arrival, replay, select, stats
+from tidelog.plans.scan import number_by_arrival
 from tidelog.plans.storage import new_table
 from tidelog.sources import adapters, sinks
 from tidelog.sources.recordings import read_recordings, write_recordings
@@ -26,6 +27,7 @@ WEEK_END = ids.MessageID(1705276800000, 5)
 DAY_MS = 86_400_000
 EVENT_STREAMS = ["events:click", "events:view"]
 SKIPPED_STREAM = "orders:5-LOW"
+NEW_STREAM = "events:click"
 RENAMED = {
     "events:click": "web",
     "events:view": "web",
@@ -37,7 +39,13 @@ SPEED = float(2**21)
 MAX_DELAY = 60.0
 REISSUE_BASE_MS = 1_700_000_000_000
 CAPTURE_MB = 0.25
+CAPTURE_SECONDS = 200_000
 FETCH_ROWS = 100
+MANY_ROWS = 5000
+# Buckets, cuts and lists so small or long that even small tables fill many.
+SMALL_BUCKET = 5000
+SMALL_CUT = 1 << 17
+MANY_NAMES = [*(f"other:{n}" for n in range(300)), *EVENT_STREAMS]
 
 REPLAY = {"batch_size": BATCH_SIZE, "exclude": [SKIPPED_STREAM]}
 TIMED = {"speed": SPEED, "max_delay": MAX_DELAY, **REPLAY}
@@ -345,12 +353,13 @@ def replay_batches(spark: SparkSession, folder: str) -> DataFrame:
 
 def bounded_capture(spark: SparkSession, folder: str) -> DataFrame:
     log = adapters.events_log(spark, folder)
-    text_only = F.map_filter("fields", lambda key, _: key != "value")
-    kept = arrival.bounded_capture(
-        log.withColumn("fields", text_only),
-        max_size_mb=CAPTURE_MB,
-        fetch_rows=FETCH_ROWS,
-    )
+    kept = arrival.bounded_capture(log, max_size_mb=CAPTURE_MB)
+    return kept.select("stream_name", "ms", "seq", "pos")
+
+
+def bounded_duration(spark: SparkSession, folder: str) -> DataFrame:
+    log = adapters.events_log(spark, folder)
+    kept = arrival.bounded_capture(log, max_duration=CAPTURE_SECONDS)
     return kept.select("stream_name", "ms", "seq", "pos")
 
 
@@ -427,25 +436,189 @@ def stream_capture(spark: SparkSession, folder: str) -> DataFrame:
     return _with_event_fields(captured)
 
 
+def _events_in_files(
+    spark: SparkSession, folder: str, parts: int = 6
+) -> tuple[DataFrame, DataFrame]:
+    """E as several files: a stream of one file per micro-batch, and the whole."""
+    path = new_table(spark, "events")
+    log = adapters.events_log(spark, folder)
+    log.repartitionByRange(parts, "pos").write.parquet(path)
+    whole = spark.read.parquet(path)
+    return capture.table_stream(spark, path, "*.parquet", whole.schema, 1), whole
+
+
 def stream_resume(spark: SparkSession, folder: str) -> DataFrame:
+    """Only what is new; one stream has no history before the start."""
     path = new_table(spark, "resumed")
-    zero = F.lit(0).cast("bigint")
-    early = _events(spark, folder).where(F.col("ms") < WEEK_START.ms)
-    seen = stats.last_ids(early.withColumn("seq", zero))
-    new = capture.start_after(_events_stream(spark, folder).withColumn("seq", zero), seen)
+    messages, log = _events_in_files(spark, folder)
+    early = log.where((F.col("ms") < WEEK_START.ms) & (F.col("stream_name") != NEW_STREAM))
+    new = capture.start_after(messages, stats.last_ids(early))
     capture.start_capture(new, path, f"{path}-offsets").awaitTermination()
-    return spark.read.parquet(path).select("stream_name", "ms", "pos")
+    return spark.read.parquet(path).select("stream_name", "ms", "seq", "pos")
 
 
 def stream_stats_live(spark: SparkSession, folder: str) -> DataFrame:
     path = new_table(spark, "live-stats")
-    messages = _events_stream(spark, folder)
-    # The table has no sequence numbers, and a stream cannot number its rows.
-    messages = messages.withColumn("seq", F.lit(0).cast("bigint"))
+    messages, _ = _events_in_files(spark, folder)
     capture.start_live_stats(messages, path, f"{path}-offsets").awaitTermination()
     return capture.live_stats(spark, path)
 
 
+def capture_restart(spark: SparkSession, folder: str) -> DataFrame:
+    """Two runs of one capture; the second finds more files."""
+    inbox, path = new_table(spark, "inbox"), new_table(spark, "captured")
+    log = adapters.events_log(spark, folder)
+    for half in (F.col("pos") % 2 == 0, F.col("pos") % 2 == 1):
+        log.where(half).repartition(3, "pos").write.mode("append").parquet(inbox)
+        schema = spark.read.parquet(inbox).schema
+        messages = capture.table_stream(spark, inbox, "*.parquet", schema, 1)
+        capture.start_capture(messages, path, f"{path}-offsets").awaitTermination()
+    return _with_event_fields(spark.read.parquet(path))
+
+
+def capture_rotated(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_table(spark, "captured")
+    messages, _ = _events_in_files(spark, folder)
+    capture.start_capture(
+        messages, path, f"{path}-offsets", rotate_ms=DAY_MS
+    ).awaitTermination()
+    rotated = spark.read.parquet(path)
+    return rotated.groupBy(F.col("rotation").cast("bigint").alias("rotation")).agg(
+        F.count("*").alias("messages"),
+        F.min("ms").alias("min_ms"),
+        F.max("ms").alias("max_ms"),
+    )
+
+
+def capture_status(spark: SparkSession, folder: str) -> DataFrame:
+    """What a capture with limits kept and dropped over many micro-batches."""
+    path = new_table(spark, "captured")
+    messages, _ = _events_in_files(spark, folder)
+    done = capture.capture_with_limits(messages, path, f"{path}-offsets", EVENT_STREAMS)
+    return spark.createDataFrame([(done.kept, done.dropped)], "kept bigint, dropped bigint")
+
+
+# ---- the same operators over many buckets, cuts, names ----------------------
+
+
+def replay_order_many(spark: SparkSession, folder: str) -> DataFrame:
+    ordered = replay.replay_order(
+        adapters.orders_log(spark, folder),
+        rename=RENAMED_ORDERS,
+        bucket_rows=SMALL_BUCKET,
+        **REPLAY,
+    )
+    return ordered.select("replay_no", "batch", "stream_name", "ms", "seq", "pos")
+
+
+def replay_order_big_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches of more rows than a bucket."""
+    ordered = replay.replay_order(
+        adapters.orders_log(spark, folder), batch_size=MANY_ROWS, bucket_rows=MANY_ROWS // 4
+    )
+    return ordered.select("replay_no", "batch", "stream_name", "ms", "seq", "pos")
+
+
+def replay_delay_many(spark: SparkSession, folder: str) -> DataFrame:
+    log = adapters.orders_log(spark, folder)
+    return replay.replay_delay(log, bucket_rows=SMALL_BUCKET, **TIMED).select(
+        "replay_no", "ms", "prev_ms", "delay_us", "pos"
+    )
+
+
+def replay_due_many(spark: SparkSession, folder: str) -> DataFrame:
+    log = adapters.orders_log(spark, folder)
+    return replay.replay_schedule(log, bucket_rows=SMALL_BUCKET, **TIMED).select(
+        "replay_no", "stream_name", "ms", "seq", "pos", "due_us"
+    )
+
+
+def flush_groups_many(spark: SparkSession, folder: str) -> DataFrame:
+    log = adapters.orders_log(spark, folder)
+    scheduled = replay.replay_schedule(log, bucket_rows=SMALL_BUCKET, **TIMED)
+    return scheduled.groupBy("flush_group").agg(
+        F.count("*").alias("messages"),
+        F.min("replay_no").alias("first_no"),
+        F.max("replay_no").alias("last_no"),
+        F.max("due_us").alias("due_us"),
+    )
+
+
+def batch_summary_many(spark: SparkSession, folder: str) -> DataFrame:
+    return stats.batch_summary(_orders(spark, folder), BATCH_SIZE, SMALL_BUCKET)
+
+
+def format_message_id_many(spark: SparkSession, folder: str) -> DataFrame:
+    log = adapters.with_sequence(_orders(spark, folder), SMALL_BUCKET)
+    message_id = ids.format_id(F.col("ms"), F.col("seq")).alias("message_id")
+    return log.select("pos", message_id)
+
+
+def read_after_many(spark: SparkSession, folder: str) -> DataFrame:
+    log = adapters.orders_log(spark, folder)
+    seen = stats.last_ids(select.truncate(log, to_id="800000000000-0"))
+    new = select.read_after(log, seen, MANY_ROWS, bucket_ms=30 * DAY_MS)
+    return new.select("stream_name", "ms", "seq", "pos")
+
+
+def _partly_named(spark: SparkSession, folder: str) -> DataFrame:
+    name = F.when(F.col("pos") % 101 != 0, F.col("stream_name"))
+    return _events(spark, folder).withColumn("stream_name", name)
+
+
+def include_streams_many(spark: SparkSession, folder: str) -> DataFrame:
+    kept = select.include_streams(_partly_named(spark, folder), MANY_NAMES)
+    return kept.select("stream_name", "ms", "pos")
+
+
+def exclude_streams_many(spark: SparkSession, folder: str) -> DataFrame:
+    kept = select.exclude_streams(_partly_named(spark, folder), MANY_NAMES)
+    return kept.select("stream_name", "ms", "pos")
+
+
+def rename_streams_many(spark: SparkSession, folder: str) -> DataFrame:
+    names = {**{name: "unused" for name in MANY_NAMES}, **RENAMED}
+    renamed = select.rename_streams(_partly_named(spark, folder), names)
+    return renamed.select("stream_name", "ms", "pos")
+
+
+def truncate_observed(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts taken by the pass that writes the rows."""
+    log = adapters.events_log(spark, folder)
+    kept, counts = select.truncate_observed(log, WEEK_START, WEEK_END)
+    kept.write.format("noop").mode("overwrite").save()
+    found = [(counts.get["written"], counts.get["skipped"])]
+    return spark.createDataFrame(found, "written bigint, skipped bigint")
+
+
+def recording_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Two appends to one folder, numbered by arrival."""
+    path = new_table(spark, "recordings")
+    write_recordings(adapters.events_log(spark, folder), path)
+    write_recordings(adapters.orders_log(spark, folder), path)
+    numbered = number_by_arrival(read_recordings(spark, path), "arrival", SMALL_BUCKET)
+    return numbered.select("arrival", "stream_name", "ms", "seq")
+
+
+def recording_cuts(spark: SparkSession, folder: str) -> DataFrame:
+    """Long texts in many scripts, as one recording file read in many cuts."""
+    path = new_table(spark, "recordings")
+    docs = adapters.table(spark, folder, "documents").select(
+        F.concat(F.lit("documents:"), F.col("source")).alias("stream_name"),
+        F.col("doc_id").alias("ms"),
+        F.lit(0).cast("bigint").alias("seq"),
+        F.create_map(F.lit("lang"), F.col("lang"), F.lit("text"), F.col("text")).alias("fields"),
+        F.lit("documents").alias("recording"),
+        F.col("doc_id").alias("pos"),
+    )
+    write_recordings(docs, path)
+    back = read_recordings(spark, path, split_bytes=SMALL_CUT)
+    text = F.try_element_at("fields", F.lit("text"))
+    return back.select(
+        "stream_name", F.col("ms").alias("doc_id"), _field("lang", "string"), F.md5(text).alias("text_md5")
+    )
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in [
@@ -496,8 +669,26 @@ QUERIES: dict[str, Query] = {
         stream_capture,
         stream_resume,
         stream_stats_live,
+        capture_restart,
+        capture_rotated,
+        capture_status,
+        bounded_duration,
+        replay_order_many,
+        replay_order_big_batch,
+        replay_delay_many,
+        replay_due_many,
+        flush_groups_many,
+        batch_summary_many,
+        format_message_id_many,
+        read_after_many,
+        include_streams_many,
+        exclude_streams_many,
+        rename_streams_many,
+        truncate_observed,
+        recording_order,
+        recording_cuts,
     ]
 }
 
 # Queries whose tasks run Python code of this package.
-PYTHON_WORKERS = {"recording_roundtrip"}
+PYTHON_WORKERS = {"recording_roundtrip", "recording_order", "recording_cuts"}

@@ -128,26 +128,27 @@ def number_within(
     column: str,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """Number the rows of each group 0, 1, 2, … by ``pos``; groups may be huge.
+    """Number the rows of each group 0, 1, 2, … in arrival order; groups may be huge.
 
-    A group is split by position bucket.  Only groups that really span several
+    A group is split by recording and position bucket.  Only groups that really span several
     buckets get a carried start, so the joined table stays small when groups
     are small.
     """
     group = list(group)
     bucketed = log.withColumn("_bucket", div(F.col("pos"), bucket_rows))
-    counts = bucketed.groupBy(*group, "_bucket").agg(F.count("*").alias("_rows"))
+    place = ["recording", "_bucket"]
+    counts = bucketed.groupBy(*group, *place).agg(F.count("*").alias("_rows"))
     earlier = (
         Window.partitionBy(*group)
-        .orderBy("_bucket")
+        .orderBy(*place)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     starts = counts.select(
-        *group, "_bucket", F.sum("_rows").over(earlier).alias("_start")
+        *group, *place, F.sum("_rows").over(earlier).alias("_start")
     ).where(F.col("_start") > 0)
-    inside = Window.partitionBy(*group, "_bucket").orderBy("pos")
+    inside = Window.partitionBy(*group, *place).orderBy("pos")
     numbered = bucketed.withColumn("_local", F.row_number().over(inside))
     number = F.coalesce(F.col("_start"), F.lit(0)) + F.col("_local") - 1
-    return numbered.join(starts, [*group, "_bucket"], "left").select(
+    return numbered.join(starts, [*group, *place], "left").select(
         *log.columns, number.alias(column)
     )

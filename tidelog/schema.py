@@ -19,8 +19,6 @@ MESSAGE_LOG = T.StructType(
     ]
 )
 
-KEY_COLUMNS = ["stream_name", "ms", "seq", "recording", "pos"]
-
 # The names of the columns an export adds before the fields,
 # and the export formats.
 EXPORT_COLUMNS = ["stream_name", "message_id", "timestamp_ms"]

@@ -38,17 +38,24 @@ def within_ms(
 
 
 def events_arrivals(events: DataFrame) -> DataFrame:
-    """The events table (batch or streaming), one stream per event type."""
+    """The events table (batch or streaming), one stream per event type.
+
+    Fields are the user, the value and whatever keys ``props`` has.
+    """
     return events.select(
         F.concat(F.lit("events:"), F.col("event_type")).alias("stream_name"),
         epoch_ms(F.col("ts")).alias("ms"),
-        F.create_map(
-            F.lit("user_id"),
-            F.col("user_id").cast("string"),
-            F.lit("value"),
-            F.col("value").cast("string"),
-            F.lit("k"),
-            F.get_json_object("props", "$.k"),
+        F.map_concat(
+            F.create_map(
+                F.lit("user_id"),
+                F.col("user_id").cast("string"),
+                F.lit("value"),
+                F.col("value").cast("string"),
+            ),
+            F.coalesce(
+                F.from_json("props", "map<string,string>"),
+                F.create_map().cast("map<string,string>"),
+            ),
         ).alias("fields"),
         F.lit("events").alias("recording"),
         F.col("event_id").alias("pos"),

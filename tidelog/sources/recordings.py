@@ -17,6 +17,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from posixpath import basename
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -35,12 +36,15 @@ from pyspark.sql.datasource import (
 from tidelog.plans.storage import new_table
 from tidelog.schema import MESSAGE_LOG, require_columns
 from tidelog.sources import packing
+from tidelog.sources.sinks import refuse_own_input
 
 CORRUPT = "_corrupt_record"
 SPLIT_BYTES = 64 << 20
 BATCH_ROWS = 4_096
 SYNC_RECORDS = 3
 MAX_TASKS = 100_000
+# Bytes that the records at a guessed start may take.
+LOOK_AHEAD = 4 << 20
 
 _SCHEMA = T.StructType([*MESSAGE_LOG.fields, T.StructField(CORRUPT, T.StringType())])
 _SCHEMA_NULLABLE = T.StructType([T.StructField(f.name, f.dataType) for f in _SCHEMA])
@@ -63,6 +67,7 @@ log = logging.getLogger(__name__)
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI, and the path inside it."""
+    path = re.sub("^s3[an]://", "s3://", path)
     if path.startswith("file:"):
         path = re.sub(r"^file:/*", "/", path)
     elif "://" not in path:
@@ -90,7 +95,7 @@ def _rows(
                     yield _batch(rows)
                     rows = []
         except packing.Corrupt as problem:
-            log.warning("%s: %s, stopped at the last complete record", path, problem)
+            log.warning("%s ends early: %s; the records before that are read", path, problem)
     if rows:
         yield _batch(rows)
 
@@ -107,14 +112,20 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _guess_start(file: pa.NativeFile, size: int, low: int, high: int) -> int | None:
-    """First offset in ``[low, high)`` where a few records in a row seem to begin."""
+    """First offset in ``[low, high)`` where a few records in a row seem to begin.
+
+    A place whose records would reach more than ``LOOK_AHEAD`` bytes is passed
+    over: bytes inside a text may look like a huge record.  If it was one, the
+    cut before shows it, and the cut is walked again from the right place.
+    """
     file.seek(low)
     buf, at = file.read(packing.READ_BYTES), 0
     while True:
         at = buf.find(packing.RECORD_START, at)
         whole = low + len(buf) >= size
         if at < 0 and not whole and low + len(buf) < high:
-            at, buf = len(buf), buf + file.read(len(buf))
+            low, at = low + len(buf), 0
+            buf = file.read(packing.READ_BYTES)
             continue
         if at < 0 or low + at >= high:
             return None
@@ -130,7 +141,11 @@ def _guess_start(file: pa.NativeFile, size: int, low: int, high: int) -> int | N
         except packing.Short:
             if whole:
                 return low + at
-            buf += file.read(len(buf))
+            if len(buf) - at >= LOOK_AHEAD:
+                at += 1
+                continue
+            low, buf, at = low + at, buf[at:], 0
+            buf += file.read(max(packing.READ_BYTES, len(buf)))
         except packing.Corrupt:
             at += 1
 
@@ -290,7 +305,8 @@ def read_recordings(
 ) -> DataFrame:
     """All recordings under a path (file, folder or glob) as one message log.
 
-    ``recording`` is the file's name, ``pos`` the number of the record in it.
+    ``recording`` is the file's path below ``path`` (for a glob: below its last
+    folder without a wildcard), ``pos`` the number of the record in the file.
     An incomplete tail is left out; a missing path gives no rows.  For a record
     that is malformed, ``DROPMALFORMED`` drops it, ``PERMISSIVE`` keeps its
     place with the reason in ``_corrupt_record``, ``FAILFAST`` raises.
@@ -305,17 +321,39 @@ def read_recordings(
         return _by_mode(spark.createDataFrame([], _SCHEMA_NULLABLE), mode)
     files = listed.select("path", F.col("length").alias("size")).where("size > 0")
     cuts = _cuts(files, split_bytes)
+    root = _root(path)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                name = basename(row["path"])
+                name = _below(row["path"], root)
                 yield from _rows(row["path"], name, row["start"], row["end"], row["pos"])
 
     rows = _spread(cuts, cuts.count()).mapInArrow(decode, _SCHEMA_NULLABLE)
     return _by_mode(rows, mode)
 
 
+def _plain(path: str) -> str:
+    """A path without scheme and authority."""
+    return re.sub(r"^[a-zA-Z][\w+.-]*:(//[^/]*)?", "", path)
+
+
+def _root(path: str) -> str:
+    """The part of a path before its first wildcard, in whole folders."""
+    plain = _plain(path)
+    if "://" not in path and not path.startswith("file:"):
+        plain = os.path.abspath(plain)
+    plain = plain.rstrip("/")
+    wild = re.search(r"[*?\[{]", plain)
+    return plain[: wild.start()].rpartition("/")[0] if wild else plain
+
+
+def _below(path: str, root: str) -> str:
+    plain = unquote(_plain(path))
+    below = plain.removeprefix(root).strip("/") if plain.startswith(f"{root}/") else ""
+    return below or basename(plain)
+
+
 def _checked_mode(mode: str) -> str:
     if mode.upper() not in ("DROPMALFORMED", "PERMISSIVE", "FAILFAST"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -347,7 +385,7 @@ class RecordingSink(DataSource):
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
         if overwrite:
             raise ValueError("recordings are append-only; use mode('append')")
-        return _Writer(self.options["path"])
+        return _Writer(self.options["path"], int(self.options.get("call", "0")))
 
 
 @dataclass
@@ -359,15 +397,17 @@ class _Written(WriterCommitMessage):
 class _Writer(DataSourceArrowWriter):
     """One file per task, under a hidden name until the job commits."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, call: int) -> None:
         self.path = path
+        self.call = call
         self.job = uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         context = TaskContext.get()
         system, inner = filesystem(self.path)
         system.create_dir(inner, recursive=True)
-        part = f"part-{context.partitionId():05d}-{self.job}.msgpack"
+        number = f"{self.call:010d}-{context.partitionId():08d}"
+        part = f"part-{number}-{self.job}.msgpack"
         temporary = f"{inner}/.{part}.{context.taskAttemptId()}"
         with system.open_output_stream(temporary) as file:
             for batch in iterator:
@@ -395,9 +435,12 @@ class _Writer(DataSourceArrowWriter):
 def write_recordings(messages: DataFrame, path: str) -> None:
     """Append a log as recording files, in arrival order within and across files.
 
-    The files of one call, concatenated by name, are one recording.
+    The files of all calls, by name, are in arrival order: names begin with the
+    number of the call in this folder.  Calls at the same time may get the same
+    number and then stand in any order.  A NULL map comes back empty.
     """
     require_columns(messages, MESSAGE_LOG.names)
+    refuse_own_input(messages, path)
     messages.sparkSession.dataSource.register(RecordingSink)
     order = ["recording", "pos"]
     (
@@ -406,5 +449,14 @@ def write_recordings(messages: DataFrame, path: str) -> None:
         .select("stream_name", "ms", "seq", "fields")
         .write.format("recording")
         .mode("append")
+        .option("call", _next_call(path))
         .save(path)
     )
+
+
+def _next_call(path: str) -> int:
+    """One more than the largest call number among the folder's files."""
+    system, inner = filesystem(path)
+    found = system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+    calls = [re.match(r"part-(\d{10})-\d{8}-", file.base_name) for file in found]
+    return 1 + max([0, *[int(call[1]) for call in calls if call]])

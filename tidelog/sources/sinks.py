@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.operators.flatten import flatten_fields
+from tidelog.operators.flatten import MAX_KEYS, flatten_fields, keys_or_none
 from tidelog.plans.scan import div
 from tidelog.schema import require_format, require_positive
 
@@ -32,18 +32,25 @@ def write_log(log: DataFrame, path: str, by_time: bool = False) -> None:
     later skip most row groups.  The sort key ends in the unique row position:
     even one single hot millisecond is spread over many tasks.
     """
-    _refuse_own_input(log, path)
+    refuse_own_input(log, path)
     if by_time:
         key = ["ms", "seq", "recording", "pos"]
         log = log.repartitionByRange(*key).sortWithinPartitions(*key)
     log.write.mode("append").parquet(path)
 
 
-def _refuse_own_input(log: DataFrame, path: str) -> None:
-    def bare(name: str) -> str:
-        return "/" + name.split(":", 1)[-1].strip("/") + "/"
+def refuse_own_input(log: DataFrame, path: str) -> None:
+    """Raise if the rows are read from below the path they are to be written to."""
+    jvm = log.sparkSession.sparkContext._jvm
+    conf = log.sparkSession.sparkContext._jsc.hadoopConfiguration()
 
-    if any(bare(name).startswith(bare(path)) for name in log.inputFiles()):
+    def qualified(name: str) -> str:
+        place = jvm.org.apache.hadoop.fs.Path(name)
+        return place.getFileSystem(conf).makeQualified(place).toUri().getPath() + "/"
+
+    target = qualified(path)
+    inputs = {name.rsplit("/", 1)[0] for name in log.inputFiles()}
+    if any((qualified(name) + "/").startswith(target) for name in inputs):
         raise ValueError(f"{path} is read by the rows to be written to it")
 
 
@@ -53,15 +60,23 @@ def export(
     fmt: str = "parquet",
     keys: Sequence[str] | None = None,
     prefix_reserved: bool = False,
+    max_keys: int = MAX_KEYS,
+    types: Mapping[str, str] | None = None,
 ) -> bool:
     """Write the flattened log as Parquet or CSV; no rows, no output.
 
-    Returns whether anything was written.
+    The other arguments are those of ``flatten_fields``.  Returns whether
+    anything was written.
     """
     require_format(fmt)
-    if log.isEmpty():
+    refuse_own_input(log, path)
+    if keys is None:
+        keys = keys_or_none(log, max_keys)
+        if keys is None:
+            return False
+    elif log.isEmpty():
         return False
-    flat = flatten_fields(log, keys, prefix_reserved)
+    flat = flatten_fields(log, keys, prefix_reserved, types=types)
     if fmt == "csv":
         flat.write.options(**CSV_OPTIONS).csv(path)
     else:
@@ -88,5 +103,6 @@ def write_rotated(log: DataFrame, path: str, interval_ms: int) -> None:
     Rows are gathered by interval, and AQE splits an interval that is too big
     for one task, so files are few without a hot interval stalling the job.
     """
+    refuse_own_input(log, path)
     rotated = rotation(log, interval_ms).hint("rebalance", "rotation")
     rotated.write.mode("append").partitionBy("rotation").parquet(path)

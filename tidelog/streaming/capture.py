@@ -5,7 +5,6 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
-from datetime import UTC, datetime
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -19,14 +18,16 @@ from pyspark.sql.streaming.listener import (
     QueryTerminatedEvent,
 )
 
-from tidelog.functions.ids import MessageID, bound, strictly_after
+from tidelog.functions.ids import MessageID
 from tidelog.operators.arrival import message_bytes
-from tidelog.operators.select import dropped_streams, include_streams
+from tidelog.operators.select import dropped_streams, include_streams, newer_than
 from tidelog.operators.stats import across_recordings, describe, recording_stats
-from tidelog.plans.scan import broadcast_if_small
-from tidelog.schema import require_positive
+from tidelog.schema import require_positive, stream_keys
 from tidelog.sources.sinks import rotation
 
+# The name under which a capture reports its counts.
+COUNTS = "capture_counts"
+
 
 def table_stream(
     spark: SparkSession,
@@ -47,32 +48,21 @@ def table_stream(
 
 
 def start_after(
-    messages: DataFrame, last_ids: DataFrame | Mapping[str, MessageID | str] | str
+    messages: DataFrame,
+    last_ids: DataFrame | Mapping[str, MessageID | str] | str,
+    missing: str = "earliest",
 ) -> DataFrame:
     """Messages after each stream's last ID; ``'earliest'`` takes all history.
 
-    Streams without a last ID are not captured.  For "only what is new", pass
-    what :func:`tidelog.operators.stats.last_ids` gives at the start.
+    For "only what is new", pass what :func:`tidelog.operators.stats.last_ids`
+    gives at the start: a stream that is not in it has no history yet, so it is
+    captured from its first message on (``missing='skip'`` leaves it out).
     """
     if isinstance(last_ids, str):
         if last_ids != "earliest":
             raise ValueError(f"last_ids must be IDs or 'earliest', got {last_ids!r}")
         return messages
-    if not isinstance(last_ids, DataFrame):
-        bounds = [(name, *bound(value)) for name, value in last_ids.items()]
-        last_ids = messages.sparkSession.createDataFrame(
-            bounds, "stream_name string, ms bigint, seq bigint"
-        )
-    seen = broadcast_if_small(
-        last_ids.select(
-            "stream_name", F.col("ms").alias("_ms"), F.col("seq").alias("_seq")
-        )
-    )
-    return (
-        messages.join(seen, "stream_name")
-        .where(strictly_after(F.col("_ms"), F.col("_seq")))
-        .select(*messages.columns)
-    )
+    return newer_than(messages, last_ids, missing)
 
 
 def start_capture(
@@ -91,7 +81,11 @@ def start_capture(
     on where the last one stopped.
     """
     if streams is not None:
-        messages = include_streams(messages, streams)
+        names = list(streams)
+        messages = _counted(messages, names)
+        messages = include_streams(messages, names)
+    else:
+        messages = messages.observe(COUNTS, F.count("*").alias("kept"), F.lit(0).alias("dropped"))
     if rotate_ms is not None:
         messages = rotation(messages, rotate_ms)
     writer = messages.writeStream.format("parquet").outputMode("append")
@@ -102,16 +96,26 @@ def start_capture(
     return writer.option("checkpointLocation", checkpoint).start(path)
 
 
+def _counted(messages: DataFrame, names: list[str | dict]) -> DataFrame:
+    """Count listed and other messages in the pass that writes them."""
+    listed = F.coalesce(F.col("stream_name").isin(stream_keys(names)), F.lit(False))
+    return messages.observe(
+        COUNTS, F.count_if(listed).alias("kept"), F.count_if(~listed).alias("dropped")
+    )
+
+
 class _LimitReached(Exception):
     """Ends a capture before the micro-batch at hand is written."""
 
 
 @dataclass
 class CaptureResult:
-    """What a limited capture did: the reason it ended and its elapsed time."""
+    """What a limited capture did: why it ended, elapsed time, messages of this run."""
 
     reason: str
     seconds: float
+    kept: int = 0
+    dropped: int = 0
 
 
 def capture_with_limits(
@@ -137,6 +141,7 @@ def capture_with_limits(
     wanted = list(streams)
     started = time.monotonic()
     reason: list[str] = []
+    totals = {"kept": 0, "dropped": 0}
 
     def stop(why: str) -> None:
         reason.append(why)
@@ -148,15 +153,26 @@ def capture_with_limits(
             stop("max_duration")
         if limit is not None and _captured_bytes(spark, path, number) >= limit:
             stop("max_size_mb")
-        seen = Observation()
-        size = F.coalesce(F.sum(message_bytes()), F.lit(0)).alias("bytes")
-        wanted_rows = include_streams(batch, wanted).observe(seen, size)
-        wanted_rows.write.mode("overwrite").parquet(f"{path}/generation={number}")
-        for name, rows in (
-            ("dropped", dropped_streams(batch, wanted)),
-            ("sizes", spark.createDataFrame([(seen.get["bytes"],)], "bytes bigint")),
-        ):
-            rows.write.mode("overwrite").parquet(f"{path}-{name}/generation={number}")
+        batch = batch.persist()  # read twice below, from the source once
+        try:
+            seen = Observation()
+            wanted_rows = include_streams(batch, wanted).observe(
+                seen,
+                F.coalesce(F.sum(message_bytes()), F.lit(0)).alias("bytes"),
+                F.count("*").alias("kept"),
+            )
+            wanted_rows.write.mode("overwrite").parquet(f"{path}/generation={number}")
+            others = Observation()
+            dropped = dropped_streams(batch, wanted).observe(
+                others, F.coalesce(F.sum("dropped"), F.lit(0)).alias("dropped")
+            )
+            dropped.write.mode("overwrite").parquet(f"{path}-dropped/generation={number}")
+        finally:
+            batch.unpersist()
+        sizes = spark.createDataFrame([(seen.get["bytes"],)], "bytes bigint")
+        sizes.write.mode("overwrite").parquet(f"{path}-sizes/generation={number}")
+        totals["kept"] += seen.get["kept"]
+        totals["dropped"] += others.get["dropped"]
         if report is not None:
             report(f"generation {number} after {time.monotonic() - started:.1f}s")
 
@@ -178,7 +194,7 @@ def capture_with_limits(
         if not reason:
             raise
     return CaptureResult(
-        reason[0] if reason else "end of input", time.monotonic() - started
+        reason[0] if reason else "end of input", time.monotonic() - started, **totals
     )
 
 
@@ -221,35 +237,29 @@ def live_stats(spark: SparkSession, path: str) -> DataFrame:
 
 
 class CaptureStatus(StreamingQueryListener):
-    """Counts what running captures take in.
+    """Messages that running captures kept and dropped, by the id of their query.
 
-    Register it with ``spark.streams.addListener`` before a capture starts;
-    :meth:`line` then tells how a query is getting on.
+    Register it with ``spark.streams.addListener`` before
+    :func:`start_capture`.  ``counts`` holds ``kept`` and ``dropped`` as the
+    writing pass saw them, ``ended`` the queries that are over.
     """
 
     def __init__(self) -> None:
-        self.messages: dict[str, int] = {}
-        self.started: dict[str, datetime] = {}
-        self.finished: dict[str, datetime] = {}
+        self.counts: dict[str, dict[str, int]] = {}
+        self.ended: set[str] = set()
 
     def onQueryStarted(self, event: QueryStartedEvent) -> None:
-        self.messages[str(event.id)] = 0
-        self.started[str(event.id)] = datetime.now(UTC)
+        self.counts[str(event.id)] = {"kept": 0, "dropped": 0}
 
     def onQueryProgress(self, event: QueryProgressEvent) -> None:
-        self.messages[str(event.progress.id)] += event.progress.numInputRows
+        seen = event.progress.observedMetrics.get(COUNTS)
+        if seen is not None:
+            own = self.counts[str(event.progress.id)]
+            for name in own:
+                own[name] += seen[name]
 
     def onQueryIdle(self, event: QueryIdleEvent) -> None:
         pass
 
     def onQueryTerminated(self, event: QueryTerminatedEvent) -> None:
-        self.finished[str(event.id)] = datetime.now(UTC)
-
-    def line(self, query: StreamingQuery) -> str:
-        key = str(query.id)
-        now = self.finished.get(key) or datetime.now(UTC)
-        minutes, seconds = divmod(int((now - self.started[key]).total_seconds()), 60)
-        return (
-            f"{self.messages[key]} messages, started {self.started[key]:%H:%M:%S},"
-            f" now {now:%H:%M:%S}, elapsed {minutes}m{seconds:02d}s"
-        )
+        self.ended.add(str(event.id))
