@@ -37,7 +37,10 @@ WIDTH = 1.75
 # Buckets a query visits in a table, at most; if too few, buckets get coarser.
 MOST_PROBES = 3000
 # Scores held before only the best of each query are kept.
-HELD = 1 << 21
+HELD = 1 << 19
+# Queries whose products with a bucket are held at once; exact scores at once.
+QUERY_ROWS = 512
+SCORED = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -174,18 +177,23 @@ class Collector:
 
     def compare(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
         """Score ``vectors`` against the queries at ``rows``."""
-        for at in range(0, len(rows), 2048):
-            part = rows[at : at + 2048]
+        for at in range(0, len(rows), QUERY_ROWS):
+            part = rows[at : at + QUERY_ROWS]
             scores = self.vectors[part] @ vectors.T
+            # Own id aside, a query needs the best k of these rows at most.
+            least = self.floor[part]
+            if scores.shape[1] > self.k + 1:
+                best = -np.partition(-scores, self.k, axis=1)[:, self.k]
+                least = np.maximum(least, best)
             # A margin for the product's rounding; kept scores are computed anew.
-            q, v = np.nonzero(scores >= self.floor[part][:, None] - 1e-9)
+            q, v = np.nonzero(scores >= least[:, None] - 1e-9)
             q = part[q]
             other = self.ids[q] != ids[v]
             q, v = q[other], v[other]
-            if len(q):
-                exact = _scored(self.vectors[q], vectors[v])
-                self.held.append((q, ids[v], exact))
-                self.count += len(q)
+            for some in range(0, len(q), SCORED):
+                qs, vs = q[some : some + SCORED], v[some : some + SCORED]
+                self.held.append((qs, ids[vs], _scored(self.vectors[qs], vectors[vs])))
+                self.count += len(qs)
                 if self.count > HELD:
                     self.prune()
 
