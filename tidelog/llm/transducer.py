@@ -23,13 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType
 
 from tidelog.llm.common import annotated, fields
-from tidelog.llm.vocab import Cache, file_bytes
+from tidelog.llm.vocab import CACHE_ENTRIES, Cache, file_bytes
 
 MARK = "▁"
 # Kinds of models and pieces in the file format.
 UNIGRAM, MERGES = 1, 2
 NORMAL, UNKNOWN_PIECE, USER_DEFINED, BYTE_PIECE = 1, 2, 4, 6
 UNKNOWN_COST = 10.0
+INFINITE = float("inf")
 
 ENCODED = fields(ids=ArrayType(IntegerType()), n_fallback=LongType())
 
@@ -62,6 +63,8 @@ class Model:
         )
         inner = {text for text in self.pieces if MARK in text.lstrip(MARK)}
         self.cuts_at_marks = not inner
+        # Neighbouring characters that some piece holds; no path crosses others.
+        self.joined = {t[i : i + 2] for t in self.pieces for i in range(len(t) - 1)}
 
     def surface(self, id_: int) -> bytes:
         """What an id stands for in a decoded text."""
@@ -96,62 +99,76 @@ class Transducer:
                     self.arcs.append({})
                     self.final.append(-1)
             self.final[state] = id_
+        by_text = {t: model.scores[i] for t, i in model.pieces.items()}
+        self.merge_scores = lambda text: by_text.get(text, -INFINITE)
         self.least = min(model.scores, default=0.0)
-        self.admissible = Cache(self._admissible)
+        # By (last piece + 1) << 32 | piece.
+        self.admissible = Cache(self._admissible_code)
 
     def _merged(self, chars: str) -> list[str]:
         """Merges by score, leftmost first, for a string of two pieces."""
         symbols = list(chars)
-        pieces, scores = self.model.pieces, self.model.scores
-        while True:
-            best, at = None, -1
-            for i in range(len(symbols) - 1):
-                id_ = pieces.get(symbols[i] + symbols[i + 1])
-                if id_ is not None and (best is None or scores[id_] > best):
-                    best, at = scores[id_], i
-            if best is None:
-                return symbols
+        score = self.merge_scores
+        gains = [score(a + b) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while gains:
+            best = max(gains)
+            if best == -INFINITE:
+                break
+            at = gains.index(best)
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            del gains[at]
+            if at:
+                gains[at - 1] = score(symbols[at - 1] + symbols[at])
+            if at < len(gains):
+                gains[at] = score(symbols[at] + symbols[at + 1])
+        return symbols
 
     def _admissible(self, pair: tuple[int, int]) -> bool:
         left, right = (self.model.texts[i] if i >= 0 else "" for i in pair)
         return self._merged(left + right) == [t for t in (left, right) if t]
 
+    def _admissible_code(self, code: int) -> bool:
+        return self._admissible(((code >> 32) - 1, code & 0xFFFFFFFF))
+
     def path(self, chars: str) -> tuple[int, ...]:
         """The ids of the cheapest path through a stretch of characters."""
         n = len(chars)
-        merges = self.model.kind == MERGES
-        cost: list[float] = [float("inf")] * (n + 1)
-        back: list[tuple[int, int]] = [(-1, -1)] * (n + 1)
+        arcs, final, scores = self.arcs, self.final, self.model.scores
+        merges, admissible = self.model.kind == MERGES, self.admissible
+        unknown = UNKNOWN_COST - (0.0 if merges else self.least)
+        cost = [INFINITE] * (n + 1)
+        origin, piece = [-1] * (n + 1), [-1] * (n + 1)
         cost[0] = 0.0
         for start in range(n):
-            if cost[start] == float("inf"):
+            here = cost[start]
+            if here == INFINITE:
                 continue
-            before = back[start][1]
+            before = piece[start] + 1 << 32
             state, end, single = 0, start, False
             while end < n:
-                state = self.arcs[state].get(chars[end], -1)
+                state = arcs[state].get(chars[end], -1)
                 if state < 0:
                     break
                 end += 1
-                id_ = self.final[state]
+                id_ = final[state]
                 if id_ < 0:
                     continue
-                single |= end == start + 1
-                if merges:
-                    weight = cost[start] if self.admissible[(before, id_)] else float("inf")
+                if end == start + 1:
+                    single = True
+                if not merges:
+                    weight = here - scores[id_]
+                elif cost[end] > here and admissible[before | id_]:
+                    weight = here
                 else:
-                    weight = cost[start] - self.model.scores[id_]
+                    continue
                 if weight < cost[end]:
-                    cost[end], back[end] = weight, (start, id_)
-            if not single:
-                weight = cost[start] + UNKNOWN_COST - (0.0 if merges else self.least)
-                if weight < cost[start + 1]:
-                    cost[start + 1], back[start + 1] = weight, (start, -1)
+                    cost[end], origin[end], piece[end] = weight, start, id_
+            if not single and here + unknown < cost[start + 1]:
+                cost[start + 1], origin[start + 1], piece[start + 1] = here + unknown, start, -1
         ids: list[int] = []
         at = n
         while at:
-            start, id_ = back[at]
+            start, id_ = origin[at], piece[at]
             ids += [id_] if id_ >= 0 else self._fallback(chars[start:at])[::-1]
             at = start
         return tuple(reversed(ids))
@@ -175,8 +192,21 @@ def encoder(data: bytes) -> Callable[[bytes | None], np.ndarray]:
     machine = Transducer(model)
     stretches = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
 
+    part = Cache(
+        lambda chars: np.array(machine.path(chars), dtype=np.int32).tobytes(),
+        CACHE_ENTRIES // 2,
+    )
+    joined = model.joined
+
     def ids_of(chars: str) -> bytes:
-        return np.array(machine.path(chars), dtype=np.int32).tobytes()
+        """Ids of a stretch, put together from parts that no piece connects."""
+        made, start = [], 0
+        for i in range(1, len(chars)):
+            if chars[i - 1 : i + 1] not in joined:
+                made.append(part[chars[start:i]])
+                start = i
+        made.append(part[chars[start:]])
+        return b"".join(made)
 
     known = Cache(ids_of)
     marked = Cache(lambda word: ids_of(MARK + word))
