@@ -19,7 +19,7 @@ def db(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_matches_sql(spark, db, sf_dir, name):
     df = queries()[name](spark, sf_dir)
     columns, rows = spark_rows(df)
@@ -30,6 +30,10 @@ def test_matches_sql(spark, db, sf_dir, name):
     assert rows == expected
 
 
+def test_every_own_query_has_sql():
+    assert set(Q.QUERIES) <= set(oracle_sql()) <= set(queries())
+
+
 def test_entry_has_rows(spark):
     assert entry(spark).limit(1).count() == 1
 

@@ -204,3 +204,14 @@ def test_blocks_carry_like_one_partition(spark, block_rows):
     plain = carried(table, ["k"], ["a"], ["b"]).orderBy("k").collect()
     blocks = carried_in_blocks(table, "k", ["a"], ["b"], block_rows).orderBy("k").collect()
     assert [tuple(r) for r in plain] == [tuple(r) for r in blocks]
+
+
+@pytest.mark.parametrize("step", [1, 7, 300_000])
+def test_arrival_numbers_with_sparse_positions(make_log, step):
+    """Dense and sparse positions, many recordings, several carry blocks."""
+    rows = [("s", i, 0, f"r{i % 13:02}") for i in range(130)]
+    log = make_log(rows, step=step)
+    numbered = number_by_arrival(log, bucket_rows=4).orderBy("arrival").collect()
+    expected = sorted(range(130), key=lambda i: (rows[i][3], i))
+    assert [r.arrival for r in numbered] == list(range(130))
+    assert [r.ms for r in numbered] == expected

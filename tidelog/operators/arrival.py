@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.ids import format_id
 from tidelog.functions.payload import recorded_bytes
-from tidelog.plans.scan import BUCKET_ROWS, carried, div, number_by_arrival
+from tidelog.plans.scan import BUCKET_ROWS, carried_in_blocks, div, number_by_arrival
 from tidelog.schema import require_positive
 
 
@@ -85,7 +85,7 @@ def _last_within_size(log: DataFrame, limit: int, bucket_rows: int) -> Row | Non
     per_bucket = placed.groupBy("recording", "_bucket").agg(
         F.sum(message_bytes()).alias("_bytes")
     )
-    totals = carried(per_bucket, ["recording", "_bucket"], sums=["_bytes"])
+    totals = carried_in_blocks(per_bucket, "_bucket", sums=["_bytes"], within=["recording"])
     totals = totals.select(
         "recording",
         "_bucket",

@@ -67,26 +67,29 @@ def carried_in_blocks(
     sums: Sequence[str] = (),
     maxes: Sequence[str] = (),
     block_rows: int = BLOCK_ROWS,
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """:func:`carried` for a table that grows with the log, such as its batches.
 
     Blocks of consecutive keys are scanned side by side; only one row per
-    block is carried in one partition.
+    block is carried in one partition.  ``within`` names columns that come
+    before ``key`` in the order, such as the recording.
     """
+    place = [*within, "_block"]
     blocked = table.withColumn("_block", div(F.col(key), block_rows))
-    blocks = blocked.groupBy("_block").agg(
+    blocks = blocked.groupBy(*place).agg(
         *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in maxes]
     )
     before = [f"{c}_before" for c in (*sums, *maxes)]
-    blocks = carried(blocks, ["_block"], sums, maxes).select(
-        "_block", *[F.col(c).alias(f"_{c}") for c in before]
+    blocks = carried(blocks, place, sums, maxes).select(
+        *place, *[F.col(c).alias(f"_{c}") for c in before]
     )
     earlier = (
-        Window.partitionBy("_block")
+        Window.partitionBy(*place)
         .orderBy(key)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    return blocked.join(blocks, "_block").select(
+    return blocked.join(blocks, place).select(
         *table.columns,
         *[
             (
@@ -109,11 +112,14 @@ def number_by_arrival(
     """Number the rows 0, 1, 2, … in ``(recording, pos)`` order.
 
     Needs one shuffle of the log.  ``pos`` is unique within a recording, so a
-    bucket of ``bucket_rows`` positions holds at most that many rows.
+    bucket of ``bucket_rows`` positions holds at most that many rows.  Sparse
+    positions make many small buckets, which are carried in blocks.
     """
     bucketed = log.withColumn("_bucket", div(F.col("pos"), bucket_rows))
     counts = bucketed.groupBy("recording", "_bucket").agg(F.count("*").alias("_rows"))
-    starts = carried(counts, ["recording", "_bucket"], sums=["_rows"]).drop("_rows")
+    starts = carried_in_blocks(
+        counts, "_bucket", sums=["_rows"], within=["recording"]
+    ).drop("_rows")
     inside = Window.partitionBy("recording", "_bucket").orderBy("pos")
     numbered = bucketed.withColumn("_local", F.row_number().over(inside))
     number = F.col("_rows_before") + F.col("_local") - 1
