@@ -80,11 +80,6 @@ def _array(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
-def described(df: DataFrame, outputs: StructType) -> DataFrame:
-    """The rows of :func:`annotated` as flat columns."""
-    return df.select("row.*", *[F.col(field.name) for field in outputs.fields])
-
-
 def fields(**kinds) -> StructType:
     return StructType([StructField(name, kind) for name, kind in kinds.items()])
 
