@@ -51,19 +51,37 @@ class Hasher:
         return mixed((sums[end] - sums[first]) * self.down[first]), first
 
     def words(self, text: bytes) -> np.ndarray:
-        """Word hashes of a long text, section by section."""
+        """Word hashes of a long text, section by section; a word of any length is one."""
         made, at = [], 0
         while at < len(text):
             end = at + self.section
             if end < len(text):
                 while end > at and not _SPACE[text[end]]:
                     end -= 1
-                if end == at:  # one word longer than a section: hash its parts
-                    end = at + self.section
+                if end == at and _SPACE[text[at]]:
+                    at += 1
+                    continue
+            if end == at:  # one word longer than a section
+                word, at = self._long_word(text, at)
+                made.append(word)
+                continue
             made.append(self._words(np.frombuffer(text[at:end], np.uint8))[0])
             at = end
         return np.concatenate(made) if made else np.zeros(0, np.uint64)
 
+    def _long_word(self, text: bytes, at: int) -> tuple[np.ndarray, int]:
+        """The hash of the word at ``at``, its sum carried over sections, and its end."""
+        total, power, more = 0, 1, True
+        while more:
+            part = np.frombuffer(text, np.uint8, min(self.section, len(text) - at), at)
+            space = np.flatnonzero(_SPACE[part])
+            n = int(space[0]) if len(space) else len(part)
+            total += power * int((self.values[part[:n]] * self.up[:n]).sum(dtype=np.uint64))
+            power = power * int(self.up[n]) % (1 << 64)
+            at += n
+            more = n == len(part) and at < len(text)
+        return mixed(np.array([total % (1 << 64)], dtype=np.uint64)), at
+
     def shingles(self, words: np.ndarray) -> np.ndarray:
         """All shingles in order; of fewer words than ``width``, the whole as one."""
         n = len(words)
