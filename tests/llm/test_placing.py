@@ -151,6 +151,23 @@ def test_few_vectors_give_all(spark):
     ]
 
 
+def test_isolated_queries_beside_clusters(spark):
+    """Queries far from all others find their neighbours too, and all have their rows."""
+    draw = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit(draw.standard_normal((30, 64)))[draw.integers(0, 30, 6000)]
+    x = unit(near + 0.02 * draw.standard_normal((6000, 64)))
+    alone = draw.random(6000) < 0.03
+    x[alone] = unit(draw.standard_normal((int(alone.sum()), 64)))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    found = neighbours.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    wanted = exact(rows, 20, 20)
+    apart = {q: best for q, best in wanted.items() if alone[q]}
+    assert apart and len(found) == 20 * len(wanted)
+    assert recall(found, wanted) >= 0.9
+    assert recall([r for r in found if r.query_id in apart], apart) >= 0.9
+
+
 def test_probes_come_in_order_of_expected_distance():
     template = neighbours.probing_template(4, 81)
     assert len(template) == 81  # every cell within one step, once

@@ -5,6 +5,10 @@ query visits its own bucket and perturbed ones in the order of their estimated
 success; the exact scores of all vectors found decide.  How many buckets a
 query visits is measured: the smallest number that finds the wanted share of
 the true neighbours of some queries, which are searched exactly.
+
+Every query then has a stop rule of its own: it needs all its rows, and its
+probes must cover enough of what may lie as near as the rows found.  Queries
+that fail it go on through tables fitted to them, and at last against all.
 """
 
 from __future__ import annotations
@@ -28,6 +32,12 @@ EVERY = 20
 TARGET = 0.95
 # Queries that are searched exactly to measure that share.
 MEASURED = 64
+# Share of its neighbours that each query must be expected to have found.
+LEAST = 0.9
+# Ranks at which the expected share is computed, evenly spaced.
+RANKS = 4
+# Open queries that are compared with all vectors rather than through new tables.
+OPEN = 4096
 # Tables; rows that a bucket holds on average; rows that one task holds.
 TABLES = 3
 BUCKET_ROWS = 128
@@ -88,6 +98,50 @@ class Tables:
         moves[np.arange(2 * f), order % f] = np.where(order < f, -1, 1)
         return own + self.template @ moves
 
+    def covered(self, places: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+        """The chance that one query's probes find a vector, per cosine to it.
+
+        ``places`` are the query's (tables, functions).  A vector at an angle
+        lies at the cosine times the query's projection, and besides in a random
+        direction: its cell is that of a normal distribution in each function.
+        """
+        if not np.isfinite(self.width):
+            return np.ones(len(cosines))
+        cosines = np.clip(cosines, -1.0, 1.0)
+        spread = np.maximum(np.sqrt(1.0 - cosines**2) / self.width, 1e-9)
+        missed = np.ones(len(cosines))
+        for t in range(len(places)):
+            own = np.floor(places[t])
+            mean = self.offsets[t] + cosines[:, None] * (places[t] - self.offsets[t])
+            edges = own + np.arange(-1, 3)[:, None, None]
+            below = _normal((edges - mean) / spread[:, None])
+            down, stay, up = np.maximum(np.diff(below, axis=0), 1e-30)
+            inside = places[t] - own
+            order = np.argsort(np.concatenate([inside, 1.0 - inside]), kind="stable")
+            gain = (np.log(np.hstack([down, up])) - np.log(np.hstack([stay, stay])))[:, order]
+            chance = np.exp(self.template @ gain.T + np.log(stay).sum(axis=1)).sum(axis=0)
+            missed *= 1.0 - np.minimum(chance, 1.0)
+        return 1.0 - missed
+
+
+def _normal(x: np.ndarray) -> np.ndarray:
+    """The normal distribution function, to about 1e-7 (Abramowitz and Stegun 26.2.17)."""
+    t = 1.0 / (1.0 + 0.2316419 * np.abs(x))
+    series = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    tail = np.exp(-0.5 * x * x) / np.sqrt(2 * np.pi) * series
+    return np.where(x > 0, 1.0 - tail, tail)
+
+
+def everywhere(dimensions: int, scale: float) -> Tables:
+    """One table of one bucket, which every query visits."""
+    return Tables(
+        scale,
+        np.zeros((1, dimensions + 1, 1)),
+        np.full((1, 1), 0.5),
+        float("inf"),
+        np.zeros((1, 2), dtype=np.int64),
+    )
+
 
 def probing_template(functions: int, most: int) -> np.ndarray:
     """Sets of boundaries to cross, by the expected sum of squared distances.
@@ -157,6 +211,7 @@ def _scored(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 FOUND = "query_id bigint, vec_id bigint, score double"
+FOUND_NAMES = ["query_id", "vec_id", "score"]
 
 
 def _batch(query, vec, score) -> pa.RecordBatch:
@@ -287,6 +342,9 @@ def search(
 
     Of equal vectors only the ``k + 1`` smallest ids can be among the nearest,
     so the others leave first.  Buckets above ``part_rows`` are split over tasks.
+    A query that lacks rows, or may expect less than ``LEAST`` of its neighbours,
+    goes on, at last against all candidates: only where fewer than ``k`` exist
+    are there fewer rows.
     """
     spark = vectors.sparkSession
     valid = vectors.select(
@@ -315,9 +373,84 @@ def search(
     queries = kept.where(F.col("id") % every == 0).select("id", "vector")
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     size = candidates.agg(F.count("*").alias("rows"), F.max(length).alias("scale")).first()
-    rows = queries.orderBy(F.xxhash64("id"), "id").limit(MEASURED).toArrow().combine_chunks()
-    if not rows.num_rows:
+    if queries.limit(1).count() == 0:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    scale = float(size["scale"]) * (1 + 1e-12)
+
+    def visited(asking: DataFrame, hashed: Tables) -> DataFrame:
+        found = _visited(candidates, asking, hashed, dimensions, k, part_rows, size["rows"])
+        return staged(_ranked(found, k).select(*FOUND_NAMES), "neighbours")
+
+    open_, count, found = queries, None, None
+    while True:
+        hashed = _fitted(
+            candidates, open_, dimensions, k, target, tables, bucket_rows, seed, scale, size["rows"]
+        )
+        more = visited(open_, hashed)
+        found = more if found is None else found.union(more)
+        before, open_ = count, staged(_open(open_, found, hashed, dimensions, k), "open")
+        count = open_.count()
+        if not count:
+            break
+        # Few are left, or new tables hardly helped: compare with all.
+        if count <= OPEN or (before is not None and 2 * count > before):
+            found = found.union(visited(open_, everywhere(dimensions, scale)))
+            break
+    return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
+
+
+def _open(
+    queries: DataFrame, found: DataFrame, tables: Tables, dimensions: int, k: int
+) -> DataFrame:
+    """The queries that have fewer than ``k`` rows, or too small an expected share.
+
+    The j-th row found is no nearer than the true j-th neighbour, so the mean
+    chance to find vectors as far as the rows is at most the expected share.
+    """
+    shared = queries.sparkSession.sparkContext.broadcast(tables)
+    scores = (
+        _ranked(found, k)
+        .groupBy(F.col("query_id").alias("id"))
+        .agg(F.sort_array(F.collect_list("score"), asc=False).alias("scores"))
+    )
+    steps = -(-k * np.arange(1, RANKS + 1) // RANKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column("vector"), dimensions)
+            places = shared.value.places(x, True)
+            lengths = np.sqrt((x * x).sum(axis=1)) * shared.value.scale
+            going = []
+            for i, best in enumerate(batch.column("scores").to_pylist()):
+                if best is None or len(best) < k:
+                    going.append(True)
+                    continue
+                cosines = np.array(best)[steps - 1] / lengths[i]
+                share = (shared.value.covered(places[:, i], cosines) * np.diff([0, *steps])).sum() / k
+                going.append(bool(share < LEAST))
+            yield batch.filter(pa.array(going, pa.bool_())).select(["id", "vector"])
+
+    kind = queries.schema["vector"].dataType.simpleString()
+    return queries.join(scores, "id", "left").select("id", "vector", "scores").mapInArrow(
+        run, f"id bigint, vector {kind}"
+    )
+
+
+def _fitted(
+    candidates: DataFrame,
+    queries: DataFrame,
+    dimensions: int,
+    k: int,
+    target: float,
+    tables: int,
+    bucket_rows: int,
+    seed: int,
+    scale: float,
+    count: int,
+) -> Tables:
+    """Tables whose width and probes suit some of the queries, which are searched exactly."""
+    spark = candidates.sparkSession
+    rows = queries.orderBy(F.xxhash64("id"), "id").limit(MEASURED).toArrow().combine_chunks()
     some = (rows.column("id").to_numpy(), _matrix(rows.column("vector").combine_chunks(), dimensions))
     shared = spark.sparkContext.broadcast(some)
     true = _exact(candidates, shared, dimensions, k)
@@ -331,13 +464,12 @@ def search(
     of = near.column("query_id").to_numpy()
     points = _matrix(near.column("vector").combine_chunks(), dimensions) if len(of) else None
     neighbours = {id_: points[of == id_] for id_ in np.unique(of).tolist()}
-    scale = float(size["scale"]) * (1 + 1e-12)
     cosine = near.column("score").to_numpy() / scale
     cosine = cosine / np.array([np.linalg.norm(some[1][some[0] == i][0]) for i in of] or [1.0])
     distance = float(np.sqrt(2 - 2 * np.median(cosine))) if len(of) else 1.0
     width = WIDTH * max(distance, 0.05)
     bits = max(0.5, np.log2(4.13 / width))  # of one projection of unit vectors
-    functions = int(np.clip(np.ceil(np.log2(max(2, size["rows"] / bucket_rows)) / bits), 2, 24))
+    functions = int(np.clip(np.ceil(np.log2(max(2, count / bucket_rows)) / bits), 2, 24))
     draw = np.random.default_rng(seed)
     probes = None
     while probes is None:
@@ -353,11 +485,9 @@ def search(
         functions -= 1
         width = width if functions else float("inf")
         functions = max(functions, 1)
-    hashed = Tables(
+    return Tables(
         hashed.scale, hashed.vectors, hashed.offsets, hashed.width, hashed.template[:probes]
     )
-    found = _visited(candidates, queries, hashed, dimensions, k, part_rows, size["rows"])
-    return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
 
 
 def _visited(
