@@ -206,6 +206,36 @@ def test_pigeonhole_pieces_find_every_bounded_match():
             assert notice.label in {hit[0] for hit in scanner.search(" ".join(text.split()))}, text
 
 
+def test_edits_anywhere_but_in_the_exact_word():
+    """Every base phrase is a notice too; edits fall in its lead-in and in what follows."""
+    import random
+
+    draw, scanner = random.Random(10), licenses.Scanner(licenses.NOTICES)
+    labels = lambda text: {hit[0] for hit in scanner.search(" ".join(text.split()))}
+    for text, label in {
+        "released under the mit licence": "mit",
+        "undr the mit license": "mit",
+        "distributed under teh mit license": "mit",
+        "the apache licence version 2": "apache-2",
+        "cc b nc": "cc-by-nc",
+    }.items():
+        assert labels(text) == {label}, text
+    for text in ("under the bit license", "apache license version 3", "under the mit lxcxnxe", "udr te mit lcense"):
+        assert labels(text) == set(), text
+    for phrase, label in licenses.PHRASES:
+        assert label in labels(phrase)
+    for notice in licenses.NOTICES:
+        kept = range(len(notice.words), len(notice.words) + len(notice.exact) + 1)
+        for _ in range(60):
+            spots = [i for i in range(1, len(notice.whole) - 1) if i not in kept and notice.whole[i] != " "]
+            chars = list(notice.whole)
+            for i in draw.sample(spots, draw.randint(0, notice.errors)):
+                chars[i] = draw.choice(["q", "", chars[i] + "q"])
+            text = f"some words before {''.join(chars)} and after"
+            if "  " not in text:  # joining words again would be one edit more
+                assert notice.label in labels(text), text
+
+
 def test_odd_licenses(odd_docs, no_docs):
     found = licenses.scan(odd_docs).collect()
     texts = {r.doc_id: r.text for r in odd_docs.collect()}

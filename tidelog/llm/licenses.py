@@ -34,24 +34,46 @@ PHRASES = (
 
 @dataclass(frozen=True)
 class Notice:
-    """Words to find with up to ``errors`` edits, followed by words that must be exact."""
+    """Words to find with up to ``errors`` edits, around one word that must be exact.
+
+    ``exact`` (with the blank before it) tells notices apart, as ``mit`` or the
+    number of a version does; the edits may fall in ``words`` and ``tail``.
+    """
 
     label: str
     words: str
     errors: int
-    exact_end: str = ""
+    exact: str = ""
+    tail: str = ""
+
+    @property
+    def exact_end(self) -> str:
+        """What follows the words in an unchanged notice."""
+        return self.exact + self.tail
+
+    @property
+    def whole(self) -> str:
+        return self.words + self.exact_end
+
+    @property
+    def editable(self) -> int:
+        """Characters in which edits may fall."""
+        return len(self.words) + len(self.tail)
 
 
 NOTICES = (
-    Notice("mit", "released under the", 2, " mit license"),
+    Notice("mit", "released under the", 2, " mit", " license"),
+    Notice("mit", "under the", 2, " mit", " license"),
     Notice("mit", "permission is hereby granted free of charge to any person", 5),
     Notice("apache-2", "licensed under the apache license version", 4, " 2"),
+    Notice("apache-2", "apache license version", 3, " 2"),
     Notice("gpl-3", "licensed under the gnu general public license version", 5, " 3"),
     Notice("gpl-2", "licensed under the gnu general public license version", 5, " 2"),
     Notice("mpl-2", "subject to the terms of the mozilla public license", 4),
     Notice("bsd", "redistribution and use in source and binary forms", 4),
     Notice("cc-by-nc", "creative commons attribution noncommercial", 4),
     Notice("cc-by-nc", "licensed under cc by", 2, " nc"),
+    Notice("cc-by-nc", "cc by", 1, " nc"),
 )
 
 HIT = fields(
@@ -91,7 +113,7 @@ class Scanner:
         self.seeds = ahocorasick.Automaton()
         by_piece: dict[str, list[tuple[int, int]]] = {}
         for number, notice in enumerate(notices):
-            for at, piece in pieces(notice.words, notice.errors):
+            for at, piece in pieces(notice.whole, notice.errors):
                 by_piece.setdefault(piece, []).append((number, at))
         for piece, origins in by_piece.items():
             self.seeds.add_word(piece, (len(piece), origins))
@@ -99,7 +121,8 @@ class Scanner:
         self.patterns = [
             regex.compile(
                 rf"(?b)(?<![^ ])(?:{regex.escape(n.words)}){{e<={n.errors}}}"
-                rf"{regex.escape(n.exact_end)}(?![^ ])"
+                rf"{regex.escape(n.exact)}(?![^ ])"
+                + (rf"(?:{regex.escape(n.tail)}){{e<={n.errors}}}(?![^ ])" if n.tail else "")
             )
             for n in notices
         ]
@@ -111,8 +134,7 @@ class Scanner:
             for number, at in origins:
                 notice = self.notices[number]
                 start = end + 1 - length - at - notice.errors - 1
-                stop = start + len(notice.words) + 2 * notice.errors + 2
-                stop += len(notice.exact_end) + notice.errors
+                stop = start + len(notice.whole) + 3 * notice.errors + 2
                 stretches = found.setdefault(number, [])
                 if stretches and start <= stretches[-1][1]:
                     stretches[-1][0] = min(stretches[-1][0], start)
@@ -133,8 +155,10 @@ class Scanner:
                 first += len(match[0]) - len(match[0].lstrip(" "))
                 last -= len(match[0]) - len(match[0].rstrip(" "))
                 errors = sum(match.fuzzy_counts)
+                if errors > notice.errors:  # the bound of words and tail together
+                    continue
                 words = text.count(" ", 0, first), text.count(" ", 0, last)
-                score = 1.0 - errors / len(notice.words)
+                score = 1.0 - errors / notice.editable
                 hits.add((notice.label, *words, errors, score))
         return sorted(hits)
 
