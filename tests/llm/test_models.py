@@ -236,6 +236,17 @@ def test_edits_anywhere_but_in_the_exact_word():
                 assert notice.label in labels(text), text
 
 
+def test_weaker_notices_beside_a_better_one_are_reported():
+    scanner = licenses.Scanner(licenses.NOTICES[3:4])
+    weak, exact = "licnsed under teh apache license version 2", "licensed under the apache license version 2"
+    for text, spans in (
+        (f"{weak} {exact}", [(0, 6), (7, 13)]),
+        (f"{exact} {weak}", [(0, 6), (7, 13)]),
+        (f"{weak} {exact} {weak} {weak}", [(0, 6), (7, 13), (14, 20), (21, 27)]),
+    ):
+        assert [hit[1:3] for hit in scanner.search(text)] == spans
+
+
 def test_odd_licenses(odd_docs, no_docs):
     found = licenses.scan(odd_docs).collect()
     texts = {r.doc_id: r.text for r in odd_docs.collect()}

@@ -145,12 +145,22 @@ class Scanner:
             for start, stop in stretches:
                 yield number, max(0, start), min(len(text), stop)
 
+    def matches(self, number: int, text: str, start: int, stop: int) -> Iterator:
+        """The best match of a stretch, and those of the parts before and after it."""
+        open_ = [(start, stop)]
+        while open_:
+            start, stop = open_.pop()
+            match = self.patterns[number].search(text, start, stop)
+            if match and match.end() > match.start():
+                yield match
+                open_ += [(start, match.start()), (match.end(), stop)]
+
     def search(self, text: str) -> list[tuple[str, int, int, int, float]]:
         """Notices in a text of words joined by single blanks: label, words, errors, score."""
         hits = set()
         for number, start, stop in self.windows(text):
             notice = self.notices[number]
-            for match in self.patterns[number].finditer(text, start, stop):
+            for match in self.matches(number, text, start, stop):
                 first, last = match.span()
                 first += len(match[0]) - len(match[0].lstrip(" "))
                 last -= len(match[0]) - len(match[0].rstrip(" "))
