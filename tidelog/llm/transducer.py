@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-Three machines are compiled from a model: a normaliser (blanks become the
-word mark, one mark stands in front), the pieces (a path per piece, its id on
-the last arc) and the byte fallback (a path of byte pieces for a character
-without a piece).  An input is composed with them, and the cheapest path in
-the tropical semiring (costs add along a path, the smaller one wins) gives the
+One machine is compiled from a model: the pieces, a trie of arcs with a piece's
+id on its last one.  The normaliser (blanks become the word mark, one mark
+stands in front) and the byte fallback (byte pieces for a character without a
+piece) are plain functions.  Models with a charsmap, with removal of extra
+blanks, or neither unigram nor merge are refused.  The cheapest path in the
+tropical semiring (costs add along a path, the smaller one wins) gives the
 ids.  In a unigram model a piece costs its negative score.  In a merge model
 the states also remember the last piece: an arc costs nothing if merging the
 two pieces' characters gives exactly these two pieces, and is forbidden
