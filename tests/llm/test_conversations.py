@@ -1,0 +1,189 @@
+"""Conversation repair against a search over all edits of each conversation."""
+
+from __future__ import annotations
+
+import random
+from collections import defaultdict
+from functools import cache
+from hashlib import sha256
+from itertools import pairwise
+from zlib import crc32
+
+from pyspark.sql import Row
+
+from tidelog.llm import conversations as C
+
+SPACE = " \t\n\x0b\x0c\r"
+
+
+def damaged(rows):
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r.conv_id]
+        place = f"{' ' if r.conv_id is None else r.conv_id}:{' ' if r.turn is None else r.turn}"
+        fault = crc32(place.encode()) % 20
+        role = " " if r.role is None else r.role
+        text = " " if r.text is None else r.text
+        if fault == 0:
+            continue
+        if fault == 1:
+            text = ""
+        if fault == 2:
+            text = "".join(c for c in text if c not in ".!?")
+        if fault == 4:
+            role = "user"
+        groups[r.conv_id] += [(r.turn, role, text)] * (2 if fault == 3 else 1)
+    for found in groups.values():
+        found.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], sha256(r[2].encode()).hexdigest()))
+    return groups
+
+
+def faults(rows):
+    seen, made = set(), []
+    for _, role, text in rows:
+        if not text.strip(SPACE):
+            made.append("blank")
+        elif (role, text) in seen:
+            made.append("duplicate")
+        else:
+            made.append("" if text.rstrip(SPACE)[-1] in ".!?" else "truncated")
+        seen.add((role, text))
+    return made
+
+
+def cheapest(rows, found):
+    """The least (cost, edits) over all ways, by a search from the end."""
+    after = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("a", "u"): "u", ("u", "a"): "a"}
+
+    @cache
+    def rest(i, last, inserted):
+        ways = []
+        if i == len(rows) and last in ("", "a"):
+            ways.append((0, "", ()))
+        if inserted < 2:
+            for role in ("user", "assistant"):
+                if (last, role[0]) in after:
+                    cost, edits, made = rest(i, after[last, role[0]], inserted + 1)
+                    ways.append((cost + 2, "I" + edits, ((role, ""), *made)))
+        if i < len(rows):
+            _, role, text = rows[i]
+            cost, edits, made = rest(i + 1, last, 0)
+            ways.append((cost + 3, "D" + edits, made))
+            if found[i] not in ("blank", "duplicate"):
+                extra = found[i] == "truncated"
+                if (last, role[:1]) in after:
+                    cost, edits, made = rest(i + 1, after[last, role[:1]], 0)
+                    ways.append((cost + extra, "K" + edits, ((role, text), *made)))
+                for new in ("user", "assistant"):
+                    if (last, new[0]) in after:
+                        cost, edits, made = rest(i + 1, after[last, new[0]], 0)
+                        ways.append((cost + 2 + extra, "R" + edits, ((new, text), *made)))
+        return min(ways, default=(10**9, "", ()))
+
+    return rest(0, "", 0)
+
+
+def expected(rows):
+    made = []
+    for conv_id, found in damaged(rows).items():
+        kinds = faults(found)
+        turns = {r[0] for r in found} - {None}
+        cost, edits, repaired = cheapest(found, kinds)
+        text = "\n".join(f"{role}:{text}" for role, text in repaired)
+        made.append(
+            (
+                conv_id,
+                max(turns) - min(turns) + 1 - len(turns) if turns else 0,
+                *[kinds.count(k) for k in ("blank", "duplicate", "truncated")],
+                sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in pairwise(found)),
+                cost,
+                edits,
+                sha256(text.encode()).hexdigest(),
+            )
+        )
+    return sorted(made, key=str)
+
+
+def report(frame):
+    made = C.repair_report(C.damaged(frame))
+    assert made.columns == ["conv_id", *C.COUNTS, "audit", "repaired_sha256"]
+    return sorted(map(tuple, made.collect()), key=str)
+
+
+def test_given_conversations(spark, sf_dir):
+    frame = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    assert report(frame) == expected(frame.collect())
+
+
+def test_random_conversations(spark):
+    draw = random.Random(3)
+    roles = ["user", "assistant", "system", "tool", "User", "", None, "ua"]
+    texts = ["Yes.", "No", " ", "", None, "Yes!\n", "a.\u0085", "?", ".\x1c", "Ünï."]
+    rows = []
+    for conv in [None, *range(400)]:
+        for turn in range(draw.randint(1, 9)):
+            at = draw.choice([turn, turn, turn, turn + 3, 2, None])
+            weights = [6, 6, 3, 1, 1, 1, 1, 1]
+            rows.append((conv, at, draw.choices(roles, weights)[0], draw.choice(texts)))
+    rows += rows[:40]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    assert report(frame) == expected(frame.collect())
+
+
+def test_long_conversation(spark):
+    """More rows than are compressed at once, against the same rows one by one."""
+    draw = random.Random(8)
+    symbols = "".join(draw.choices(C.SYMBOLS, [1, 30, 30, 1, 1, 2, 2, 1, 1], k=C.SYMBOLS_AT_ONCE * 2 + 77))
+    cost, edits = C.Grammar().repairs([symbols])[0]
+    steps = {s: C.row_step(s) for s in C.SYMBOLS}
+    ways = [{C.START: (0, "")}]
+    for symbol in symbols:
+        ways = C.product(ways, steps[symbol])
+    ends = C.product(ways, C.insertions())[0]
+    least = min(ends[state][0] for state in C.LEGAL_END if state in ends)
+    same = ["".join(C.pieces(ends[s][1])) for s in C.LEGAL_END if s in ends and ends[s][0] == least]
+    assert (cost, edits) == (least, min(same))
+    assert len(edits.replace("I", "")) == len(symbols)
+
+
+def test_grammar_shares_names():
+    grammar = C.Grammar()
+    sequences = [[0, 1, 2, 1, 2, 1, 2], [1, 2, 1, 2], [], [1, 1, 1, 1, 1], [2]]
+    short = grammar.compressed(sequences)
+    back = {name: pair for pair, name in grammar.names.items()}
+
+    def spelled(name):
+        return [name] if name < len(C.SYMBOLS) else [s for part in back[name] for s in spelled(part)]
+
+    assert [[s for name in names for s in spelled(name)] for names in short] == sequences
+    assert sum(map(len, short)) < sum(map(len, sequences)) / 2
+    named = len(grammar.names)
+    grammar.compressed(sequences)
+    assert len(grammar.names) == named
+
+
+def test_ropes():
+    a = C.joined("x" * 200, "y" * 200)
+    b = C.joined(a, "b")
+    c = C.joined(a, "c")
+    assert C.precedes(b, c) and not C.precedes(c, b) and not C.precedes(a, a)
+    assert C.precedes(a, b) and not C.precedes(b, a)
+    assert C.precedes(C.joined("x" * 300, "a"), C.joined("x" * 299, "xb" + "y" * 300))
+
+
+def test_odd_rows(spark):
+    schema = "conv_id string, turn bigint, role string, text string, digest int, dropped string, place int"
+    long = "word " * 200_000 + "."
+    rows = [("a", t, r, x, 1, "d", 2) for t, r, x in [(0, "user", long), (1, "user", long), (2, "assistant", long)]]
+    rows += [("null only", None, None, None, 1, "d", 2), (None, None, None, None, 1, None, None)]
+    frame = spark.createDataFrame(rows, schema)
+    assert report(frame) == expected(frame.collect())
+    assert report(frame.limit(0)) == []
+    kept = C.undamaged(spark.createDataFrame([Row(conv_id=1, turn=0, role="user", text="Hi.")]))
+    row = C.repair_report(kept).collect()[0]
+    assert (row.cost, row.audit) == (2, "KI")
+    assert row.repaired_sha256 == sha256(b"user:Hi.\nassistant:").hexdigest()
+    # A conversation all of whose rows are dropped.
+    gone = next(i for i in range(1000) if crc32(f"{i}:0".encode()) % 20 == 0)
+    lost = spark.createDataFrame([(gone, 0, "user", "Hi.")], "conv_id bigint, turn bigint, role string, text string")
+    assert report(lost) == [(gone, 0, 0, 0, 0, 0, 0, "", sha256().hexdigest())]

@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import jaccard, language, licenses, neighbours, packing, quality, sharding, tokens, transducer, warc
+from tidelog.llm import (
+    conversations,
+    jaccard,
+    language,
+    licenses,
+    neighbours,
+    packing,
+    quality,
+    sharding,
+    tokens,
+    transducer,
+    variants,
+    warc,
+)
 from tidelog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +83,16 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(table(spark, folder, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, folder, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair_report(
+        conversations.damaged(table(spark, folder, "conversations"))
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_language_id": op2_language_id,
@@ -81,6 +104,8 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_sharding": op10_sharding,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
