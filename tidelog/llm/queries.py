@@ -18,6 +18,7 @@ from tidelog.llm import (
     quality,
     sharding,
     tokens,
+    toxicity,
     transducer,
     variants,
     warc,
@@ -87,6 +88,12 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return variants.spelling_variants(table(spark, folder, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(
+        table(spark, folder, "documents"), table(spark, folder, "labels")
+    ).drop("clause")
+
+
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.repair_report(
         conversations.damaged(table(spark, folder, "conversations"))
@@ -105,6 +112,7 @@ QUERIES: dict[str, Query] = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_sharding": op10_sharding,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_toxicity": op12_toxicity,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
