@@ -27,7 +27,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType
 from tidelog.llm.common import annotated, fields
 
 # Labelled texts of each class to learn from, about, and code points of each.
-SAMPLE_TEXTS = 3000
+SAMPLE_TEXTS = 2000
 SAMPLE_LENGTH = 16_384
 FOLDS = 5
 
@@ -62,9 +62,10 @@ BELIEFS = {INSULT: 0.8, ADDRESSED: 0.9, DENIED: 0.3, REPORTED: 0.3, THREAT: 0.8}
 BELIEF_TEXTS = 4
 MARKS = {INSULT: "insult", ADDRESSED: "addressed", DENIED: "denied", REPORTED: "reported", THREAT: "threat"}
 
-# The lexicon: lengths of stems, support (in texts) and odds of an entry.
+# The lexicon: lengths of stems, support (in texts, and of the toxic ones) and odds of an entry.
 STEMS = range(3, 13)
 MIN_SUPPORT = 4.0
+MIN_SHARE = 0.01
 # An entry's odds must be so high even if they are estimated too high by so many
 # standard errors.
 MIN_ODDS = math.log(3)
@@ -381,9 +382,15 @@ def _shortened(clause: list[tuple]) -> list[tuple]:
 # ---- learning ---------------------------------------------------------------
 
 
-def _features(words: Iterable[str]) -> set[tuple[str, bool]]:
-    made = {(word, False) for word in words}
-    made.update((word[:k], True) for word in words for k in STEMS if k <= len(word))
+def _words(text: str) -> list[str]:
+    return [w for w in _TOKEN.findall(text.lower()) if w not in _ENDS]
+
+
+def _features(words: Iterable[str]) -> set[str]:
+    """Stems of words, and whole words, which have a blank behind them."""
+    distinct = set(words)
+    made = {word + " " for word in distinct}
+    made.update(word[:k] for word in distinct for k in STEMS if k <= len(word))
     return made
 
 
@@ -398,29 +405,28 @@ def learn(texts: Sequence[str], toxic: Sequence[bool], shift: float = 0.0) -> Mo
     a text counts half with every entry it already has, and near copies count
     as one text, so that words which only accompany insults are not taken.
     """
-    spoken = [[w for w in _TOKEN.findall(text.lower()) if w not in _ENDS] for text in texts]
-    words = [set(one) for one in spoken]
-    bad = [i for i, label in enumerate(toxic) if label]
-    good = [i for i, label in enumerate(toxic) if not label]
-    found = [_features(words[i]) for i in bad]
-    support = Counter(f for one in found for f in one)
-    support = {f: n for f, n in support.items() if n >= MIN_SUPPORT}
-    against = Counter(f for i in good for f in _features(words[i]) if f in support)
+    bad = [text for text, label in zip(texts, toxic, strict=True) if label]
+    good = [text for text, label in zip(texts, toxic, strict=True) if not label]
+    seen = Counter(f for text in bad for f in _features(_words(text)))
+    least = max(MIN_SUPPORT, MIN_SHARE * len(bad))
+    support = {f: n for f, n in seen.items() if n >= least}
+    del seen
+    against = Counter(f for text in good for f in _features(_words(text)) if f in support)
     shares = math.log(max(1, len(bad)) / max(1, len(good)))
 
-    def odds(name: tuple[str, bool]) -> float:
+    def odds(name: str) -> float:
         return _odds(support[name], against[name]) - shares
 
-    def sure(name: tuple[str, bool]) -> float:
+    def sure(name: str) -> float:
         return odds(name) - ERRORS * math.sqrt(1 / support[name] + 1 / (against[name] + 0.5))
 
     names = sorted(name for name in support if sure(name) >= MIN_ODDS)
-    taken = _cover(names, [sure(name) for name in names], found, _shares([spoken[i] for i in bad]))
-    entries = tuple(Entry(*name, odds(name)) for name in taken)
+    taken = _cover(names, [sure(name) for name in names], bad, _shares(bad), least)
+    entries = tuple(Entry(f.rstrip(), not f.endswith(" "), odds(f)) for f in taken)
     return _calibrated(entries, texts, toxic, shares, shift)
 
 
-def _shares(texts: list[list[str]]) -> list[float]:
+def _shares(texts: list[str]) -> list[float]:
     """One over the number of near copies of each text: texts that share a minimum hash."""
     draw = np.random.default_rng(3)
     factors = draw.integers(1, 1 << 32, COPY_HASHES, dtype=np.uint64) | np.uint64(1)
@@ -433,7 +439,8 @@ def _shares(texts: list[list[str]]) -> list[float]:
         return i
 
     seen: dict[tuple[int, int], int] = {}
-    for i, words in enumerate(texts):
+    for i, text in enumerate(texts):
+        words = _words(text)
         shingles = {" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))}
         hashes = np.array([crc32(s.encode()) for s in shingles], np.uint64)
         least = (hashes[:, None] * factors % np.uint64((1 << 61) - 1)).min(axis=0)
@@ -445,32 +452,28 @@ def _shares(texts: list[list[str]]) -> list[float]:
 
 
 def _cover(
-    names: list[tuple[str, bool]], odds: list[float], found: list[set], weights: list[float]
-) -> list[tuple[str, bool]]:
+    names: list[str], odds: list[float], texts: list[str], weights: list[float], least: float
+) -> list[str]:
     number = {name: i for i, name in enumerate(names)}
-    rows, columns = [], []
-    for row, one in enumerate(found):
-        held = [number[f] for f in one if f in number]
-        rows += [row] * len(held)
-        columns += held
-    rows, columns = np.array(rows, np.int64), np.array(columns, np.int64)
+    held = [[number[f] for f in _features(_words(text)) if f in number] for text in texts]
+    rows = np.repeat(np.arange(len(texts)), [len(one) for one in held])
+    columns = np.fromiter((i for one in held for i in one), np.int64, len(rows))
     order = np.argsort(columns, kind="stable")
     ends = np.searchsorted(columns[order], np.arange(len(names) + 1))
     weight = np.array(weights)
     open_ones = np.ones(len(names), bool)
-    taken: list[tuple[str, bool]] = []
+    taken: list[str] = []
     while names and len(taken) < MOST_ENTRIES:
         reached = np.bincount(columns, weight[rows], len(names))
-        gain = reached * odds * (open_ones & (reached >= MIN_SUPPORT))
+        gain = reached * odds * (open_ones & (reached >= least))
         if not gain.any():
             break
         equal = np.flatnonzero(gain >= NEARLY * gain.max())
-        pick = min(equal, key=lambda i: (-len(names[i][0]), names[i][1], names[i][0]))
-        text, stem = names[pick]
-        taken.append(names[pick])
-        open_ones &= ~np.array(
-            [text.startswith(other) or (stem and other.startswith(text)) for other, _ in names]
-        )
+        pick = min(equal, key=lambda i: (-len(names[i]), names[i]))
+        name = names[pick]
+        taken.append(name)
+        # Neither what the entry already accepts nor what is too short for it.
+        open_ones &= ~np.array([name.startswith(other) or other.startswith(name) for other in names])
         weight[rows[order[ends[pick] : ends[pick + 1]]]] /= 2
     return taken
 
