@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidelog.schema import MESSAGE_LOG
 from tidelog.plans.scan import number_by_arrival
-from tidelog.sources import packing, recordings
+from tidelog.sources import chains, packing
 from tidelog.sources.recordings import read_recordings, write_recordings
 
 SAMPLE = [
@@ -197,7 +197,7 @@ def test_text_that_looks_like_a_huge_record(tmp_path):
     """A dash before a Persian letter reads like a record with a text of gigabytes."""
     text = "–ی" * 100
     record = packing.pack_record("s", "1-0", {"t": text})
-    data = record * (6 * recordings.LOOK_AHEAD // len(record))
+    data = record * (24_000_000 // len(record))
     path = tmp_path / "big"
     path.write_bytes(data)
 
@@ -213,9 +213,12 @@ def test_text_that_looks_like_a_huge_record(tmp_path):
             self.read_bytes += len(got)
             return got
 
+    size = 3_000_000
     with open(path, "rb") as file:
         seen = Counted(file)
         inside = record.index("–".encode()) + 10 * len(record)
-        start = recordings._guess_start(seen, len(data), inside, len(data))
-    assert start % len(record) == 0
-    assert seen.read_bytes <= 3 * recordings.LOOK_AHEAD
+        found = chains.Cut(seen, len(data), inside, inside + size).chains()
+    real = [chain for chain in found if not chain.broken]
+    assert real[0].starts[0] == 11 * len(record)
+    assert all(start % len(record) == 0 for start in real[0].starts)
+    assert seen.read_bytes <= size + 10 * chains.BEYOND

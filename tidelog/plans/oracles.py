@@ -335,6 +335,11 @@ ORACLES: dict[str, str] = {
     "recording_cuts": """
       SELECT 'documents:' || source AS stream_name, doc_id, lang, md5(text) AS text_md5
       FROM documents""",
+    "recording_range": f"""WITH {E} SELECT stream_name, ms, seq, user_id, value, k FROM e
+      WHERE {AFTER_START} AND {BEFORE_END} AND stream_name IN ({LISTED})""",
+    "recording_large_records": """
+      SELECT 'documents:' || source AS stream_name, doc_id, md5(text) AS text_md5
+      FROM documents""",
     "replay_order_big_batch": f"""WITH {O}, b AS (
         SELECT *, (row_number() OVER (ORDER BY pos) - 1) // {MANY_ROWS} AS batch FROM o)
       SELECT row_number() OVER (ORDER BY batch, ms, seq, pos) - 1 AS replay_no, batch,
@@ -354,5 +359,6 @@ ORACLES |= {
 }
 ORACLES |= {
     "truncate_observed": ORACLES["truncate_counts"],
+    "recording_source": ORACLES["recording_range"],
     "capture_rotated": ORACLES["rotate_by_time"],
 }

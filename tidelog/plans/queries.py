@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import clock, ids
 from tidelog.operators import arrival, replay, select, stats
-from tidelog.plans.scan import number_by_arrival
+from tidelog.plans.scan import div, number_by_arrival
 from tidelog.plans.storage import new_table
 from tidelog.sources import adapters, sinks
-from tidelog.sources.recordings import read_recordings, write_recordings
+from tidelog.sources.recordings import read_recordings, recording_table, write_recordings
 from tidelog.streaming import capture
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,7 @@ MANY_ROWS = 5000
 # Buckets, cuts and lists so small or long that even small tables fill many.
 SMALL_BUCKET = 5000
 SMALL_CUT = 1 << 17
+LARGE_RECORD_TEXTS = 500
 MANY_NAMES = [*(f"other:{n}" for n in range(300)), *EVENT_STREAMS]
 
 REPLAY = {"batch_size": BATCH_SIZE, "exclude": [SKIPPED_STREAM]}
@@ -619,6 +620,51 @@ def recording_cuts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def recording_range(spark: SparkSession, folder: str) -> DataFrame:
+    """A week of some streams, from the blocks of a recording that may hold it."""
+    path = new_table(spark, "recordings")
+    write_recordings(adapters.events_log(spark, folder), path)
+    found = read_recordings(
+        spark, path, from_id=WEEK_START, to_id=WEEK_END, streams=EVENT_STREAMS
+    )
+    return _with_event_fields(found).drop("pos")
+
+
+def recording_source(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from the data source, by filters that Spark pushes into it."""
+    path = new_table(spark, "recordings")
+    write_recordings(adapters.events_log(spark, folder), path)
+    session = spark.newSession()
+    session.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    log = recording_table(session, path)
+    found = select.include_streams(select.truncate(log, WEEK_START, WEEK_END), EVENT_STREAMS)
+    return _with_event_fields(found).drop("pos")
+
+
+def recording_large_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of many texts each, most of them larger than the cuts they are read in."""
+    path = new_table(spark, "recordings")
+    docs = adapters.table(spark, folder, "documents")
+    block = div(F.col("doc_id"), LARGE_RECORD_TEXTS)
+    entry = F.struct(F.col("doc_id").cast("string"), "text")
+    log = docs.groupBy("source", block.alias("ms")).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("fields")
+    )
+    messages = log.select(
+        F.concat(F.lit("documents:"), F.col("source")).alias("stream_name"),
+        "ms",
+        F.lit(0).cast("bigint").alias("seq"),
+        "fields",
+        F.lit("documents").alias("recording"),
+        F.xxhash64("source", "ms").alias("pos"),
+    )
+    write_recordings(messages, path)
+    back = read_recordings(spark, path, split_bytes=SMALL_CUT)
+    return back.select("stream_name", F.explode("fields").alias("doc_id", "text")).select(
+        "stream_name", F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("text_md5")
+    )
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in [
@@ -687,8 +733,11 @@ QUERIES: dict[str, Query] = {
         truncate_observed,
         recording_order,
         recording_cuts,
+        recording_range,
+        recording_source,
+        recording_large_records,
     ]
 }
 
 # Queries whose tasks run Python code of this package.
-PYTHON_WORKERS = {"recording_roundtrip", "recording_order", "recording_cuts"}
+PYTHON_WORKERS = {name for name in QUERIES if name.startswith("recording_")}

@@ -34,6 +34,9 @@ MAP = {0xDE: 2, 0xDF: 4}
 EXTENSION = {0xC7: 1, 0xC8: 2, 0xC9: 4}
 FIXED_EXTENSION = {0xD4: 1, 0xD5: 2, 0xD6: 4, 0xD7: 8, 0xD8: 16}
 RECORD_START = b"\x93"
+NIL = b"\xc0"
+# Bytes that tell the kind and size of a value.
+HEAD_BYTES = 5
 
 READ_BYTES = 1 << 20
 _ID = re.compile(ID_TEXT)
@@ -165,11 +168,13 @@ def objects(
     start: int,
     stop: int,
     take: Callable[[bytes, int], tuple[Any, int]],
+    whole: bool = False,
 ) -> Iterator[tuple[int, Any]]:
     """Objects that begin in ``[start, stop)``: the offset after each, and its value.
 
     Memory is bounded by the largest object.  An incomplete object at the end
-    of the file ends the walk.
+    of the file ends the walk.  With ``whole`` the last one is known to end at
+    ``stop``, and nothing behind it is read.
     """
     file.seek(start)
     buf, at, base, size = b"", 0, start, READ_BYTES
@@ -177,7 +182,8 @@ def objects(
         try:
             value, after = take(buf, at)
         except Short:
-            more = file.read(size)
+            left = stop - base - len(buf) if whole else size
+            more = file.read(min(size, left))
             if not more:
                 return
             # A read that did not complete the object doubles the next one.
@@ -202,7 +208,10 @@ def is_record_at(buf: bytes, at: int) -> bool:
         text = buf[start : start + size].decode("ascii")
     except UnicodeDecodeError:
         return False
-    return bool(_ID.fullmatch(text)) and head(buf, start + size)[0] == "map"
+    fields = start + size
+    return bool(_ID.fullmatch(text)) and (
+        buf[fields : fields + 1] == NIL or head(buf, fields)[0] == "map"
+    )
 
 
 # ---- records ----------------------------------------------------------------
@@ -219,9 +228,12 @@ def _as_text(value: Any) -> str | None:
     return str(value)
 
 
-def record(value: Any) -> tuple[str, int, int, dict[str, str | None]]:
-    """Stream, ms, seq and fields of a decoded object; ``ValueError`` if malformed."""
-    if not isinstance(value, list) or len(value) != 3 or not isinstance(value[2], dict):
+def record(value: Any) -> tuple[str, int, int, dict[str, str | None] | None]:
+    """Stream, ms, seq and fields of a decoded object; ``ValueError`` if malformed.
+
+    Nil in place of the fields is a message without a map.
+    """
+    if not isinstance(value, list) or len(value) != 3 or not isinstance(value[2], (dict, type(None))):
         raise ValueError("not a record of stream, ID and fields")
     name, raw_id = _as_text(value[0]), _as_text(value[1])
     found = _ID.fullmatch(raw_id or "")
@@ -230,9 +242,27 @@ def record(value: Any) -> tuple[str, int, int, dict[str, str | None]]:
     ms, seq = int(found.group(1)), int(found.group(2) or 0)
     if max(ms, seq) > MAX_PART:
         raise ValueError(f"message ID out of range: {raw_id!r}")
+    if value[2] is None:
+        return name, ms, seq, None
     return name, ms, seq, {_as_text(k): _as_text(v) for k, v in value[2].items()}
 
 
+def without_fields(buf: bytes, at: int) -> tuple[Any, int]:
+    """Like ``unpack``, but the fields of a record are passed over, as nil.
+
+    A malformed map is not noticed then.
+    """
+    kind, size, start = head(buf, at)
+    if kind != "array" or size != 3:
+        return unpack(buf, at)
+    name, start = unpack(buf, start)
+    message_id, start = unpack(buf, start)
+    found = start
+    end = skip(buf, found)[1]
+    empty = buf[found : found + 1] == NIL or head(buf, found)[0] == "map"
+    return [name, message_id, None if empty else False], end
+
+
 def _sized(size: int, short: int, limit: int, wide: dict[int, int]) -> bytes:
     """Header of a sized value: the short form, or the narrowest that fits."""
     if size < limit:
@@ -250,8 +280,10 @@ def _pack_text(text: str | None) -> bytes:
     return _sized(len(raw), 0xA0, 32, TEXT) + raw
 
 
-def pack_record(name: str, message_id: str, fields: dict[str, str | None]) -> bytes:
+def pack_record(name: str, message_id: str, fields: dict[str, str | None] | None) -> bytes:
     parts = [RECORD_START, _pack_text(name), _pack_text(message_id)]
+    if fields is None:
+        return b"".join([*parts, NIL])
     parts.append(_sized(len(fields), 0x80, 16, MAP))
     for key, value in fields.items():
         parts += (_pack_text(key), _pack_text(value))
