@@ -360,5 +360,6 @@ ORACLES |= {
 ORACLES |= {
     "truncate_observed": ORACLES["truncate_counts"],
     "recording_source": ORACLES["recording_range"],
+    "stream_recordings": ORACLES["recording_roundtrip"],
     "capture_rotated": ORACLES["rotate_by_time"],
 }

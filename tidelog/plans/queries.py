@@ -16,7 +16,12 @@ from tidelog.operators import arrival, replay, select, stats
 from tidelog.plans.scan import div, number_by_arrival
 from tidelog.plans.storage import new_table
 from tidelog.sources import adapters, sinks
-from tidelog.sources.recordings import read_recordings, recording_table, write_recordings
+from tidelog.sources.recordings import (
+    follow_recordings,
+    read_recordings,
+    recording_table,
+    write_recordings,
+)
 from tidelog.streaming import capture
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +51,7 @@ MANY_ROWS = 5000
 SMALL_BUCKET = 5000
 SMALL_CUT = 1 << 17
 LARGE_RECORD_TEXTS = 500
+FOLLOWED_AT_ONCE = 4000
 MANY_NAMES = [*(f"other:{n}" for n in range(300)), *EVENT_STREAMS]
 
 REPLAY = {"batch_size": BATCH_SIZE, "exclude": [SKIPPED_STREAM]}
@@ -665,6 +671,19 @@ def recording_large_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stream_recordings(spark: SparkSession, folder: str) -> DataFrame:
+    """Recordings that come while a stream follows them, which is restarted between."""
+    path, inbox = new_table(spark, "captured"), new_table(spark, "recordings")
+    log = adapters.events_log(spark, folder)
+    for part in range(2):
+        write_recordings(log.where(F.col("pos") % 2 == part), inbox)
+        followed = follow_recordings(spark, inbox, f"{path}-plans", FOLLOWED_AT_ONCE)
+        query = capture.start_capture(followed, path, f"{path}-offsets", once=False)
+        query.processAllAvailable()
+        query.stop()
+    return _with_event_fields(spark.read.parquet(path)).drop("pos")
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in [
@@ -736,8 +755,9 @@ QUERIES: dict[str, Query] = {
         recording_range,
         recording_source,
         recording_large_records,
+        stream_recordings,
     ]
 }
 
 # Queries whose tasks run Python code of this package.
-PYTHON_WORKERS = {name for name in QUERIES if name.startswith("recording_")}
+PYTHON_WORKERS = {name for name in QUERIES if "recording" in name}

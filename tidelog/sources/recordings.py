@@ -33,6 +33,7 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    DataSourceStreamReader,
     DataSourceWriter,
     EqualTo,
     Filter,
@@ -537,6 +538,15 @@ class RecordingSource(DataSource):
         scan = _PushingScan if pushing else _Scan
         return scan(self.options["path"], schema.names, split_bytes, self._option("recursiveFileLookup"))
 
+    def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
+        from tidelog.sources.following import MOST_PER_STREAM, Follower
+
+        most = int(self.options.get("maxMessagesPerStream", MOST_PER_STREAM))
+        if most < 1:
+            raise ValueError("maxMessagesPerStream must be greater than 0")
+        recursive = self._option("recursiveFileLookup")
+        return Follower(self.options["path"], schema.names, self.options["plans"], most, recursive)
+
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
         if overwrite:
             raise ValueError("recordings are append-only; use mode('append')")
@@ -578,6 +588,22 @@ def recording_table(spark: SparkSession, path: str, columns: Sequence[str] | Non
     return read.where("pos >= 0").select(*(columns or MESSAGE_LOG.names))
 
 
+def follow_recordings(
+    spark: SparkSession, path: str, plans: str, max_per_stream: int | None = None
+) -> DataFrame:
+    """The recordings of a folder as a stream; ``plans`` is a folder of its own.
+
+    A micro-batch takes at most ``max_per_stream`` messages of every stream.
+    Planning it reads the new records once, on the driver, which that limit
+    bounds; the tasks read them again.  The offset names every file.
+    """
+    register(spark)
+    reader = spark.readStream.format("recording").option("plans", plans)
+    if max_per_stream is not None:
+        reader = reader.option("maxMessagesPerStream", max_per_stream)
+    return reader.load(path)
+
+
 @dataclass
 class _Ranges(InputPartition):
     ranges: list[tuple]
