@@ -9,7 +9,7 @@ from pathlib import Path
 import duckdb
 
 
-TYPES = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE"}
+TYPES = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:

@@ -158,6 +158,10 @@ def test_file_bytes(spark, tmp_path):
 def test_last_ids(make_log):
     log = make_log([("a", 5, 1), ("a", 5, 3), ("a", 4, 9), ("b", 1, 0)])
     assert {tuple(r) for r in stats.last_ids(log).collect()} == {("a", 5, 3), ("b", 1, 0)}
+    top = 2**63 - 1
+    log = make_log([("a", top, top), ("a", top, 0), ("a", 0, top), ("b", 0, top), ("c", top, 0)])
+    found = {tuple(r) for r in stats.last_ids(log).collect()}
+    assert found == {("a", top, top), ("b", 0, top), ("c", top, 0)}
 
 
 # ---- streams ----
@@ -218,6 +222,32 @@ def test_read_after_any_count(make_log, count):
     assert sorted((r.stream_name, r.ms, r.seq) for r in found.collect()) == sorted(expected)
 
 
+@pytest.mark.parametrize("count", [1, 40, 530, 2000])
+def test_read_after_refines_only_the_last_bucket(make_log, monkeypatch, count):
+    """One hot millisecond, one hot ID in several recordings, one hot recording."""
+    rows = [("a", 5, i % 90) for i in range(600)]
+    rows += [("b", 9, 3, f"r{i % 7}") for i in range(500)] + [("b", 1, i) for i in range(30)]
+    rows += [("c", 2, 0) for _ in range(400)] + [("d", i * 10**9, 2**62 - i) for i in range(650)]
+    log = make_log(rows, step=10**12)
+    monkeypatch.setattr(select, "PARTS", 4)
+    found = select.read_after(log, {}, count, bucket_rows=16)
+    kept = sorted((r.stream_name, r.ms, r.seq, r.recording, r.pos) for r in found.collect())
+    expected = []
+    for name in "abcd":
+        own = sorted(tuple(r) for r in log.select("stream_name", "ms", "seq", "recording", "pos").collect() if r[0] == name)
+        expected += own[:count]
+    assert kept == expected
+    cuts = select._cuts(log, count, select.READ_BUCKET_MS, 16).collect()
+    assert all(r._rows <= 16 for r in cuts)
+
+
+def test_read_after_leaves_out_nameless_messages(make_log):
+    log = make_log([("a", 1), ("a", 2)])
+    nameless = log.withColumn("stream_name", F.when(F.col("ms") > 1, F.col("stream_name")))
+    assert [r.ms for r in select.read_after(nameless, {}, 5).collect()] == [2]
+    assert select.read_after(log.limit(0), {"a": "0"}, 5).count() == 0
+
+
 def test_read_after_walks_the_whole_stream(make_log):
     log = make_log([("a", i // 3, i % 3) for i in range(10)])
     seen, taken = {"a": "0-0"}, 1

@@ -75,6 +75,7 @@ def test_row_level_statistics_are_hash_aggregates(stored):
     lines = [line for line in plan(stats.stream_stats(stored)).splitlines()]
     scans = [i for i, line in enumerate(lines) if "FileScan" in line]
     assert any("HashAggregate" in line and "partial_min_by" in line for line in lines[: scans[0]])
+    assert "SortAggregate" not in plan(stats.last_ids(stored))
 
 
 @pytest.mark.parametrize(

@@ -64,6 +64,51 @@ def flatten_fields(
     )
 
 
+# Types of values that become types of columns; others become text.
+KEPT_TYPES = ("BIGINT", "DOUBLE", "BOOLEAN", "DECIMAL")
+
+
+def field_types(log: DataFrame) -> DataFrame:
+    """``field_key`` and ``type``: the least type that holds all values of a field.
+
+    ``fields`` maps names to VARIANT values.  Whole numbers and others make
+    DOUBLE; kinds without a common type make STRING, as do objects, arrays and
+    fields that are always NULL.  One aggregate over the log, with partial
+    results per task; the result is sorted.
+    """
+    values = log.select(F.explode("fields").alias("field_key", "value"))
+    merged = values.groupBy("field_key").agg(F.schema_of_variant_agg("value").alias("type"))
+    kept = F.regexp_extract("type", r"^[A-Z]+", 0).isin(*KEPT_TYPES)
+    return merged.select(
+        "field_key", F.when(kept, F.col("type")).otherwise("STRING").alias("type")
+    ).orderBy("field_key")
+
+
+def flatten_typed(
+    log: DataFrame, prefix_reserved: bool = False, max_keys: int = MAX_KEYS
+) -> DataFrame:
+    """:func:`flatten_fields` of VARIANT values, each column of the type its values have.
+
+    Finding names and types runs one job, which refuses more than ``max_keys``
+    fields.  A value in a column of text is written as JSON unless it is text.
+    """
+    found = field_types(log).limit(max_keys + 1).collect()
+    if len(found) > max_keys:
+        raise ValueError(f"more than {max_keys} field names; drop some or raise max_keys")
+    names = [_column_name(row.field_key, prefix_reserved) for row in found]
+    _refuse_case_twins([*EXPORT_COLUMNS, *names])
+    columns = [
+        F.try_variant_get(F.try_element_at("fields", F.lit(row.field_key)), "$", row.type).alias(name)
+        for row, name in zip(found, names, strict=True)
+    ]
+    return log.select(
+        "stream_name",
+        format_id(F.col("ms"), F.col("seq")).alias("message_id"),
+        F.col("ms").alias("timestamp_ms"),
+        *columns,
+    )
+
+
 def _column_name(key: str, prefix_reserved: bool) -> str:
     if key.lower() not in EXPORT_COLUMNS:
         return key

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.clock import clamp
@@ -21,7 +21,8 @@ from tidelog.functions.ids import (
 )
 from tidelog.functions.payload import is_text, is_text_map, stringify
 from tidelog.operators.stats import auto_start_id, timeline_global, timeline_streams
-from tidelog.plans.scan import broadcast_if_small, div
+from tidelog.plans.scan import BUCKET_ROWS, broadcast_if_small, div
+from tidelog.plans.storage import stored
 from tidelog.schema import require_positive, stream_keys
 
 # Name lists up to this length become literals, which reach the scan; longer
@@ -29,6 +30,8 @@ from tidelog.schema import require_positive, stream_keys
 MAX_LITERALS = 200
 # Width of the time buckets whose counts tell how far a stream is read.
 READ_BUCKET_MS = 60_000
+# Parts of a bucket that is too large to be ordered.
+PARTS = 1024
 
 
 # ---- by ID and time ---------------------------------------------------------
@@ -188,41 +191,134 @@ def read_after(
     count: int,
     missing: str = "earliest",
     bucket_ms: int = READ_BUCKET_MS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Per stream, the first ``count`` messages after that stream's last ID.
 
-    ``last_ids`` and ``missing`` are those of :func:`newer_than`.  Counts per
-    stream and ``bucket_ms`` of message time tell in which bucket a stream
-    reaches ``count``; only rows up to it are shuffled and ordered, bucket by
-    bucket, so neither a hot stream nor a large ``count`` meets in one task.
+    ``last_ids`` and ``missing`` are those of :func:`newer_than`; messages
+    without a stream name belong to no stream.  Where a stream is cut is found
+    by counting: first per ``bucket_ms`` of message time, then, as long as the
+    bucket with the last message holds more than ``bucket_rows``, in 1024 parts
+    of that bucket alone, by ``(ms, seq, recording, pos)``.  Only the rows of
+    the last bucket are shuffled and ordered.  Finding the cuts runs jobs.
     """
-    require_positive(count=count, bucket_ms=bucket_ms)
-    new = newer_than(log, last_ids, missing).withColumn(
-        "_bucket", div(F.col("ms"), bucket_ms)
+    require_positive(count=count, bucket_ms=bucket_ms, bucket_rows=bucket_rows)
+    new = newer_than(log, last_ids, missing).where("stream_name is not null")
+    cuts = _cuts(new, count, bucket_ms, bucket_rows)
+    cut = broadcast_if_small(cuts)
+    joined = new.join(cut, "stream_name", "left")
+    sure = joined.where(F.col("_rows").isNull() | _before_cut()).select(*log.columns)
+    by_id = Window.partitionBy("stream_name").orderBy("ms", "seq", "recording", "pos")
+    last = (
+        new.join(cut, "stream_name")
+        .where(_in_cut())
+        .withColumn("_rank", F.row_number().over(by_id))
+        .where(F.col("_before") + F.col("_rank") <= count)
+        .select(*log.columns)
     )
-    earlier = (
-        Window.partitionBy("stream_name")
-        .orderBy("_bucket")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    return sure.unionByName(last)
+
+
+_BOUNDED = ("ms", "seq", "pos")
+
+
+def _bounds() -> list[Column]:
+    """Aggregates of a bucket: its rows, and what its rows' keys lie between."""
+    made = [F.count("*").alias("_rows")]
+    for key in _BOUNDED:
+        made += [F.min(key).alias(f"_{key}_low"), F.max(key).alias(f"_{key}_high")]
+    return made
+
+
+def _in_cut() -> Column:
+    """Rows of the bucket that holds a stream's last message."""
+    inside = F.col("_recording").isNull() | (F.col("recording") == F.col("_recording"))
+    for key in _BOUNDED:
+        inside = inside & F.col(key).between(F.col(f"_{key}_low"), F.col(f"_{key}_high"))
+    return inside
+
+
+def _single(key: str) -> Column:
+    return F.col(f"_{key}_low") == F.col(f"_{key}_high")
+
+
+def _before_cut() -> Column:
+    """Rows before that bucket, in the order of ``(ms, seq, recording, pos)``."""
+    chosen = F.col("_recording").isNotNull()
+    by_pos = (F.col("recording") == F.col("_recording")) & (F.col("pos") < F.col("_pos_low"))
+    by_recording = chosen & ((F.col("recording") < F.col("_recording")) | by_pos)
+    same_seq = _single("seq") & (F.col("seq") == F.col("_seq_low")) & by_recording
+    same_ms = _single("ms") & (F.col("ms") == F.col("_ms_low"))
+    return (F.col("ms") < F.col("_ms_low")) | (
+        same_ms & ((F.col("seq") < F.col("_seq_low")) | same_seq)
     )
-    starts = (
-        new.groupBy("stream_name", "_bucket")
-        .agg(F.count("*").alias("_rows"))
-        .select(
-            "stream_name",
-            "_bucket",
-            F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
-        )
-        .where(F.col("_before") < count)
+
+
+def _holding(counts: DataFrame, order: list[str], count: int) -> DataFrame:
+    """Of the buckets of each stream, the one that its last message falls into.
+
+    ``_before`` counts what lies before the buckets; streams with less than
+    ``count`` messages have none.
+    """
+    earlier = Window.partitionBy("stream_name").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_before") + F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+    return counts.withColumn("_before", before).where(
+        (F.col("_before") < count) & (F.col("_before") + F.col("_rows") >= count)
     )
-    by_id = Window.partitionBy("stream_name", "_bucket").orderBy(
-        "ms", "seq", "recording", "pos"
+
+
+def _cuts(new: DataFrame, count: int, bucket_ms: int, bucket_rows: int) -> DataFrame:
+    """Per stream that is cut, the bucket of at most ``bucket_rows`` to be ordered."""
+    columns = ["stream_name", "_before", "_rows", "_recording"]
+    columns += [f"_{key}_{end}" for key in _BOUNDED for end in ("low", "high")]
+    counts = new.groupBy("stream_name", div(F.col("ms"), bucket_ms).alias("_bucket")).agg(*_bounds())
+    first = counts.withColumn("_before", F.lit(0).cast("bigint")).withColumn(
+        "_recording", F.lit(None).cast("string")
     )
+    state = stored(_holding(first, ["_bucket"], count).select(*columns), "cuts")
+    done = []
+    while True:
+        large = state.where(F.col("_rows") > bucket_rows)
+        if large.isEmpty():
+            return _all_of([*done, state])
+        done.append(state.where(F.col("_rows") <= bucket_rows))
+        state = stored(_holding(_refined(new, large), ["_part", "_name"], count).select(*columns), "cuts")
+
+
+def _all_of(tables: list[DataFrame]) -> DataFrame:
+    whole = tables[0]
+    for more in tables[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+def _refined(new: DataFrame, large: DataFrame) -> DataFrame:
+    """Counts of the parts of buckets that are too large.
+
+    A bucket is parted by the first key in which its rows differ; of a
+    recording's name every value is a part.
+    """
+
+    def part(key: str) -> Column:
+        low, high = F.col(f"_{key}_low"), F.col(f"_{key}_high")
+        width = F.call_function("div", high - low, F.lit(PARTS)) + 1
+        return F.call_function("div", F.col(key) - low, width)
+
+    open_name = F.col("_recording").isNull()
+    numbered = (
+        F.when(~_single("ms"), part("ms"))
+        .when(~_single("seq"), part("seq"))
+        .when(~open_name, part("pos"))
+        .otherwise(F.lit(0).cast("bigint"))
+    )
+    by_name = _single("ms") & _single("seq") & open_name
+    name = F.when(by_name, F.col("recording")).otherwise(F.col("_recording"))
     return (
-        new.join(broadcast_if_small(starts), ["stream_name", "_bucket"])
-        .withColumn("_rank", F.row_number().over(by_id))
-        .where(F.col("_before") + F.col("_rank") <= count)
-        .select(*log.columns)
+        new.join(broadcast_if_small(large), "stream_name")
+        .where(_in_cut())
+        .groupBy("stream_name", numbered.alias("_part"), name.alias("_name"), "_before")
+        .agg(*_bounds())
+        .withColumn("_recording", F.col("_name"))
     )
 
 

@@ -1,7 +1,7 @@
 """Per-stream and whole-log statistics.
 
 "First" and "last" follow arrival order ``(recording, pos)``.  The row-level
-aggregates keep only BIGINT buffers, so they run as hash aggregates with
+aggregates keep only numbers as buffers, so they run as hash aggregates with
 map-side partials; strings and structs appear in the small second step.
 """
 
@@ -14,6 +14,9 @@ from tidelog.functions.ids import MessageID, format_id, in_range
 from tidelog.operators.arrival import batches
 from tidelog.plans.scan import BUCKET_ROWS
 
+# More than the largest sequence number.
+ID_STEP = 10**19
+
 
 def recording_stats(log: DataFrame, columns: list[str]) -> DataFrame:
     """Count, position bounds and arrival-first/last values per stream and recording.
@@ -105,9 +108,17 @@ def auto_start_id(log: DataFrame) -> DataFrame:
 
 
 def last_ids(log: DataFrame) -> DataFrame:
-    """The largest ID of every stream, the point from which to resume."""
-    newest = log.groupBy("stream_name").agg(F.max(F.struct("ms", "seq")).alias("_id"))
-    return newest.select("stream_name", "_id.ms", "_id.seq")
+    """The largest ID of every stream, the point from which to resume.
+
+    Both parts of an ID make one number of at most 38 digits, whose maximum is
+    a hash aggregate; the maximum of a struct would sort the rows.
+    """
+    step = F.lit(str(ID_STEP)).cast("decimal(20,0)")
+    whole = F.col("ms").cast("decimal(19,0)") * step + F.col("seq").cast("decimal(19,0)")
+    newest = log.groupBy("stream_name").agg(F.max(whole).alias("_id"))
+    parts = newest.select("stream_name", "_id", F.call_function("div", F.col("_id"), step).alias("ms"))
+    seq = (F.col("_id") - F.col("ms").cast("decimal(19,0)") * step).cast("bigint")
+    return parts.select("stream_name", "ms", seq.alias("seq"))
 
 
 def field_keys(log: DataFrame) -> DataFrame:

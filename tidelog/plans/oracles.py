@@ -207,6 +207,14 @@ ORACLES: dict[str, str] = {
       UNION ALL
       SELECT stream_name, ms || '-' || seq, ms, CAST(custkey AS VARCHAR), NULL, status,
              totalprice, NULL, NULL FROM o""",
+    "flatten_typed": f"""WITH {E}
+      SELECT stream_name, ms || '-0' AS message_id, ms AS timestamp_ms, user_id,
+             user_id % 2 = 0 AS even,
+             CASE user_id % 3 WHEN 0 THEN CAST(user_id AS VARCHAR)
+               WHEN 1 THEN CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END
+               ELSE substr(stream_name, 8) END AS mixed,
+             CASE WHEN user_id % 2 = 0 THEN CAST(user_id AS DOUBLE) ELSE value END AS number,
+             value FROM e""",
     "csv_roundtrip": f"""WITH {E}
       SELECT stream_name, ms || '-' || seq AS message_id,
              CAST(ms AS VARCHAR) AS timestamp_ms, CAST(k AS VARCHAR) AS k,

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import clock, ids
-from tidelog.operators import arrival, replay, select, stats
+from tidelog.operators import arrival, flatten, replay, select, stats
 from tidelog.plans.scan import div, number_by_arrival
 from tidelog.plans.storage import new_table
 from tidelog.sources import adapters, sinks
@@ -277,6 +277,31 @@ def flatten_fields(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def flatten_typed(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields of whole numbers, others, truth values and a mix, each in its type."""
+    events = adapters.table(spark, folder, "events")
+    user = F.col("user_id")
+    mixed = F.when(user % 3 == 0, user.cast("variant")).when(
+        user % 3 == 1, (user % 2 == 0).cast("variant")
+    ).otherwise(F.col("event_type").cast("variant"))
+    number = F.when(user % 2 == 0, user.cast("variant")).otherwise(F.col("value").cast("variant"))
+    entries = {
+        "user_id": user.cast("variant"),
+        "even": (user % 2 == 0).cast("variant"),
+        "mixed": mixed,
+        "number": number,
+        "value": F.col("value").cast("variant"),
+    }
+    pairs = [F.struct(F.lit(name).alias("key"), value.alias("value")) for name, value in entries.items()]
+    log = events.select(
+        F.concat(F.lit("events:"), F.col("event_type")).alias("stream_name"),
+        clock.epoch_ms(F.col("ts")).alias("ms"),
+        F.lit(0).cast("bigint").alias("seq"),
+        F.map_from_entries(F.array(*pairs)).alias("fields"),
+    )
+    return flatten.flatten_typed(log)
+
+
 def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     path = new_table(spark, "export-csv")
     keys = ["k", "user_id", "value"]
@@ -714,6 +739,7 @@ QUERIES: dict[str, Query] = {
         rename_streams,
         read_after,
         flatten_fields,
+        flatten_typed,
         csv_roundtrip,
         recording_roundtrip,
         append_union,

@@ -6,6 +6,8 @@ use.  It works on one buffer and knows nothing about files or Spark.
 
 from __future__ import annotations
 
+import json
+import math
 import re
 import struct
 from collections.abc import Callable, Iterator
@@ -228,7 +230,24 @@ def _as_text(value: Any) -> str | None:
     return str(value)
 
 
-def record(value: Any) -> tuple[str, int, int, dict[str, str | None] | None]:
+def _as_json(value: Any) -> str | None:
+    """A field value as JSON that tells its type; a float always has an exponent.
+
+    A float that is no number is text, as JSON has none.
+    """
+    if isinstance(value, float):
+        return f"{value!r}E0" if math.isfinite(value) and "e" not in repr(value) else json.dumps(
+            value if math.isfinite(value) else str(value)
+        )
+    if isinstance(value, (bool, int)):
+        return json.dumps(value)
+    text = _as_text(value)
+    return None if text is None else json.dumps(text)
+
+
+def record(
+    value: Any, as_field: Callable[[Any], str | None] = _as_text
+) -> tuple[str, int, int, dict[str, str | None] | None]:
     """Stream, ms, seq and fields of a decoded object; ``ValueError`` if malformed.
 
     Nil in place of the fields is a message without a map.
@@ -244,7 +263,12 @@ def record(value: Any) -> tuple[str, int, int, dict[str, str | None] | None]:
         raise ValueError(f"message ID out of range: {raw_id!r}")
     if value[2] is None:
         return name, ms, seq, None
-    return name, ms, seq, {_as_text(k): _as_text(v) for k, v in value[2].items()}
+    return name, ms, seq, {_as_text(k): as_field(v) for k, v in value[2].items()}
+
+
+def typed_record(value: Any) -> tuple[str, int, int, dict[str, str | None] | None]:
+    """:func:`record` with field values as JSON, which keeps their types."""
+    return record(value, _as_json)
 
 
 def without_fields(buf: bytes, at: int) -> tuple[Any, int]:

@@ -16,7 +16,7 @@ import os
 import re
 import threading
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from posixpath import basename
 from urllib.parse import unquote
@@ -47,7 +47,7 @@ from pyspark.sql.datasource import (
 )
 
 from tidelog.functions.ids import MAX_PART, MessageID, check_bounds, format_id, in_range
-from tidelog.plans.storage import new_table
+from tidelog.plans.storage import stored
 from tidelog.schema import MESSAGE_LOG, require_columns, stream_keys
 from tidelog.sources import chains, packing, zones
 from tidelog.sources.sinks import refuse_own_input
@@ -87,7 +87,13 @@ def filesystem(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def _rows(
-    path: str, name: str, start: int, stop: int, pos: int, with_fields: bool = True
+    path: str,
+    name: str,
+    start: int,
+    stop: int,
+    pos: int,
+    with_fields: bool = True,
+    record: Callable = packing.record,
 ) -> Iterator[pa.RecordBatch]:
     """Decode the objects of a byte range that ends with one, numbered from ``pos``."""
     system, inner = filesystem(path)
@@ -97,7 +103,7 @@ def _rows(
         try:
             for _, value in packing.objects(file, start, stop, take, whole=True):
                 try:
-                    stream, ms, seq, fields = packing.record(value)
+                    stream, ms, seq, fields = record(value)
                     pairs = None if fields is None else list(fields.items())
                     row = (stream, ms, seq, pairs, name, pos, None)
                 except ValueError as problem:
@@ -120,13 +126,6 @@ def _batch(rows: list[tuple], schema: pa.Schema = _ARROW) -> pa.RecordBatch:
     )
 
 
-def _table(df: DataFrame, purpose: str) -> DataFrame:
-    """A small table of places, written once so that later jobs need not find them again."""
-    path = new_table(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 # ---- commits ----------------------------------------------------------------
 
 
@@ -298,10 +297,10 @@ def _found(files: DataFrame, split_bytes: int) -> DataFrame:
 
 
 def _places(files: DataFrame, root: str, wanted: zones.Wanted, split_bytes: int) -> tuple[DataFrame, int]:
-    ranges = _table(_ranges(files, root, wanted, split_bytes), "recording-ranges")
+    ranges = stored(_ranges(files, root, wanted, split_bytes), "recording-ranges")
     unknown = ranges.where(~F.col("placed"))
     if not unknown.isEmpty():
-        found = _table(_found(unknown.select("path", "name", "size"), split_bytes), "recording-places")
+        found = stored(_found(unknown.select("path", "name", "size"), split_bytes), "recording-places")
         ranges = ranges.where("placed").unionByName(found)
     return ranges, ranges.count()
 
@@ -327,6 +326,7 @@ def read_recordings(
     from_id: MessageID | str | bytes | None = None,
     to_id: MessageID | str | bytes | None = None,
     streams: Iterable[str | dict] | None = None,
+    typed: bool = False,
 ) -> DataFrame:
     """All recordings under a path (file, folder or glob) as one message log.
 
@@ -339,6 +339,9 @@ def read_recordings(
     Given bounds (both included) and streams, only messages within them are
     returned; of recordings with an index only blocks that may hold such
     messages are opened, so that malformed records elsewhere are not noticed.
+
+    ``typed`` keeps the types of field values: ``fields`` then maps names to
+    VARIANT instead of text.
     """
     mode = _checked_mode(mode)
     low, high = check_bounds(from_id, to_id)
@@ -348,22 +351,31 @@ def read_recordings(
     )
     files = _listed(spark, path)
     if files is None:
-        return _by_mode(spark.createDataFrame([], _SCHEMA_NULLABLE), mode)
+        return _by_mode(_with_types(spark.createDataFrame([], _SCHEMA_NULLABLE), typed), mode)
     places, count = _places(files, _root(path), wanted, split_bytes)
 
+    record = packing.typed_record if typed else packing.record
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield from _rows(row["path"], row["name"], row["start"], row["end"], row["pos"])
+                place = (row["start"], row["end"], row["pos"])
+                yield from _rows(row["path"], row["name"], *place, record=record)
 
     rows = _spread(places, count, "path", "start").mapInArrow(decode, _SCHEMA_NULLABLE)
     inside = in_range(low, high) if low or high else F.lit(True)
     if names is not None:
         inside = inside & F.col("stream_name").isin(names)
-    found = _by_mode(rows, mode)
+    found = _by_mode(_with_types(rows, typed), mode)
     return found if wanted.everything else found.where(inside)
 
 
+def _with_types(rows: DataFrame, typed: bool) -> DataFrame:
+    if not typed:
+        return rows
+    return rows.withColumn("fields", F.transform_values("fields", lambda _, v: F.parse_json(v)))
+
+
 def index_recordings(
     spark: SparkSession,
     path: str,
@@ -391,7 +403,7 @@ def index_recordings(
                     index.file.close()
             yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
 
-    missing = _table(files.mapInArrow(lacking, "path string, size bigint"), "recordings-to-index")
+    missing = stored(files.mapInArrow(lacking, "path string, size bigint"), "recordings-to-index")
     places, count = _places(missing, "", zones.Wanted(), split_bytes)
     numbers = ["start", "end", "pos", "records", "ms", "seq", "last_ms", "last_seq", "streams"]
     schema = pa.schema([("path", pa.string()), ("size", pa.int64()), *[(c, pa.int64()) for c in numbers]])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.operators.flatten import MAX_KEYS, flatten_fields, keys_or_none
+from tidelog.operators.flatten import MAX_KEYS, flatten_fields, flatten_typed, keys_or_none
 from tidelog.plans.scan import div
 from tidelog.schema import require_format, require_positive
 
@@ -65,23 +65,34 @@ def export(
 ) -> bool:
     """Write the flattened log as Parquet or CSV; no rows, no output.
 
-    The other arguments are those of ``flatten_fields``.  Returns whether
-    anything was written.
+    The other arguments are those of ``flatten_fields``; a log of VARIANT
+    values gives columns of the types they have.  Returns whether anything was
+    written.
     """
     require_format(fmt)
     refuse_own_input(log, path)
+    if log.schema["fields"].dataType == T.MapType(T.StringType(), T.VariantType()):
+        if keys is not None or types is not None:
+            raise ValueError("the names and types of VARIANT values are found, not given")
+        if log.isEmpty():
+            return False
+        _write_flat(flatten_typed(log, prefix_reserved, max_keys), path, fmt)
+        return True
     if keys is None:
         keys = keys_or_none(log, max_keys)
         if keys is None:
             return False
     elif log.isEmpty():
         return False
-    flat = flatten_fields(log, keys, prefix_reserved, types=types)
+    _write_flat(flatten_fields(log, keys, prefix_reserved, types=types), path, fmt)
+    return True
+
+
+def _write_flat(flat: DataFrame, path: str, fmt: str) -> None:
     if fmt == "csv":
         flat.write.options(**CSV_OPTIONS).csv(path)
     else:
         flat.write.parquet(path)
-    return True
 
 
 def read_csv_export(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
