@@ -225,6 +225,50 @@ def test_empty_archive(spark, tmp_path):
     assert warc.archive(pages, F.lit(0), str(tmp_path / "a")).count() == 0
 
 
+def foreign_record(kind, url, block, **headers):
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Target-URI:{url}", "warc-date: 2020-01-02T03:04:05Z"]
+    lines += ["WARC-Record-ID: <urn:uuid:92283950-ef2f-4d72-b224-f54c6ec90bb0>"]
+    lines += [f"{k.replace('_', '-')}: {v}" for k, v in headers.items()]
+    return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """A gzip member for every record, other records between, digests in base 32 or none."""
+    import base64
+    import gzip
+
+    payloads = [b"first" * 30_000, b"", "dritte é".encode()]
+    sha = base64.b32encode(hashlib.sha1(payloads[0]).digest()).decode()
+    records = [
+        foreign_record("warcinfo", "x", b"software: other\r\n"),
+        foreign_record("request", "http://a.org/1", b"GET /1 HTTP/1.1\r\n\r\n"),
+        foreign_record("response", "http://a.org/1", b"HTTP/1.1 200 OK\r\n\r\n" + payloads[0], WARC_Payload_Digest=f"sha1:{sha}"),
+        foreign_record("response", "http://a.org/2", b"HTTP/1.1 204 None\r\nContent-Length: 0"),
+        foreign_record("response", "http://a.org/3", b"HTTP/1.1 200 OK\r\ncontent-length: 9\r\n\r\n" + payloads[2]),
+        foreign_record("response", "http://a.org/4", b"HTTP/1.1 200 OK\r\n\r\nx", WARC_Payload_Digest=f"sha1:{sha}"),
+    ]
+    data = b"".join(map(gzip.compress, records))
+    (tmp_path / "one.warc.gz").write_bytes(data + bytes(10))
+    (tmp_path / "plain.warc").write_bytes(b"".join(records[2:4]))
+    rows = warc.capture_index(spark, str(tmp_path), files="*.warc*").collect()
+    found = sorted((r.url, r.payload_bytes, r.payload_digest, r.intact, r.page_id) for r in rows if "one" in r.file)
+    digests = [hashlib.sha1(p).hexdigest() for p in (*payloads, b"x")]
+    assert found == [
+        ("http://a.org/1", 150_000, digests[0], True, None),
+        ("http://a.org/2", 0, digests[1], True, None),
+        ("http://a.org/3", 9, digests[2], True, None),
+        ("http://a.org/4", 1, digests[0], False, None),
+    ]
+    assert sum("plain" in r.file for r in rows) == 2
+    for r in rows:
+        raw = (tmp_path / r.file.rsplit("/", 1)[1]).read_bytes()[r.offset :]
+        content = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+        assert f"WARC-Target-URI:{r.url}\r\n".encode() in content[r.inside : r.inside + 200]
+    for broken in (data[:-5], data + b"junk", records[2][:-100], b"no archive"):
+        with pytest.raises(ValueError):
+            list(warc.parsed(broken, "f"))
+
+
 def test_loser_tree_merges_runs():
     draw = random.Random(6)
     runs = [sorted((draw.choice("abc"), str(draw.randint(0, 9)), i) for i in range(n)) for n in (0, 5, 1, 40, 7)]

@@ -9,7 +9,9 @@ of every URL.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 from urllib.parse import urlsplit
@@ -37,6 +39,10 @@ LINE = "\r\n"
 RECORD_END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NO_ID = "ffffffff-0000-0000-0000-000000000000"
+GZIP = b"\x1f\x8b"
+_OWN_ID = re.compile("<urn:uuid:00000000-0000-0000-([0-9a-f]{4}-[0-9a-f]{12})>")
+# Bytes in which the head of a response is looked for at first.
+HTTP_HEAD = 4096
 
 CAPTURE = fields(
     url_key=StringType(),
@@ -50,6 +56,7 @@ CAPTURE = fields(
     intact=BooleanType(),
     file=StringType(),
     offset=LongType(),
+    inside=LongType(),
 )
 _ORDER = 3  # url_key, captured_at, page_id
 
@@ -167,48 +174,104 @@ def url_key(url: str | None) -> str | None:
 
 
 def _number(record_id: str | None) -> int | None:
-    if not record_id or NO_ID in record_id:
+    """The page of a record id that this module made."""
+    found = _OWN_ID.fullmatch(record_id or "")
+    if found is None:
         return None
-    value = int(record_id.strip("<>")[-17:].replace("-", ""), 16)
+    value = int(found[1].replace("-", ""), 16)
     return value - (1 << 64) if value >> 63 else value
 
 
-def parsed(data: bytes, file: str) -> Iterator[tuple]:
-    """The captures of one archive file, in file order, found by their lengths."""
-    if data[:2] == b"\x1f\x8b":
-        data = zlib.decompress(data, 31)
+def members(data: bytes, chunk: int = 1 << 16) -> Iterator[tuple[int, bytes]]:
+    """The gzip members of a file and where they begin; of other files all of it.
+
+    A file is read once, chunk by chunk; zeros between members are filling.
+    """
+    if data[:2] != GZIP:
+        yield 0, data
+        return
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split(LINE)
-        if lines[0] != VERSION:
-            raise ValueError(f"{file}: no record at byte {at}")
-        header = dict(line.split(": ", 1) for line in lines[1:])
-        first = end + 4
-        last = first + int(header["Content-Length"])
-        body = data.index(b"\r\n\r\n", first, last) + 4
-        http = data[first:body].decode("latin-1").split(LINE)
-        length = next(int(x.split(":")[1]) for x in http if x.startswith("Content-Length:"))
-        digest = header["WARC-Payload-Digest"].removeprefix("sha1:")
-        intact = True
-        if header["WARC-Type"] == "response":
-            intact = length == last - body
-            intact &= hashlib.sha1(memoryview(data)[body:last]).hexdigest() == digest
-        url = header.get("WARC-Target-URI")
-        yield (
-            url_key(url),
-            header["WARC-Date"],
-            _number(header["WARC-Record-ID"]),
-            url,
-            length,
-            digest,
-            header["WARC-Type"],
-            _number(header.get("WARC-Refers-To")),
-            intact,
-            file,
-            at,
-        )
-        at = last + len(RECORD_END)
+        if data[at : at + 2] != GZIP:
+            if data[at:].strip(b"\0"):
+                raise ValueError(f"no gzip member at byte {at}")
+            return
+        start, unpacked, content = at, zlib.decompressobj(31), []
+        while not unpacked.eof:
+            part = data[at : at + chunk]
+            if not part:
+                raise ValueError(f"the gzip member at byte {start} is incomplete")
+            content.append(unpacked.decompress(part))
+            at += len(part) - len(unpacked.unused_data)
+        yield start, b"".join(content)
+
+
+def _headers(raw: bytes) -> tuple[str, dict[str, str]]:
+    """First line, and header values by lower-case name."""
+    first, *lines = raw.decode("utf-8", "replace").split(LINE)
+    pairs = (line.split(":", 1) for line in lines if ":" in line)
+    return first, {name.strip().lower(): value.strip() for name, value in pairs}
+
+
+def _digest(text: str | None) -> str | None:
+    """A SHA-1 digest in hexadecimal, also from base 32; ``None`` for another kind."""
+    kind, _, value = (text or "").rpartition(":")
+    if kind.lower() != "sha1":
+        return None
+    if len(value) == 32:
+        return base64.b32decode(value.upper()).hex()
+    return value.lower()
+
+
+def parsed(data: bytes, file: str) -> Iterator[tuple]:
+    """The captures of one archive file, in file order, found by their lengths.
+
+    Records that are no response or revisit are passed over.  Archives of other
+    writers have no page ids, may lack digests, and may begin a gzip member
+    with every record; ``offset`` is where the member begins in the file.
+    """
+    for offset, content in members(data):
+        at = 0
+        while at < len(content):
+            end = content.find(b"\r\n\r\n", at)
+            version, header = _headers(content[at:end]) if end >= 0 else ("", {})
+            if not version.startswith("WARC/") or "content-length" not in header:
+                raise ValueError(f"{file}: no record at byte {at} of the member at {offset}")
+            first = end + 4
+            last = first + int(header["content-length"])
+            if last > len(content):
+                raise ValueError(f"{file}: the record at byte {at} of the member at {offset} is cut off")
+            if header.get("warc-type") in ("response", "revisit"):
+                yield (*_capture(header, memoryview(content)[first:last]), file, offset, at)
+            at = last + len(RECORD_END)
+
+
+def _capture(header: dict[str, str], block: memoryview) -> tuple:
+    raw = bytes(block[: HTTP_HEAD])
+    body = raw.find(b"\r\n\r\n")
+    if body < 0 and len(block) > HTTP_HEAD:
+        body = bytes(block).find(b"\r\n\r\n")
+    body = len(block) if body < 0 else body + 4
+    declared = _headers(bytes(block[:body]))[1].get("content-length")
+    length = int(declared) if declared and declared.isdigit() else None
+    digest = _digest(header.get("warc-payload-digest"))
+    intact = True
+    if header["warc-type"] == "response":
+        found = hashlib.sha1(block[body:]).hexdigest()
+        intact = length in (None, len(block) - body) and digest in (None, found)
+        length, digest = (len(block) - body if length is None else length), digest or found
+    url = header.get("warc-target-uri")
+    return (
+        url_key(url),
+        header.get("warc-date"),
+        _number(header.get("warc-record-id")),
+        url,
+        length,
+        digest,
+        header["warc-type"],
+        _number(header.get("warc-refers-to")),
+        intact,
+    )
 
 
 def _key(row: tuple) -> tuple:
@@ -280,9 +343,15 @@ def sorted_runs(rows: Sequence[tuple]) -> list[list[tuple]]:
     return runs
 
 
-def capture_index(spark: SparkSession, path: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+def capture_index(
+    spark: SparkSession, path: str, range_rows: int = RANGE_ROWS, files: str = "part-*"
+) -> DataFrame:
     """All captures of an archive in the order of URL key, time and id.
 
+    ``files`` is a glob; archives may come from other writers, see
+    :func:`parsed`.  A record is found again at ``inside`` bytes of the gzip
+    member that begins at ``offset`` of its ``file``.
+
     One task per archive file makes a sorted run; one task per range merges
     what the runs hold of it.  ``range_no`` and ``place`` give the global
     order.  Raises for a file that is no archive; ``intact`` tells whether a
@@ -296,8 +365,8 @@ def capture_index(spark: SparkSession, path: str, range_rows: int = RANGE_ROWS)
                 rows = sorted(parsed(content.as_py(), file.as_py()), key=_key)
                 yield _columns(rows, arrow)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    runs = staged(files.select("path", "content").mapInArrow(read, CAPTURE), "runs")
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", files).load(path)
+    runs = staged(archives.select("path", "content").mapInArrow(read, CAPTURE), "runs")
     ranges = blocks_of(runs.count(), range_rows)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
