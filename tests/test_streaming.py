@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 
 import pytest
@@ -12,6 +13,7 @@ from tidelog.plans.storage import new_table, shared_folder
 from tidelog.schema import MESSAGE_LOG
 from tidelog.sources import packing, sinks
 from tidelog.streaming import capture
+from tidelog.streaming.versions import VersionedTable
 
 
 @pytest.fixture
@@ -165,6 +167,40 @@ def test_live_stats_follow_the_capture(spark, inbox, tmp_path):
     assert [r.messages for r in now] == [4, 2]
 
 
+def test_live_stats_stay_small(spark, inbox, tmp_path):
+    """Fifty micro-batches, of which few change many rows."""
+    table, offsets = tmp_path / "stats", str(tmp_path / "offsets")
+    for part in range(50):
+        names = [f"s{k}" for k in range(40)] if part % 20 == 0 else [f"s{part % 40}", "s0"]
+        inbox([(name, part * 100 + i) for i, name in enumerate(names)])
+    capture.start_live_stats(stream(spark, inbox), str(table), offsets).awaitTermination()
+    assert len(os.listdir(table / "runs")) <= 12
+    assert len([n for n in os.listdir(table / "manifests") if n.endswith(".json")]) <= 4
+    kept = VersionedTable(spark, str(table), ["stream_name", "recording"])
+    runs = kept._runs(kept._manifests()[-1])
+    state = stats.recording_stats(spark.read.parquet(inbox.path), ["ms"]).count()
+    assert sum(run.rows for run in runs) <= 2 * state
+    expected = stats.stream_stats(spark.read.parquet(inbox.path)).collect()
+    assert capture.live_stats(spark, str(table)).collect() == expected
+
+
+def test_versions_of_a_trigger_count_once(spark, tmp_path):
+    kept = VersionedTable(spark, str(tmp_path / "t"), ["k"])
+    assert kept.rows() is None
+
+    def add(number, *rows):
+        kept.add(spark.createDataFrame(rows, "k string, v int"), number)
+
+    add(0, ("a", 1), ("b", 1), ("c", 1), ("d", 1), (None, 1))
+    add(1, ("a", 2))
+    add(1, ("a", 99))
+    add(2, (None, 3))
+    found = {(r.k, r.v) for r in kept.rows().collect()}
+    assert found == {("a", 2), ("b", 1), ("c", 1), ("d", 1), (None, 3)}
+    with pytest.raises(ValueError, match="published"):
+        capture.live_stats(spark, str(tmp_path / "none"))
+
+
 # ---- tables ----
 
 

@@ -24,6 +24,7 @@ from tidelog.operators.select import dropped_streams, include_streams, newer_tha
 from tidelog.operators.stats import across_recordings, describe, recording_stats
 from tidelog.schema import require_positive, stream_keys
 from tidelog.sources.sinks import rotation
+from tidelog.streaming.versions import VersionedTable
 
 # The name under which a capture reports its counts.
 COUNTS = "capture_counts"
@@ -151,7 +152,8 @@ def capture_with_limits(
         spark = batch.sparkSession
         if max_duration is not None and time.monotonic() - started >= max_duration:
             stop("max_duration")
-        if limit is not None and _captured_bytes(spark, path, number) >= limit:
+        before = _captured_bytes(spark, path, number)
+        if limit is not None and before >= limit:
             stop("max_size_mb")
         batch = batch.persist()  # read twice below, from the source once
         try:
@@ -169,7 +171,8 @@ def capture_with_limits(
             dropped.write.mode("overwrite").parquet(f"{path}-dropped/generation={number}")
         finally:
             batch.unpersist()
-        sizes = spark.createDataFrame([(seen.get["bytes"],)], "bytes bigint")
+        new = seen.get["bytes"]
+        sizes = spark.createDataFrame([(new, before + new)], "bytes bigint, total bigint")
         sizes.write.mode("overwrite").parquet(f"{path}-sizes/generation={number}")
         totals["kept"] += seen.get["kept"]
         totals["dropped"] += others.get["dropped"]
@@ -198,12 +201,14 @@ def capture_with_limits(
     )
 
 
-def _captured_bytes(spark: SparkSession, path: str, before: int) -> int:
-    """Recording bytes in the generations written before the given one."""
-    if before == 0:
+def _captured_bytes(spark: SparkSession, path: str, number: int) -> int:
+    """Recording bytes before a generation: the running total of the one before it."""
+    if number == 0:
         return 0
-    sizes = spark.read.parquet(f"{path}-sizes").where(F.col("generation") < before)
-    return sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    return spark.read.parquet(f"{path}-sizes/generation={number - 1}").first().total
+
+
+_LIVE_KEY = ["stream_name", "recording"]
 
 
 def start_live_stats(
@@ -211,16 +216,17 @@ def start_live_stats(
 ) -> StreamingQuery:
     """Keep the per-stream statistics of a running capture current in a table.
 
-    State holds one row per stream and recording.  Every trigger writes a new
-    ``version``; :func:`live_stats` reads the newest.
+    State holds one row per stream and recording.  Every trigger adds only the
+    rows that it changed; :func:`live_stats` reads the table, whose files do
+    not grow in number with the triggers.
     """
 
     def publish(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={number}")
+        VersionedTable(batch.sparkSession, path, _LIVE_KEY).add(batch, number)
 
     writer = (
         recording_stats(messages, ["ms", "seq"])
-        .writeStream.outputMode("complete")
+        .writeStream.outputMode("update")
         .foreachBatch(publish)
     )
     if once:
@@ -230,9 +236,9 @@ def start_live_stats(
 
 def live_stats(spark: SparkSession, path: str) -> DataFrame:
     """The newest statistics :func:`start_live_stats` has published."""
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("version")).scalar()
-    current = versions.where(F.col("version") == newest)
+    current = VersionedTable(spark, path, _LIVE_KEY).rows()
+    if current is None:
+        raise ValueError(f"no statistics have been published to {path} yet")
     return describe(across_recordings(current, ["ms", "seq"]))
 
 
