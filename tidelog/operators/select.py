@@ -363,5 +363,60 @@ def drop_undecodable(
     )
 
 
+# Why a raw message is set aside, in the order in which a recorder would find out.
+NO_NAME, UNLISTED, NO_ID_TEXT, NO_FIELDS, NO_ID = (
+    "stream name",
+    "unlisted stream",
+    "message ID text",
+    "fields",
+    "message ID",
+)
+KEPT, SET_ASIDE = "kept", "set_aside"
+
+
+def judged(
+    raw: DataFrame,
+    streams: Iterable[str | dict] | None = None,
+    name: str = "stream_name",
+    raw_id: str = "id",
+    fields: str = "fields",
+) -> DataFrame:
+    """All raw messages, decoded, with a ``status`` and the ``reason`` of those set aside.
+
+    ``kept`` messages have the columns of a message log.  Of the others
+    ``stream_name``, ``ms``, ``seq`` and ``fields`` are NULL and ``raw`` holds
+    what came.  Other columns stay as they are.  A NULL map is kept.
+    """
+
+    def fails(condition: Column) -> Column:
+        return ~F.coalesce(condition, F.lit(False))
+
+    text = F.col(name).cast("string")
+    reason = F.when(fails(is_text(F.col(name))), NO_NAME)
+    if streams is not None:
+        reason = reason.when(fails(text.isin(stream_keys(streams))), UNLISTED)
+    reason = (
+        reason.when(fails(is_text(F.col(raw_id))), NO_ID_TEXT)
+        .when(fails(F.col(fields).isNull() | is_text_map(F.col(fields))), NO_FIELDS)
+        .when(fails(is_valid_id(F.col(raw_id))), NO_ID)
+    )
+    others = [c for c in raw.columns if c not in (name, raw_id, fields)]
+    kept = F.col("reason").isNull()
+    found = raw.withColumn("reason", reason)
+    values = {
+        "stream_name": text,
+        "ms": id_ms(F.col(raw_id)),
+        "seq": id_seq(F.col(raw_id)),
+        "fields": stringify(F.col(fields)),
+    }
+    return found.select(
+        *[F.when(kept, value).alias(column) for column, value in values.items()],
+        *others,
+        F.when(~kept, F.struct(name, raw_id, fields)).alias("raw"),
+        "reason",
+        F.when(kept, KEPT).otherwise(SET_ASIDE).alias("status"),
+    )
+
+
 def stringify_fields(log: DataFrame) -> DataFrame:
     return log.withColumn("fields", stringify(F.col("fields")))

@@ -7,6 +7,7 @@ the Spark queries must give the same rows without it.
 from __future__ import annotations
 
 from tidelog.plans.queries import (
+    BAD_IDS,
     BATCH_SIZE,
     CAPTURE_MB,
     CAPTURE_SECONDS,
@@ -19,6 +20,7 @@ from tidelog.plans.queries import (
     REISSUE_BASE_MS,
     RENAMED,
     RENAMED_ORDERS,
+    ROTATE_EVERY,
     SKIPPED_STREAM,
     SPEED,
     WEEK_END,
@@ -319,6 +321,17 @@ ORACLES: dict[str, str] = {
       SELECT stream_name, messages, a || '-' || p AS first_id, b || '-' || q AS last_id,
              b - a AS duration_ms, (b - a)::DOUBLE / 1000 AS duration_s FROM f""",
     "capture_restart": f"WITH {E} SELECT {EVENT_ROW} FROM e",
+    "capture_quarantine": f"""WITH {E}, judged AS (
+        SELECT pos, ms, CASE WHEN pos % 89 = 0 THEN 'stream name'
+          WHEN stream_name NOT IN ({LISTED}) THEN 'unlisted stream'
+          WHEN pos % 97 = 0 THEN 'message ID text' WHEN pos % 83 = 0 THEN 'fields'
+          WHEN pos % {BAD_IDS} = 0 THEN 'message ID' END AS reason FROM e)
+      SELECT pos, CASE WHEN reason IS NULL THEN ms END AS ms, reason FROM judged""",
+    "rotate_at": f"""WITH {E}, times AS (SELECT DISTINCT ms AS at_ms FROM e WHERE pos % {ROTATE_EVERY} = 0),
+      turns AS (SELECT at_ms, row_number() OVER (ORDER BY at_ms) AS turn FROM times),
+      placed AS (SELECT coalesce(turn, 0) AS rotation, ms FROM e ASOF LEFT JOIN turns ON e.ms >= turns.at_ms)
+      SELECT rotation, count(*) AS messages, min(ms) AS min_ms, max(ms) AS max_ms
+      FROM placed GROUP BY rotation""",
     "capture_status": f"""WITH {E}
       SELECT count(*) FILTER (WHERE stream_name IN ({LISTED})) AS kept,
              count(*) FILTER (WHERE stream_name NOT IN ({LISTED})) AS dropped FROM e""",
@@ -367,6 +380,7 @@ ORACLES |= {
 }
 ORACLES |= {
     "truncate_observed": ORACLES["truncate_counts"],
+    "capture_rotated_at": ORACLES["rotate_at"],
     "recording_source": ORACLES["recording_range"],
     "stream_recordings": ORACLES["recording_roundtrip"],
     "capture_rotated": ORACLES["rotate_by_time"],

@@ -52,6 +52,8 @@ SMALL_BUCKET = 5000
 SMALL_CUT = 1 << 17
 LARGE_RECORD_TEXTS = 500
 FOLLOWED_AT_ONCE = 4000
+BAD_IDS = 101
+ROTATE_EVERY = 211
 MANY_NAMES = [*(f"other:{n}" for n in range(300)), *EVENT_STREAMS]
 
 REPLAY = {"batch_size": BATCH_SIZE, "exclude": [SKIPPED_STREAM]}
@@ -211,25 +213,31 @@ def stringify_fields(spark: SparkSession, folder: str) -> DataFrame:
 
 def drop_undecodable(spark: SparkSession, folder: str) -> DataFrame:
     """E as raw bytes, with the name, the ID or a value spoilt in some rows."""
-    log = adapters.events_log(spark, folder)
+    kept = select.drop_undecodable(_raw_events(adapters.events_log(spark, folder)))
+    return kept.select("stream_name", "id", "pos", _field("user_id", "bigint"))
+
+
+def _raw_events(log: DataFrame, bad_ids: int | None = None) -> DataFrame:
+    """E as raw bytes; every ``bad_ids``-th ID is none."""
     spoilt = F.lit(b"\xff\xfe")
-    raw_id = ids.format_id(F.col("ms"), F.col("seq")).cast("binary")
+    text = ids.format_id(F.col("ms"), F.col("seq"))
+    if bad_ids is not None:
+        text = F.when(F.col("pos") % bad_ids == 0, F.lit("none")).otherwise(text)
     raw_fields = F.transform_values(
         "fields",
         lambda key, value: F.when(
             (key == "k") & (F.col("pos") % 83 == 0), spoilt
         ).otherwise(value.cast("binary")),
     )
-    raw = log.select(
+    return log.select(
         F.when(F.col("pos") % 89 == 0, spoilt)
         .otherwise(F.col("stream_name").cast("binary"))
         .alias("stream_name"),
-        F.when(F.col("pos") % 97 == 0, spoilt).otherwise(raw_id).alias("id"),
+        F.when(F.col("pos") % 97 == 0, spoilt).otherwise(text.cast("binary")).alias("id"),
         raw_fields.alias("fields"),
+        "recording",
         "pos",
     )
-    kept = select.drop_undecodable(raw)
-    return kept.select("stream_name", "id", "pos", _field("user_id", "bigint"))
 
 
 # ---- streams ----------------------------------------------------------------
@@ -522,6 +530,44 @@ def capture_rotated(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def capture_quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw messages decoded, judged and written in the one pass of a capture."""
+    path = new_table(spark, "judged")
+    messages, _ = _events_in_files(spark, folder)
+    raw = _raw_events(messages, BAD_IDS)
+    capture.start_judged_capture(raw, path, f"{path}-offsets", EVENT_STREAMS).awaitTermination()
+    kept = capture.kept_messages(spark, path).withColumn("reason", F.lit(None).cast("string"))
+    aside = capture.set_aside(spark, path).withColumn("ms", F.lit(None).cast("bigint"))
+    return kept.select("pos", "ms", "reason").unionByName(aside.select("pos", "ms", "reason"))
+
+
+def _rotation_times(spark: SparkSession, folder: str) -> DataFrame:
+    events = adapters.table(spark, folder, "events").where(F.col("event_id") % ROTATE_EVERY == 0)
+    return events.select(clock.epoch_ms(F.col("ts")).alias("ms"))
+
+
+def rotate_at(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_table(spark, "rotated")
+    sinks.write_rotated_at(_events(spark, folder), path, _rotation_times(spark, folder))
+    return _per_rotation(spark.read.parquet(path))
+
+
+def capture_rotated_at(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_table(spark, "captured")
+    messages, _ = _events_in_files(spark, folder)
+    times = _rotation_times(spark, folder)
+    capture.start_capture(messages, path, f"{path}-offsets", rotate_at=times).awaitTermination()
+    return _per_rotation(spark.read.parquet(path))
+
+
+def _per_rotation(rotated: DataFrame) -> DataFrame:
+    return rotated.groupBy(F.col("rotation").cast("bigint").alias("rotation")).agg(
+        F.count("*").alias("messages"),
+        F.min("ms").alias("min_ms"),
+        F.max("ms").alias("max_ms"),
+    )
+
+
 def capture_status(spark: SparkSession, folder: str) -> DataFrame:
     """What a capture with limits kept and dropped over many micro-batches."""
     path = new_table(spark, "captured")
@@ -744,6 +790,7 @@ QUERIES: dict[str, Query] = {
         recording_roundtrip,
         append_union,
         rotate_by_time,
+        rotate_at,
         replay_order,
         replay_delay,
         replay_due,
@@ -763,6 +810,8 @@ QUERIES: dict[str, Query] = {
         capture_restart,
         capture_rotated,
         capture_status,
+        capture_quarantine,
+        capture_rotated_at,
         bounded_duration,
         replay_order_many,
         replay_order_big_batch,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import StreamingQueryException
@@ -20,10 +20,17 @@ from pyspark.sql.streaming.listener import (
 
 from tidelog.functions.ids import MessageID
 from tidelog.operators.arrival import message_bytes
-from tidelog.operators.select import dropped_streams, include_streams, newer_than
+from tidelog.operators.select import (
+    KEPT,
+    SET_ASIDE,
+    dropped_streams,
+    include_streams,
+    judged,
+    newer_than,
+)
 from tidelog.operators.stats import across_recordings, describe, recording_stats
 from tidelog.schema import require_positive, stream_keys
-from tidelog.sources.sinks import rotation
+from tidelog.sources.sinks import rotation, rotation_at
 from tidelog.streaming.versions import VersionedTable
 
 # The name under which a capture reports its counts.
@@ -73,12 +80,13 @@ def start_capture(
     streams: Iterable[str | dict] | None = None,
     once: bool = True,
     rotate_ms: int | None = None,
+    rotate_at: DataFrame | Sequence[int] | None = None,
 ) -> StreamingQuery:
     """Append messages of the listed streams to a Parquet table, exactly once.
 
     ``once`` captures what is there and ends; otherwise the job keeps running.
     ``rotate_ms`` starts a new ``rotation`` folder for every such interval of
-    message time.  Offsets live in ``checkpoint``, so a restarted capture goes
+    message time, ``rotate_at`` at every given moment.  Offsets live in ``checkpoint``, so a restarted capture goes
     on where the last one stopped.
     """
     if streams is not None:
@@ -87,16 +95,56 @@ def start_capture(
         messages = include_streams(messages, names)
     else:
         messages = messages.observe(COUNTS, F.count("*").alias("kept"), F.lit(0).alias("dropped"))
+    if rotate_ms is not None and rotate_at is not None:
+        raise ValueError("give either rotate_ms or rotate_at")
     if rotate_ms is not None:
         messages = rotation(messages, rotate_ms)
+    elif rotate_at is not None:
+        messages = rotation_at(messages, rotate_at)
     writer = messages.writeStream.format("parquet").outputMode("append")
-    if rotate_ms is not None:
+    if "rotation" in messages.columns:
         writer = writer.partitionBy("rotation")
     if once:
         writer = writer.trigger(availableNow=True)
     return writer.option("checkpointLocation", checkpoint).start(path)
 
 
+def start_judged_capture(
+    raw: DataFrame,
+    path: str,
+    checkpoint: str,
+    streams: Iterable[str | dict] | None = None,
+    once: bool = True,
+) -> StreamingQuery:
+    """Decode raw messages and write all of them, good ones and those set aside, in one pass.
+
+    The table has a folder per ``status``; the reasons are those of
+    :func:`tidelog.operators.select.judged`.  Every message is in it exactly
+    once, and the pass counts ``kept`` and ``dropped`` ones.
+    """
+    found = judged(raw, streams)
+    kept = F.col("status") == KEPT
+    counted = found.observe(
+        COUNTS, F.count_if(kept).alias("kept"), F.count_if(~kept).alias("dropped")
+    )
+    writer = counted.writeStream.format("parquet").outputMode("append").partitionBy("status")
+    if once:
+        writer = writer.trigger(availableNow=True)
+    return writer.option("checkpointLocation", checkpoint).start(path)
+
+
+def kept_messages(spark: SparkSession, path: str) -> DataFrame:
+    """The message log of :func:`start_judged_capture`; folders of other rows are not read."""
+    rows = spark.read.parquet(path).where(F.col("status") == KEPT)
+    return rows.drop("raw", "reason", "status")
+
+
+def set_aside(spark: SparkSession, path: str) -> DataFrame:
+    """The messages that :func:`start_judged_capture` set aside, as they came, with reasons."""
+    rows = spark.read.parquet(path).where(F.col("status") == SET_ASIDE)
+    return rows.drop(*("stream_name", "ms", "seq", "fields"), "status")
+
+
 def _counted(messages: DataFrame, names: list[str | dict]) -> DataFrame:
     """Count listed and other messages in the pass that writes them."""
     listed = F.coalesce(F.col("stream_name").isin(stream_keys(names)), F.lit(False))
