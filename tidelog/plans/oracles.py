@@ -14,6 +14,7 @@ from tidelog.plans.queries import (
     DAY_MS,
     EVENT_STREAMS,
     FETCH_ROWS,
+    LIMIT_PARTS,
     MANY_ROWS,
     MAX_DELAY,
     NEW_STREAM,
@@ -111,6 +112,15 @@ def _entry(text: str) -> str:
     return f"(octet_length(encode({text})) + CASE WHEN octet_length(encode({text})) < 32 THEN 1 ELSE 2 END)"
 
 
+SIZED = f"""
+sized AS (
+        SELECT stream_name, ms, seq, pos,
+          2 + {_entry("stream_name")} + {_entry("(ms || '-' || seq)")}
+          + {_entry("'user_id'")} + {_entry("CAST(user_id AS VARCHAR)")}
+          + {_entry("'value'")} + {_entry("CAST(value AS VARCHAR)")}
+          + {_entry("'k'")} + {_entry("CAST(k AS VARCHAR)")} AS bytes
+        FROM e)"""
+
 ORACLES: dict[str, str] = {
     "truncate_range": f"WITH {E} SELECT {EVENT_ROW} FROM e WHERE {AFTER_START} AND {BEFORE_END}",
     "truncate_from": f"WITH {E} SELECT {EVENT_ROW} FROM e WHERE {AFTER_START}",
@@ -257,16 +267,20 @@ ORACLES: dict[str, str] = {
              strftime(make_timestamp(top * 1000), '%d-%m-%Y %H:%M:%S') AS current_utc,
              strftime(make_timestamp(last_ms * 1000), '%d-%m-%Y %H:%M:%S') AS last_utc
       FROM r""",
-    "bounded_capture": f"""WITH {E}, sized AS (
-        SELECT stream_name, ms, seq, pos,
-          2 + {_entry("stream_name")} + {_entry("(ms || '-' || seq)")}
-          + {_entry("'user_id'")} + {_entry("CAST(user_id AS VARCHAR)")}
-          + {_entry("'value'")} + {_entry("CAST(value AS VARCHAR)")}
-          + {_entry("'k'")} + {_entry("CAST(k AS VARCHAR)")} AS bytes
-        FROM e), totals AS (
+    "bounded_capture": f"""WITH {E}, {SIZED}, totals AS (
         SELECT *, sum(bytes) OVER (ORDER BY pos) - bytes AS before FROM sized)
       SELECT stream_name, ms, seq, pos FROM totals
       WHERE before < {int(CAPTURE_MB * 1024 * 1024)}""",
+    "capture_limits": f"""WITH {E}, {SIZED}, parts AS (
+        SELECT pos // ((SELECT count(*) FROM e) // {LIMIT_PARTS} + 1) AS part, sum(bytes) AS bytes
+        FROM sized GROUP BY 1), totals AS (
+        SELECT part, sum(bytes) OVER (ORDER BY part) - bytes AS before FROM parts)
+      SELECT stream_name, ms, seq, pos FROM sized
+      JOIN totals ON part = pos // ((SELECT count(*) FROM e) // {LIMIT_PARTS} + 1)
+      WHERE before < {int(CAPTURE_MB * 1024 * 1024)}""",
+    "log_bytes": f"""WITH {E}, {SIZED}
+      SELECT count(DISTINCT stream_name) AS streams, count(*) AS messages,
+             CAST(sum(bytes) AS BIGINT) AS bytes FROM sized""",
     "bounded_duration": f"""WITH {E}, start AS (SELECT arg_min(ms, pos) AS first FROM e),
       late AS (SELECT min(pos) AS stop FROM e, start WHERE ms >= first + {CAPTURE_SECONDS * 1000})
       SELECT stream_name, ms, seq, pos FROM e, late WHERE stop IS NULL OR pos < stop""",

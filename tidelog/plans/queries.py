@@ -53,6 +53,8 @@ SMALL_CUT = 1 << 17
 LARGE_RECORD_TEXTS = 500
 FOLLOWED_AT_ONCE = 4000
 BAD_IDS = 101
+LIMIT_PARTS = 6
+ALL_EVENT_STREAMS = [f"events:{kind}" for kind in ("click", "error", "purchase", "signup", "view")]
 ROTATE_EVERY = 211
 MANY_NAMES = [*(f"other:{n}" for n in range(300)), *EVENT_STREAMS]
 
@@ -530,6 +532,30 @@ def capture_rotated(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def capture_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """A capture that ends at once by its duration, then, resumed, at a size."""
+    inbox, path = new_table(spark, "inbox"), new_table(spark, "captured")
+    log = adapters.events_log(spark, folder)
+    step = log.count() // LIMIT_PARTS + 1
+    for part in range(LIMIT_PARTS):
+        rows = log.where((F.col("pos") >= part * step) & (F.col("pos") < (part + 1) * step))
+        rows.coalesce(1).write.mode("append").parquet(inbox)
+    schema = spark.read.parquet(inbox).schema
+    for limits in ({"max_duration": 1e-6}, {"max_size_mb": CAPTURE_MB}):
+        messages = capture.table_stream(spark, inbox, "*.parquet", schema, 1)
+        capture.capture_with_limits(messages, path, f"{path}-offsets", ALL_EVENT_STREAMS, **limits)
+    return spark.read.parquet(path).select("stream_name", "ms", "seq", "pos")
+
+
+def log_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of all recordings of a folder, and the messages in them."""
+    path = new_table(spark, "recordings")
+    write_recordings(adapters.events_log(spark, folder), path)
+    size = stats.file_bytes(spark.read.format("binaryFile").load(path))
+    counted = stats.log_totals(read_recordings(spark, path))
+    return counted.join(F.broadcast(size), F.lit(True))
+
+
 def capture_quarantine(spark: SparkSession, folder: str) -> DataFrame:
     """Raw messages decoded, judged and written in the one pass of a capture."""
     path = new_table(spark, "judged")
@@ -811,6 +837,8 @@ QUERIES: dict[str, Query] = {
         capture_rotated,
         capture_status,
         capture_quarantine,
+        capture_limits,
+        log_bytes,
         capture_rotated_at,
         bounded_duration,
         replay_order_many,
@@ -835,4 +863,4 @@ QUERIES: dict[str, Query] = {
 }
 
 # Queries whose tasks run Python code of this package.
-PYTHON_WORKERS = {name for name in QUERIES if "recording" in name}
+PYTHON_WORKERS = {name for name in QUERIES if "recording" in name} | {"log_bytes"}
