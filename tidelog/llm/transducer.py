@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -180,8 +181,12 @@ class Transducer:
         return [self.model.bytes_[b] for b in char.encode()]
 
 
+@lru_cache(maxsize=2)
 def encoder(data: bytes) -> Callable[[bytes | None], np.ndarray]:
-    """A function from a UTF-8 text to its ids.
+    """A function from a UTF-8 text to its ids; other bytes become U+FFFD.
+
+    A worker process that runs several tasks keeps it, and what it has learned
+    about words, from one task to the next.
 
     If no piece holds a mark after another character, no path crosses a mark
     that follows one; the stretches between are then looked up in a bounded
@@ -213,7 +218,7 @@ def encoder(data: bytes) -> Callable[[bytes | None], np.ndarray]:
     marked = Cache(lambda word: ids_of(MARK + word))
 
     def encode(raw: bytes | None) -> np.ndarray:
-        text = (raw or b"").decode()
+        text = (raw or b"").decode(errors="replace")
         if not text:
             made = b""
         elif not model.cuts_at_marks:
