@@ -255,3 +255,22 @@ def test_odd_licenses(odd_docs, no_docs):
         if r.doc_id != 7:
             assert tuple(r[1:6]) == base_scan(texts[r.doc_id])
     assert licenses.scan(no_docs).count() == 0
+
+
+def test_long_texts_of_notices():
+    """Megabytes of notices: each is found where it stands, and base phrases too."""
+    scanner = licenses.Scanner(licenses.NOTICES)
+    unit = "licnsed undr the apache license version 2 cc by nc é under the mit license "
+    one = scanner.search(unit.strip())
+    words = len(unit.split())
+    n = 3000
+    found = scanner.search((unit * n).strip())
+    exact = {(label, first % words) for label, first, *_ in one}
+    for label, place in exact:
+        at = {hit[1] for hit in found if hit[0] == label and hit[1] % words == place}
+        assert at == {place + words * k for k in range(n)}
+    phrases = [(f" {phrase} ".encode(), label) for phrase, label in licenses.PHRASES]
+    starts, labels = licenses._base((" " + unit * n).encode(), phrases)
+    single, _ = licenses._base((" " + unit).encode(), phrases)
+    assert sorted(starts) == sorted(s + words * k for s in single for k in range(n))
+    assert labels == {"apache-2", "cc-by-nc", "mit"}

@@ -8,6 +8,8 @@ is there within ``k`` edits, and where.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -76,6 +78,10 @@ NOTICES = (
     Notice("cc-by-nc", "cc by", 1, " nc"),
 )
 
+# Lengths of a notice that are searched at once for the best match.
+BLOCK_NOTICES = 64
+_BLANK = re.compile(" ")
+
 HIT = fields(
     label=StringType(),
     first_word=LongType(),
@@ -146,7 +152,26 @@ class Scanner:
                 yield number, max(0, start), min(len(text), stop)
 
     def matches(self, number: int, text: str, start: int, stop: int) -> Iterator:
-        """The best match of a stretch, and those of the parts before and after it."""
+        """The matches of a stretch: the best one, and those of the parts before and after it.
+
+        A long stretch is searched block by block.  What ends in the last
+        notice's length of a block is left to the next one, so that each block
+        costs the same, however many notices follow each other.
+        """
+        notice = self.notices[number]
+        longest = len(notice.whole) + 3 * notice.errors + 2
+        while start < stop:
+            end = min(stop, start + BLOCK_NOTICES * longest)
+            sure = end if end == stop else end - longest
+            last = start
+            for match in self._best_first(number, text, start, end):
+                if match.end() <= sure:
+                    last = max(last, match.end())
+                    yield match
+            # What is left to the next block begins at most a length before.
+            start = stop if end == stop else max(last, sure - longest)
+
+    def _best_first(self, number: int, text: str, start: int, stop: int) -> Iterator:
         open_ = [(start, stop)]
         while open_:
             start, stop = open_.pop()
@@ -158,6 +183,7 @@ class Scanner:
     def search(self, text: str) -> list[tuple[str, int, int, int, float]]:
         """Notices in a text of words joined by single blanks: label, words, errors, score."""
         hits = set()
+        blanks: list[int] | None = None
         for number, start, stop in self.windows(text):
             notice = self.notices[number]
             for match in self.matches(number, text, start, stop):
@@ -167,7 +193,9 @@ class Scanner:
                 errors = sum(match.fuzzy_counts)
                 if errors > notice.errors:  # the bound of words and tail together
                     continue
-                words = text.count(" ", 0, first), text.count(" ", 0, last)
+                if blanks is None:
+                    blanks = [found.start() for found in _BLANK.finditer(text)]
+                words = bisect_left(blanks, first), bisect_left(blanks, last)
                 score = 1.0 - errors / notice.editable
                 hits.add((notice.label, *words, errors, score))
         return sorted(hits)
@@ -178,8 +206,10 @@ def _base(padded: bytes, phrases) -> tuple[list[int], set[str]]:
     starts, labels = [], set()
     for phrase, label in phrases:
         at = padded.find(phrase)
+        word = counted = 0
         while at >= 0:
-            starts.append(padded.count(b" ", 0, at))
+            word, counted = word + padded.count(b" ", counted, at), at
+            starts.append(word)
             labels.add(label)
             at = padded.find(phrase, at + 1)
     return starts, labels
@@ -210,7 +240,7 @@ def scan(
             words = (raw or b"").translate(LETTERS).split()
             joined = b" ".join(words)
             starts, base = _base(b" " + joined + b" ", bounded)
-            hits = scanner.search(joined.decode())
+            hits = scanner.search(joined.decode(errors="replace"))
             best = max([0.0, *[hit[4] for hit in hits]])
             return (
                 len(words),
