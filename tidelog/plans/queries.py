@@ -55,7 +55,7 @@ FOLLOWED_AT_ONCE = 4000
 BAD_IDS = 101
 LIMIT_PARTS = 6
 ALL_EVENT_STREAMS = [f"events:{kind}" for kind in ("click", "error", "purchase", "signup", "view")]
-ROTATE_EVERY = 211
+ROTATE_EVERY = 2003
 MANY_NAMES = [*(f"other:{n}" for n in range(300)), *EVENT_STREAMS]
 
 REPLAY = {"batch_size": BATCH_SIZE, "exclude": [SKIPPED_STREAM]}
