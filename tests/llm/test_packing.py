@@ -101,3 +101,20 @@ def test_odd_documents(odd_docs, no_docs):
     empty = [r for r in rows if r.doc_id in (1, 2, 3)]
     assert [r.length for r in empty] == [1] * 4  # the row with a null text stands twice
     assert packing.pack(no_docs, WORD).count() == 0
+
+
+def test_words_share_the_merges_of_their_pre_tokens(monkeypatch):
+    merged = []
+
+    def counting(tokenizer):
+        merge = vocab.merger(tokenizer)
+        return lambda part: merged.append(part) or merge(part)
+
+    monkeypatch.setattr(packing, "merger", counting)
+    data = vocab.file_bytes(WORD)
+    text = "Ananon ananon. (ananon) ANANON, ananon's ... e\x85É 5 55"
+    made = packing.encoder(data)(text.encode())
+    library = vocab.library_tokenizer(data).encode(text, add_special_tokens=False).ids
+    assert made == b"".join(i.to_bytes(4, "little") for i in [*library, packing.END_ID])
+    assert merged.count("ananon") == 1
+    assert len(merged) == len(set(merged))

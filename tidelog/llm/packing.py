@@ -9,6 +9,8 @@ that a better packing could still afford.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 
@@ -39,7 +41,9 @@ def encoder(data: bytes, end_id: int = END_ID) -> Callable[[bytes | None], bytes
     """A function from a UTF-8 text to its ids as little-endian 32-bit numbers.
 
     The ids are those of the library, then ``end_id``.  White space never
-    joins a token, so the strings between are encoded once and kept.
+    joins a token, so the strings between are kept with their ids, as are the
+    pre-tokens that they share.  Texts are normalised whole: on the
+    characters this is done for, that does not depend on their neighbours.
     """
     import unicodedata
 
@@ -47,7 +51,7 @@ def encoder(data: bytes, end_id: int = END_ID) -> Callable[[bytes | None], bytes
 
     tokenizer = library_tokenizer(data)
     merge = merger(tokenizer)
-    plain = regex.compile(f"[{PLAIN}]*").fullmatch
+    plain = re.compile(f"[{PLAIN}]*").fullmatch
     pre_tokens = regex.compile(WORD_PATTERN).findall
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -57,10 +61,12 @@ def encoder(data: bytes, end_id: int = END_ID) -> Callable[[bytes | None], bytes
         return np.array(ids, dtype="<u4").tobytes()
 
     def word_ids(word: str) -> bytes:
-        word = unicodedata.normalize("NFC", word).lower()
-        parts = [word] if word.isalpha() else pre_tokens(word)
-        made = [token.id for part in parts for token in merge(part)]
-        return np.array(made, dtype="<u4").tobytes()
+        if not word.isalpha():
+            parts = pre_tokens(word)
+            if parts != [word]:
+                return b"".join(map(by_word.__getitem__, parts))
+        made = [token.id for token in merge(word)]
+        return struct.pack(f"<{len(made)}I", *made)
 
     by_word = Cache(word_ids)
 
@@ -68,7 +74,8 @@ def encoder(data: bytes, end_id: int = END_ID) -> Callable[[bytes | None], bytes
         text = (raw or b"").decode()
         if any(s in text for s in special) or not plain(text):
             return whole(text) + end
-        return b"".join(map(by_word.__getitem__, text.split())) + end
+        words = unicodedata.normalize("NFC", text).lower().split()
+        return b"".join(map(by_word.__getitem__, words)) + end
 
     return ids
 
