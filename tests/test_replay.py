@@ -215,3 +215,18 @@ def test_arrival_numbers_with_sparse_positions(make_log, step):
     expected = sorted(range(130), key=lambda i: (rows[i][3], i))
     assert [r.arrival for r in numbered] == list(range(130))
     assert [r.ms for r in numbered] == expected
+
+
+def test_many_range_chunks_grow_and_keep_the_order(make_log, monkeypatch):
+    """Small buckets do not make a task per bucket without end."""
+    assert replay._range_chunks(54_000_000, 1250) == replay.MANY_CHUNKS
+    assert replay._range_chunks(10**12, 1250) == -(-(10**12) // replay.BUCKET_ROWS)
+    assert replay._range_chunks(5000, 1250) == 4
+    monkeypatch.setattr(replay, "MANY_CHUNKS", 3)
+    rows = random_rows(5, 200)
+    log = make_log([row[:3] for row in rows], step=2)
+    found = replay.replay_delay(log, batch_size=100, bucket_rows=4).orderBy("replay_no").collect()
+    expected = model(rows, 100, 1.0, 60.0, set(), {}, 1000)
+    assert [(r.replay_no, r.pos, r.prev_ms) for r in found] == [
+        (i, row[0], row[2]) for i, row in enumerate(expected)
+    ]

@@ -27,6 +27,8 @@ from tidelog.schema import require_positive
 
 # Batches a chunk must hold for the copies of its last one to stay cheap.
 MIN_BATCHES = 4
+# Range chunks, each a task and a file of its own, before they grow towards BUCKET_ROWS rows.
+MANY_CHUNKS = 512
 
 
 def _in_replay_order() -> Window:
@@ -101,14 +103,21 @@ def _placed_by_batch(rows: DataFrame, batch_size: int, per_chunk: int) -> DataFr
     return placed.where(~is_copy).drop("_ahead")
 
 
+def _range_chunks(count: int, bucket_rows: int) -> int:
+    wanted = -(-count // bucket_rows)
+    return max(1, min(wanted, max(MANY_CHUNKS, -(-count // BUCKET_ROWS))))
+
+
 def _placed_by_range(rows: DataFrame, bucket_rows: int) -> DataFrame:
     """Chunks of about ``bucket_rows`` consecutive rows of batches of any size.
 
-    The chunks are stored, because a range partitioning may come out
+    Where that makes more than ``MANY_CHUNKS``, chunks hold more rows, up to
+    ``BUCKET_ROWS``: the driver hears of every chunk from every step.  The
+    chunks are stored, because a range partitioning may come out
     differently when it is computed again.
     """
     spark = rows.sparkSession
-    chunks = max(1, -(-rows.count() // bucket_rows))
+    chunks = _range_chunks(rows.count(), bucket_rows)
     path = new_table(spark, "replay-chunks")
     (
         rows.repartitionByRange(chunks, "batch", "ms", "seq", "arrival")
