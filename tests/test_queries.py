@@ -76,3 +76,15 @@ def test_matches_sql_in_many_buckets(spark, db, sf_dir, monkeypatch, name, chunk
     sql_columns, expected = sql_rows(db, oracle_sql()[name])
     assert columns == sql_columns
     assert rows == expected
+
+
+def test_capture_limits_prepares_its_files_in_many_tasks(spark, monkeypatch):
+    """A coalesced write would sort and join the whole log in one task."""
+
+    def refused(*_):
+        raise AssertionError("the log must not be computed in one task")
+
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", refused)
+    folder = "/root/testdata/sf0.001"  # all of it is below the limit
+    found = queries()["capture_limits"](spark, folder).count()
+    assert found == spark.read.parquet(f"{folder}/events.parquet").count()

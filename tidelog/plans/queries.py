@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import clock, ids
 from tidelog.operators import arrival, flatten, replay, select, stats
 from tidelog.plans.scan import div, number_by_arrival
-from tidelog.plans.storage import new_table
+from tidelog.plans.storage import new_table, stored
 from tidelog.sources import adapters, sinks
 from tidelog.sources.recordings import (
     follow_recordings,
@@ -535,11 +535,11 @@ def capture_rotated(spark: SparkSession, folder: str) -> DataFrame:
 def capture_limits(spark: SparkSession, folder: str) -> DataFrame:
     """A capture that ends at once by its duration, then, resumed, at a size."""
     inbox, path = new_table(spark, "inbox"), new_table(spark, "captured")
-    log = adapters.events_log(spark, folder)
+    log = stored(adapters.events_log(spark, folder), "events")
     step = log.count() // LIMIT_PARTS + 1
     for part in range(LIMIT_PARTS):
         rows = log.where((F.col("pos") >= part * step) & (F.col("pos") < (part + 1) * step))
-        rows.coalesce(1).write.mode("append").parquet(inbox)
+        rows.repartition(1).write.mode("append").parquet(inbox)
     schema = spark.read.parquet(inbox).schema
     for limits in ({"max_duration": 1e-6}, {"max_size_mb": CAPTURE_MB}):
         messages = capture.table_stream(spark, inbox, "*.parquet", schema, 1)
