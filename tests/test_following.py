@@ -113,3 +113,29 @@ def test_committed_folder(spark, make_log, tmp_path):
     reader = spark.readStream.format("recording").option("plans", str(tmp_path / "p"))
     with pytest.raises(Exception, match="maxMessagesPerStream"):
         reader.option("maxMessagesPerStream", 0).load(path).writeStream.format("noop").start().processAllAvailable()
+
+
+def test_a_batch_opens_few_files_and_none_waits(tmp_path):
+    """A batch ends in the file where a stream has its share; the next one begins after it."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for number in range(5):
+        (folder / f"{number}").write_bytes(b"".join(records("cold", 0, 1) + records("hot", 0, 30)))
+    one, at, seen, visited = Follower(str(folder), ["stream_name"], str(tmp_path / "plans"), 20, False), None, 0, []
+    at = one.initialOffset()
+    while (end := one.latestOffset()) != at:
+        parts = one.partitions(at, end)
+        visited.append([part.name for part in parts])
+        taken = Counter()
+        for part in parts:
+            for batch in one.read(part):
+                taken.update(batch["stream_name"].to_pylist())
+        assert max(taken.values()) <= 20
+        seen += taken.total()
+        if len(visited) == 1:  # a file that goes on growing holds up no other
+            with open(folder / "0", "ab") as file:
+                file.write(b"".join(records("hot", 100, 30)))
+        at = end
+    assert seen == 5 * 31 + 30
+    assert visited[:5] == [["0"], ["1"], ["2"], ["3"], ["4"]]
+    assert max(map(len, visited)) <= 3

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -49,6 +50,8 @@ class Follower(DataSourceStreamReader):
         self.path, self.columns, self.most, self.recursive = path, columns, most, recursive
         self.plans = plans
         self.planned: dict | None = None
+        # Name and path of the file in which the last planned batch ended.
+        self.ended_in = ("", "")
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}
@@ -66,33 +69,42 @@ class Follower(DataSourceStreamReader):
         return self.planned
 
     def _further(self, done: dict[str, list]) -> dict[str, list]:
+        """Where a batch ends: it takes file after file until a stream has its share.
+
+        The next batch begins with the file after that, so no file waits for
+        another one that goes on growing, and a batch opens few files however
+        many have records left.
+        """
         taken: Counter[str | None] = Counter()
         further = dict(done)
         scan = recordings._Scan(self.path, self.columns, recordings.SPLIT_BYTES, self.recursive)
-        for path, name, size in sorted(scan._files(), key=lambda file: (file[1], file[0])):
+        files = sorted((name, path, size) for path, name, size in scan._files())
+        first = bisect_right(files, self.ended_in, key=lambda file: file[:2])
+        for name, path, size in files[first:] + files[:first]:
             at, pos, _ = done.get(path, (0, 0, name))
             if size > at:
-                at, pos = self._passed(path, at, pos, size, taken)
+                at, pos, full = self._passed(path, at, pos, size, taken)
                 if at:
                     further[path] = [at, pos, name]
+                if full:
+                    self.ended_in = (name, path)
+                    break
         return further
 
-    def _passed(self, path: str, at: int, pos: int, size: int, taken: Counter) -> tuple[int, int]:
+    def _passed(self, path: str, at: int, pos: int, size: int, taken: Counter) -> tuple[int, int, bool]:
+        """End and number of the records that a batch takes, and whether its share ends them."""
         system, inner = recordings.filesystem(path)
         with system.open_input_file(inner) as file:
             try:
-                for after, value in packing.objects(file, at, size, packing.without_fields):
-                    try:
-                        stream = packing.record(value)[0]
-                    except ValueError:
-                        stream = None
-                    if taken[stream] == self.most:
-                        break
-                    taken[stream] += 1
-                    at, pos = after, pos + 1
+                for ends, run, value in packing.stretches(file, at, size, packing.without_fields, 512):
+                    for after, stream in zip(ends, packing.streams(run, value), strict=True):
+                        if taken[stream] == self.most:
+                            return at, pos, True
+                        taken[stream] += 1
+                        at, pos = after, pos + 1
             except packing.Corrupt:
                 pass
-        return at, pos
+        return at, pos, False
 
     def _plans(self, kind: str = "json") -> dict[int, str]:
         """Plans, or marks of committed ones, by number in order."""

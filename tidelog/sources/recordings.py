@@ -18,9 +18,11 @@ import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 from posixpath import basename
 from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
@@ -55,6 +57,8 @@ from tidelog.sources.sinks import refuse_own_input
 CORRUPT = "_corrupt_record"
 SPLIT_BYTES = 64 << 20
 BATCH_ROWS = 4_096
+# Records of a run that are decoded together.
+RUN_ROWS = 16
 MAX_TASKS = 100_000
 # The folder of commit entries beside the files they name.
 COMMITS = ".commits"
@@ -98,28 +102,112 @@ def _rows(
     """Decode the objects of a byte range that ends with one, numbered from ``pos``."""
     system, inner = filesystem(path)
     take = packing.unpack if with_fields else packing.without_fields
-    rows: list[tuple] = []
+    rows = _Columns(name, pos)
     with system.open_input_file(inner) as file:
         try:
-            for _, value in packing.objects(file, start, stop, take, whole=True):
-                try:
-                    stream, ms, seq, fields = record(value)
-                    pairs = None if fields is None else list(fields.items())
-                    row = (stream, ms, seq, pairs, name, pos, None)
-                except ValueError as problem:
-                    row = (None, None, None, None, name, pos, str(problem))
-                rows.append(row)
-                pos += 1
-                if len(rows) == BATCH_ROWS:
-                    yield _batch(rows)
-                    rows = []
+            most = BATCH_ROWS if record is packing.record else 0
+            for _, run, value in packing.stretches(file, start, stop, take, most, whole=True):
+                made = rows.of_run(run) if len(run) >= RUN_ROWS else None
+                if made is not None:
+                    if rows.ms:
+                        yield rows.taken()
+                    yield rows.placed(made)
+                    continue
+                for one in map(packing.run_value, run) if run else (value,):
+                    try:
+                        rows.add(*record(one))
+                    except ValueError as problem:
+                        rows.add(None, None, None, None, str(problem))
+                    if len(rows.ms) == BATCH_ROWS:
+                        yield rows.taken()
         except packing.Corrupt as problem:
             log.warning("%s ends early: %s; the records before that are read", path, problem)
-    if rows:
-        yield _batch(rows)
+    if rows.ms:
+        yield rows.taken()
+
+
+class _Columns:
+    """Records of one recording, gathered column by column."""
+
+    def __init__(self, recording: str, pos: int) -> None:
+        self.recording, self.pos = recording, pos
+        self._begin()
+
+    def _begin(self) -> None:
+        self.streams, self.ms, self.seq, self.problems = [], [], [], []
+        self.starts, self.keys, self.values = [], [], []
+
+    def add(
+        self,
+        stream: str | None,
+        ms: int | None,
+        seq: int | None,
+        fields: dict[str, str | None] | None,
+        problem: str | None = None,
+    ) -> None:
+        self.streams.append(stream)
+        self.ms.append(ms)
+        self.seq.append(seq)
+        self.problems.append(problem)
+        if fields is None:
+            self.starts.append(None)
+        else:
+            self.starts.append(len(self.keys))
+            self.keys.extend(fields)
+            self.values.extend(fields.values())
+
+    def taken(self) -> pa.RecordBatch:
+        """The records added since the last time."""
+        starts = pa.array([*self.starts, len(self.keys)], pa.int32())
+        texts = [pa.array(x, pa.string()) for x in (self.keys, self.values)]
+        made = [
+            pa.array(self.streams, pa.string()),
+            pa.array(self.ms, pa.int64()),
+            pa.array(self.seq, pa.int64()),
+            pa.MapArray.from_arrays(starts, *texts),
+            pa.array(self.problems, pa.string()),
+        ]
+        self._begin()
+        return self.placed(made)
+
+    def placed(self, columns: list[pa.Array]) -> pa.RecordBatch:
+        """The next records, of which all but their places is given."""
+        *values, problems = columns
+        count = len(problems)
+        recording = pa.repeat(pa.scalar(self.recording, pa.string()), count)
+        numbers = pa.array(np.arange(self.pos, self.pos + count))
+        self.pos += count
+        return pa.record_batch([*values, recording, numbers, problems], schema=_ARROW)
+
+    @staticmethod
+    def of_run(run: list[tuple]) -> list[pa.Array] | None:
+        """Columns of a run; ``None`` if one of its records may be malformed or repeats a field."""
+        names, ms, seq, *fields = zip(*run, strict=True)
+        kinds = [set(keys) for keys in fields[::2]]
+        width = len(kinds)
+        if sum(map(len, kinds)) != len(set().union(*kinds)):
+            return None
+        try:
+            numbers = [pa.array(x, pa.binary()).cast(pa.string()).cast(pa.int64()) for x in (ms, seq)]
+            if all(len(kind) == 1 for kind in kinds):
+                keys = _short_texts(run[0][3::2]).take(pa.array(np.tile(np.arange(width), len(run))))
+            else:
+                keys = _short_texts(list(chain.from_iterable(row[3::2] for row in run)))
+            values = _short_texts(list(chain.from_iterable(zip(*fields[1::2], strict=True))))
+            starts = pa.array(np.arange(len(run) + 1) * width, pa.int32())
+            made = [_short_texts(names), numbers[0], numbers[1].fill_null(0)]
+            made.append(pa.MapArray.from_arrays(starts, keys, values))
+        except pa.ArrowInvalid:
+            return None
+        return [*made, pa.nulls(len(run), pa.string())]
+
+
+def _short_texts(raw: Sequence[bytes]) -> pa.Array:
+    """Texts that come with a head of one byte."""
+    return pc.binary_slice(pa.array(raw, pa.binary()), 1, 32).cast(pa.string())
 
 
-def _batch(rows: list[tuple], schema: pa.Schema = _ARROW) -> pa.RecordBatch:
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True)
     return pa.record_batch(
         [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
@@ -750,12 +838,16 @@ class _Writer(DataSourceArrowWriter):
         summary, blocks, size = zones.Summary(), [], 0
         with system.open_output_stream(f"{inner}/{name}") as file:
             for batch in iterator:
-                for stream, ms, seq, record in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    file.write(record)
-                    size += len(record)
-                    full = summary.add(len(record), stream, ms, seq)
-                    if full is not None:
-                        blocks.append(full)
+                stream, ms, seq, record = batch.columns
+                if record.null_count:
+                    raise ValueError("a message without an ID cannot be recorded")
+                record = record.cast(pa.large_binary())
+                at = record.offset
+                ends = np.frombuffer(record.buffers()[1], np.int64)[at : at + len(record) + 1]
+                if len(record):
+                    file.write(record.buffers()[2][int(ends[0]) : int(ends[-1])])
+                    size += int(ends[-1] - ends[0])
+                blocks += summary.add_all(np.diff(ends), stream, ms, seq)
         last = summary.finish()
         if size:
             _write_index(f"{inner}/{name}", blocks + [last] * (last is not None), size)
