@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import os
+import random
 import struct
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidelog.schema import MESSAGE_LOG
 from tidelog.plans.scan import number_by_arrival
-from tidelog.sources import chains, packing
+from tidelog.sources import chains, packing, recordings, zones
 from tidelog.sources.recordings import read_recordings, write_recordings
 
 SAMPLE = [
@@ -222,3 +225,106 @@ def test_text_that_looks_like_a_huge_record(tmp_path):
     assert real[0].starts[0] == 11 * len(record)
     assert all(start % len(record) == 0 for start in real[0].starts)
     assert seen.read_bytes <= size + 10 * chains.BEYOND
+
+
+def _odd_and_usual_objects():
+    text = packing._pack_text
+    usual = [packing.pack_record(f"s{i % 3}", f"{10**12 + i}-{i % 5}", {"k": str(i), "v": "é" * (i % 9)}) for i in range(60)]
+    varied = [packing.pack_record("s", str(i), {f"k{i % 4}": "x", "w": "y" * (i % 3)}) for i in range(40)]
+    fields = b"\x82" + text("k") + text("a") + text("k") + text("b")
+    odd = [
+        b"\x93" + text("s") + text("1-1") + fields,  # a field given twice
+        b"\x93\xa2\xff\xfe" + text("1-1") + b"\x80",  # no UTF-8
+        b"\x93" + text("s") + text("1-1") + b"\x81" + text("k") + b"\xa1\xff",
+        packing.pack_record("s", "99999999999999999999-1", {"k": "v", "v": "v"}),
+        packing.pack_record("s", "9223372036854775807-9223372036854775807", {}),
+        packing.pack_record("s", "9223372036854775808", {}),
+        packing.pack_record("s", "1-", {"k": "v", "v": "v"}),
+        packing.pack_record("s", "x1-2", {"k": "v"}),
+        packing.pack_record("", "00012-003", {"": ""}),
+        packing.pack_record("s", "5-5", {"k": None, "v": "v"}),
+        packing.pack_record("s", "5-5", {"k": "long" * 200}),
+        packing.pack_record("s" * 40, "5-5", {"k": "v"}),
+        packing.pack_record("s", "5-5", None),
+        packing.pack_record("s", "5-5", {str(i): "v" for i in range(20)}),
+        b"\xc0",
+        b"\x92" + text("s") + text("1-1"),
+        b"\x93" + text("s") + text("1-1") + b"\x81" + b"\x05" + b"\xcb" + b"\0" * 8,
+    ]
+    for one in odd:
+        yield from (usual + [one] * 20 + usual[:30] + [one] + usual[:7] + varied + [one])
+
+
+def test_runs_of_usual_records_are_read_like_single_ones(tmp_path):
+    data = b"".join(_odd_and_usual_objects())
+    path = tmp_path / "r"
+    path.write_bytes(data)
+    expected, at, pos = [], 0, 5
+    while at < len(data):
+        value, at = packing.unpack(data, at)
+        try:
+            stream, ms, seq, fields = packing.record(value)
+            expected.append((stream, ms, seq, fields, "r", pos, None))
+        except ValueError as problem:
+            expected.append((None, None, None, None, "r", pos, str(problem)))
+        pos += 1
+    for with_fields in (True, False):
+        found = [
+            tuple(row.values())
+            for batch in recordings._rows(str(path), "r", 0, len(data), 5, with_fields)
+            for row in batch.to_pylist()
+        ]
+        if with_fields:
+            assert [(*r[:3], None if r[3] is None else dict(r[3]), *r[4:]) for r in found] == expected
+            assert [len(r[3]) for r in found if r[3]] == [len(r[3]) for r in expected if r[3]]
+        else:
+            assert len(found) == len(expected)  # malformed fields are not noticed
+            assert [r[1] for r, e in zip(found, expected) if e[1] is not None] == [
+                e[1] for e in expected if e[1] is not None
+            ]
+    streams = []
+    with open(path, "rb") as file:
+        for ends, run, value in packing.stretches(file, 0, len(data), packing.without_fields, 64):
+            assert len(ends) == max(1, len(run))
+            streams += packing.streams(run, value)
+    assert [s for s, e in zip(streams, expected) if e[0] is not None] == [e[0] for e in expected if e[0] is not None]
+
+
+def test_usual_records_are_not_unpacked_one_by_one(tmp_path, monkeypatch):
+    path = tmp_path / "r"
+    path.write_bytes(b"".join(packing.pack_record("s", f"{i}-0", {"k": str(i)}) for i in range(50_000)))
+    calls = []
+    general = packing.unpack
+    monkeypatch.setattr(packing, "unpack", lambda buf, at: calls.append(at) or general(buf, at))
+    batches = list(recordings._rows(str(path), "r", 0, path.stat().st_size, 0))
+    assert [n for b in batches for n in b["ms"].to_pylist()] == list(range(50_000))
+    assert [n for b in batches for n in b["pos"].to_pylist()] == list(range(50_000))
+    assert len(calls) < 20
+
+
+def test_blocks_told_at_once_are_those_told_one_by_one():
+    draw = random.Random(7)
+    rows = [(draw.randint(1, 90), draw.choice("abc"), draw.randrange(50), draw.randrange(4)) for _ in range(500)]
+    one, many = zones.Summary(block_bytes=300), zones.Summary(block_bytes=300)
+    expected = [zone for row in rows if (zone := one.add(*row)) is not None]
+    found = []
+    for first in range(0, 500, 37):
+        size, name, ms, seq = zip(*rows[first : first + 37])
+        found += many.add_all(np.array(size), pa.array(name), pa.array(ms), pa.array(seq))
+    assert found == expected
+    assert many.finish() == one.finish()
+
+
+def test_numbering_by_arrival_reads_the_log_twice(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(1000).selectExpr("'r' AS recording", "id * 3 AS pos")
+    log = rows.mapInArrow(seen, rows.schema)
+    found = number_by_arrival(log, "arrival", 50, store_counts=True).collect()
+    assert sorted((r.pos, r.arrival) for r in found) == [(3 * i, i) for i in range(1000)]
+    assert reads.value == 2000

@@ -700,7 +700,8 @@ def recording_order(spark: SparkSession, folder: str) -> DataFrame:
     path = new_table(spark, "recordings")
     write_recordings(adapters.events_log(spark, folder), path)
     write_recordings(adapters.orders_log(spark, folder), path)
-    numbered = number_by_arrival(read_recordings(spark, path), "arrival", SMALL_BUCKET)
+    log = read_recordings(spark, path)
+    numbered = number_by_arrival(log, "arrival", SMALL_BUCKET, store_counts=True)
     return numbered.select("arrival", "stream_name", "ms", "seq")
 
 

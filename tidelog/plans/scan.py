@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.plans.storage import stored
+
 # Rows of a log one window group may hold.  10^12 messages make 4 million
 # buckets, whose carry rows (a few numbers each) one task sorts in seconds.
 BUCKET_ROWS = 262_144
@@ -107,16 +109,23 @@ def carried_in_blocks(
 
 
 def number_by_arrival(
-    log: DataFrame, column: str = "arrival", bucket_rows: int = BUCKET_ROWS
+    log: DataFrame,
+    column: str = "arrival",
+    bucket_rows: int = BUCKET_ROWS,
+    store_counts: bool = False,
 ) -> DataFrame:
     """Number the rows 0, 1, 2, … in ``(recording, pos)`` order.
 
-    Needs one shuffle of the log.  ``pos`` is unique within a recording, so a
+    The rows of the buckets are counted before the log is shuffled once.  The
+    counts are used twice: ``store_counts`` runs a job that stores them, for a
+    log that is dear to compute.  ``pos`` is unique within a recording, so a
     bucket of ``bucket_rows`` positions holds at most that many rows.  Sparse
     positions make many small buckets, which are carried in blocks.
     """
     bucketed = log.withColumn("_bucket", div(F.col("pos"), bucket_rows))
     counts = bucketed.groupBy("recording", "_bucket").agg(F.count("*").alias("_rows"))
+    if store_counts:
+        counts = stored(counts, "arrival-counts")
     starts = carried_in_blocks(
         counts, "_bucket", sums=["_rows"], within=["recording"]
     ).drop("_rows")
