@@ -44,6 +44,17 @@ def test_write_rotated_at(spark, make_log, tmp_path):
         capture.start_capture(make_log([("s", 1)]), path, path, rotate_ms=5, rotate_at=[1])
 
 
+@pytest.mark.parametrize("rotations", [{"rotate_at": [100, 200, 300]}, {"rotate_ms": 100}])
+def test_a_micro_batch_adds_one_file_to_a_rotation(spark, make_log, tmp_path, rotations):
+    inbox, path = str(tmp_path / "inbox"), tmp_path / "out"
+    make_log([("s", ms) for ms in range(400)]).repartition(8).write.parquet(inbox)
+    messages = capture.table_stream(spark, inbox, "*.parquet", spark.read.parquet(inbox).schema)
+    capture.start_capture(messages, str(path), f"{path}-offsets", **rotations).awaitTermination()
+    found = spark.read.parquet(str(path)).groupBy("rotation").count().collect()
+    assert {tuple(row) for row in found} == {(n, 100) for n in range(4)}
+    assert len(list(path.glob("rotation=*/*.parquet"))) == 4
+
+
 BAD = b"\xff\xfe"
 RAW = [
     (b"a", b"1-0", {b"k": b"v"}, None),

@@ -101,6 +101,9 @@ def start_capture(
         messages = rotation(messages, rotate_ms)
     elif rotate_at is not None:
         messages = rotation_at(messages, rotate_at)
+    if "rotation" in messages.columns:
+        # A micro-batch adds one file to a rotation, not one per task.
+        messages = messages.hint("rebalance", "rotation")
     writer = messages.writeStream.format("parquet").outputMode("append")
     if "rotation" in messages.columns:
         writer = writer.partitionBy("rotation")
